@@ -65,19 +65,32 @@ def merged_slices(parts: DataFrame, size: int, kind: type, add: Callable, last:
     return out
 
 
-def id_filter(ids: DataFrame, bits: int = 24) -> np.ndarray:
-    """A bitmap of 2^bits bits with those of the hashed values of the one column. It lets rows through that the join
-    after it drops; a full one lets all through, so its fixed size only ever costs time."""
+def key_filter(keys: DataFrame, most_bits: int = 30) -> np.ndarray:
+    """A Bloom filter (two bits a key) of the one column of keys: bits grow with the count, to 2^most_bits at most.
+
+    It lets rows through that the join after it drops; a full one lets all through, which only costs time."""
+    bits = min(most_bits, max(20, (16 * keys.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, dtype=bool)
         for batch in batches:
-            table[id_slots(np.asarray(batch.column(0)), bits)] = True
+            for at in _slots(np.asarray(batch.column(0)), bits):
+                table[at] = True
         rows = list(sliced(np.packbits(table)))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["slice", "blob"])
 
-    return merged_slices(ids.mapInArrow(run, "slice int, blob binary"), (1 << bits) // 8, np.uint8, np.bitwise_or, lambda x: x)
+    return merged_slices(keys.mapInArrow(run, "slice int, blob binary"), (1 << bits) // 8, np.uint8, np.bitwise_or, lambda x: x)
+
+
+def in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter."""
+    found = np.ones(len(keys), dtype=bool)
+    for at in _slots(keys, (len(table) * 8).bit_length() - 1):
+        found &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return found
 
 
-def id_slots(ids: np.ndarray, bits: int = 24) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def _slots(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        h = keys.astype(np.int64).view(np.uint64) * np.uint64(odd)
+        yield (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)

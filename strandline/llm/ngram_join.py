@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
-from .graph import components, id_filter, id_slots, merged_slices, sliced
+from .graph import components, in_filter, key_filter, merged_slices, sliced
 from .shingles import shingle_sets
 
 PERCENT = 75
@@ -255,13 +255,12 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = sizes.select("part", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("shingles") / SHINGLES)).cast("int").alias("chunks"))
     members = members.join(sizes, "part").select("part", "rep", "d0", "size", "chunks", F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("chunks"))).cast("int").alias("chunk"))
     members = materialise(members, "members")
-    sent = spark.sparkContext.broadcast(id_filter(members.select("rep")))
+    sent = spark.sparkContext.broadcast(key_filter(members.select("rep")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sent.value).view(bool)
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            batch = batch.filter(pa.array(bits[id_slots(np.asarray(batch.column("doc_id")))]))
+            batch = batch.filter(pa.array(in_filter(sent.value, np.asarray(batch.column("doc_id")))))
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=16).digest()[:8], "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "d0", "shingles"])

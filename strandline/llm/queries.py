@@ -1,7 +1,7 @@
 """The queries of the corpus operators, over whole tables, and their SQL where SQL can express them."""
 
 from ..session import shipped
-from . import chat_format, exact_dedup, language_id, licenses, mixing, ngram_join, sentencepiece_lattice, sharding, topk_search
+from . import chat_format, exact_dedup, language_id, licenses, mixing, ngram_join, sentencepiece_lattice, sharding, substring_dedup, topk_search
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_license_expressions": licenses.op6_license_expressions,
     "op7_relational_chat": chat_format.op7_relational_chat,
     "op8_piece_lattice": sentencepiece_lattice.op8_piece_lattice,
+    "op9_column_bwt": substring_dedup.op9_column_bwt,
     "op10_bounded_ring": sharding.op10_bounded_ring,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}

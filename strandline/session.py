@@ -1,8 +1,9 @@
-"""Sessions: the package's Python code on the executors."""
+"""Sessions: the package's Python code on the executors, and tables in the shared scratch folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import wraps
@@ -36,3 +37,20 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         return query(spark, *args, **kwargs)
 
     return run
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="strandline-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet in the shared scratch folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

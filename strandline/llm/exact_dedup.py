@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, materialise
+from .common import ascii_lower, broadcast_if_small, documents, materialise
 
 #: A digest with more than 1/SHARE of all rows is a heavy hitter.
 SHARE = 256
@@ -64,12 +64,12 @@ def dedup_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows with one doc_id and text, one."""
-    groups = dedup_groups(docs, share)
+    groups = materialise(dedup_groups(docs, share), "dedup_groups")
     dropped = groups.filter(~F.col("kept")).select("doc_id").filter(F.col("doc_id").isNotNull())
     again = materialise(groups.filter("kept and group_size > 1").groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id"), "again")
     nameless = F.col("doc_id").isNull()
     if groups.filter(nameless).isEmpty() and again.isEmpty():  # the usual case: a semi-join on ids
-        return docs.join(dropped, "doc_id", "left_anti")
+        return docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(docs.columns)
     # Ids that are null or repeated: decided by the text itself.
     text = F.sha2(F.encode(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), "UTF-8"), 256)
     kept = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()

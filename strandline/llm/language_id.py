@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small
 
 N, HASHES = 4, 3
 LEARN_DOCS, LEARN_GRAMS, LEAST_DOCS, MAX_LANGS = 1000, 1 << 15, 3, 64
@@ -151,20 +151,31 @@ def learn(docs: DataFrame) -> Model:
     return Model(langs, {x: top.loc[top["lang"] == x, "gram"].to_numpy(dtype=np.int64).view(np.uint64) for x in langs})
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score."""
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score = sent.value.predict(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+        for batch in small(batches):
+            lang, score = sent.value.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, with all their columns, whose language is not `und`."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            lang, _ = sent.value.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = identify(docs.select("doc_id", "text"), learn(docs), ["doc_id"])
+    found = identify(docs, learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

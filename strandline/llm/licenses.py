@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
@@ -143,7 +143,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id and the columns of SCHEMA for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = pa.array([scan(t.as_py()) for t in batch.column("text")], ARROW)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *rows.flatten()], names=["doc_id", *(f.name for f in ARROW)])
 

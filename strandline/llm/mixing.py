@@ -94,10 +94,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, whole; a partial repetition counts from one half of the document."""
-    mixed = mix(docs, **options)
+    mixed = mix(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), **options)
     times = F.col("_copies") + F.when(F.col("_part_words") * 2 >= F.greatest(F.col("_size"), F.lit(1)), 1).otherwise(0)
-    again = F.explode(F.sequence(F.lit(1), times.cast("int")))
-    return mixed.filter(times > 0).withColumn("_again", again).select(docs.columns)
+    return mixed.filter(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select("_row.*")
 
 
 def op4_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:

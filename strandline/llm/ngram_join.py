@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import broadcast_if_small, documents, materialise, small
 from .graph import components, in_filter, key_filter, merged_slices, sliced
 from .shingles import shingle_sets
 
@@ -45,7 +45,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.uint16)
         shift = np.uint64(64 - SKETCH.bit_length() + 1)
-        for batch in batches:
+        for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
             first = np.unique(digests, axis=0, return_index=True)[1]  # copies in one batch count once
@@ -94,7 +94,7 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, percent: int, buckets: i
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "entries"])
 
         total = 0
-        for batch in batches:
+        for batch in small(batches):
             for s in shingle_sets(batch.column("text").to_pylist()):
                 n = len(s)
                 key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
@@ -258,7 +258,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sent = spark.sparkContext.broadcast(key_filter(members.select("rep")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             batch = batch.filter(batch.column("doc_id").is_valid())
             batch = batch.filter(pa.array(in_filter(sent.value, np.asarray(batch.column("doc_id")))))
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
@@ -304,6 +304,15 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.when(alone, 0).otherwise(F.col("links") + F.col("size") - 1).alias("n_links"), F.when(alone, 1).otherwise(F.col("size")).alias("class_size"))
 
 
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without those that have a smaller doc_id in their component; of rows that repeat a doc_id with one text, one stays."""
+    groups = materialise(ngram_join(docs, percent), "near_groups")
+    gone = groups.filter("component_id <> doc_id").select("doc_id")
+    left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    again = groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return left if again else left.dropDuplicates(["doc_id", "text"])
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 

@@ -243,12 +243,11 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), ids)).alias("ids"))
 
 
-def encode(docs: DataFrame, pieces: Pieces, keep: list[str], words: int = WORDS) -> DataFrame:
-    """The columns `keep` of docs with ids, n_tokens, the text that the ids decode to, and whether it is the text."""
+def encode(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataFrame:
+    """doc_id of each row of docs with ids, n_tokens, the text that the ids decode to, and whether it is the text."""
     found = dictionary(materialise(frequent_words(docs, pieces, words), "frequent_words"), pieces)
     known = {r["word"]: np.array(r["ids"], dtype="<i4").tobytes() for r in found.collect()}  # at most `words` rows
     sent = docs.sparkSession.sparkContext.broadcast((known, pieces))
-    fields_ = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pieces = sent.value
@@ -262,7 +261,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], words: int = WORDS)
 
         get, again = known.get, own.get
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for lo in range(0, len(texts), 256):
                 some = texts[lo : lo + 256]
                 ids = [np.frombuffer(b"".join([get(w) or again(w) or rare(w) for w in split(pieces.normalise(t))]), dtype="<i4") for t in some]
@@ -273,12 +272,11 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], words: int = WORDS)
                     pa.array(back, pa.string()), pa.array([b == (t or "") for b, t in zip(back, some, strict=True)], pa.bool_()),
                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())]
                 rows = batch.slice(lo, len(some))
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *arrays], names=[*keep, "ids", "n_tokens", "decoded", "exact", "ids_sha256"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *arrays], names=["doc_id", "ids", "n_tokens", "decoded", "exact", "ids_sha256"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields_}, ids array<int>, n_tokens long, decoded string, exact boolean, ids_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string, exact boolean, ids_sha256 string")
 
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = encode(docs, Pieces.load(), ["doc_id"])
+    out = encode(documents(spark, sf_dir), Pieces.load())
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "exact")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collection_bwt import repeated
-from .common import documents, global_rank, materialise
+from .common import documents, global_rank, materialise, small
 from .graph import in_filter, key_filter
 from .shingles import _powers, mixed
 
@@ -132,7 +132,7 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "entries"])
 
         total = 0
-        for batch in batches:
+        for batch in small(batches):
             key = np.asarray(batch.column("key"))
             for i, first, last, anchor, span, _ in spans(utf8(batch.column("text"))):
                 e = np.empty(len(i), dtype=ENTRY)
@@ -179,7 +179,7 @@ def variants(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             key, texts = np.asarray(batch.column("key")), utf8(batch.column("text"))
             for i, first, last, anchor, _, at in spans(texts):
                 keep = in_filter(sent.value, key[i] * 1_000_003 + first)
@@ -279,7 +279,7 @@ def substring_dedup(docs: DataFrame, kept: bool = False) -> DataFrame:
     joined = keyed.join(runs, "key", "left").select("doc_id", "text", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             firsts, lasts = batch.column("first"), batch.column("last")
             for i, text in enumerate(utf8(batch.column("text"))):

@@ -95,10 +95,10 @@ def containing(docs: DataFrame, needles: DataFrame, key: str, text: str, needle_
     keyed = needles.select(needle_key, needle, words(F.col(needle)).alias("_w"))
     long = keyed.filter(F.size("_w") >= width + 2).select(needle_key, needle, F.array_join(F.slice("_w", 2, width), " ").alias("_run"))
     short = keyed.filter(F.size("_w") < width + 2).select(needle_key, needle)
-    w = words(F.col(text))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
-    texts = docs.select(key, text, F.explode(F.array_distinct(F.when(F.size(w) >= width, runs))).alias("_run"))
-    found = texts.join(_small(long, few), "_run").filter(F.contains(text, needle)).select(needle_key, key).distinct()
+    split = docs.select(key, words(F.col(text)).alias("_w")).filter(F.size("_w") >= width)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: F.array_join(F.slice("_w", i, width), " "))
+    hits = split.select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(_small(long, few), "_run").select(needle_key, needle, key).distinct()
+    found = docs.select(key, text).join(hits, key).filter(F.contains(text, needle)).select(needle_key, key)
     n = short.limit(few + 1).count()
     if not n:
         return found

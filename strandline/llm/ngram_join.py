@@ -30,7 +30,7 @@ from .shingles import shingle_sets
 
 PERCENT = 75
 #: The sketch's counters; the rows of a column up to which all its pairs count as candidates; rows and shingles of a chunk; columns multiplied at once.
-SKETCH, SHORT, ROWS, SHINGLES, COLUMNS = 1 << 22, 16, 1024, 1 << 21, 2048
+SKETCH, SHORT, ROWS, SHINGLES, COLUMNS = 1 << 24, 16, 1024, 1 << 21, 2048
 #: Prefix entries that a task holds before it sends them.
 HELD = 1 << 20
 
@@ -49,8 +49,8 @@ def summaries(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist())
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
             first = np.unique(digests, axis=0, return_index=True)[1]  # copies in one batch count once
-            found = np.bincount((np.concatenate([sets[i] for i in first]) >> shift).astype(np.int64), minlength=SKETCH) if len(sets) else 0
-            counts = np.minimum(counts + found, 65535).astype(np.uint16)
+            slot, found = np.unique((np.concatenate([sets[i] for i in first]) >> shift).astype(np.int32), return_counts=True)
+            counts[slot] = np.minimum(counts[slot] + found, 65535)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=NAMES)
         for i, blob in sliced(counts):
@@ -265,7 +265,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=16).digest()[:8], "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "d0", "shingles"])
 
-    sets = docs.mapInArrow(fetch, "rep long, d0 long, shingles binary").join(members, ["rep", "d0"])
+    sets = docs.mapInArrow(fetch, "rep long, d0 long, shingles binary").join(broadcast_if_small(members), ["rep", "d0"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     # A part in one chunk is one block; of several, each pair of chunks is (a chunk meets itself in a block of its own).
     dealt = sets.withColumn("other", other).select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "size", "chunk", "shingles")

@@ -4,7 +4,9 @@ Every page is decided inside its task, so none of them shuffles; a page's cost i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,3 +142,24 @@ def expected_table_issues(markdown: str | None, columns: int | None, rows: int |
         return None
     spec = {"columns": columns, "rows": rows, "cells": dict(cells or {}), "same_row": list(same_row or []), "same_column": list(same_column or []), "require_markdown": require}
     return gfm.table_issues(markdown, spec)
+
+
+_LINK = re.compile(r"""(\b(?:href|src)\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
+_TRACKING = re.compile("utm_[a-z]+|gclid|fbclid|ref")
+
+
+def _clean_link(base: str, link: str) -> str:
+    try:
+        parts = urlsplit(urljoin(base, link.strip()))
+    except ValueError:
+        return link
+    kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not _TRACKING.fullmatch(k)]
+    return parts._replace(query=urlencode(kept)).geturl() if parts.scheme in ("http", "https") else link
+
+
+@F.udf(T.StringType(), useArrow=True)
+def absolute_links(html: str | None, base: str | None) -> str | None:
+    """The HTML with its links made absolute and freed of tracking parameters."""
+    if html is None or base is None:
+        return html
+    return _LINK.sub(lambda m: f"{m[1]}{m[2]}{_clean_link(base, m[3])}{m[2]}", html)

@@ -9,11 +9,11 @@ from ..functions.text import upper_median
 from .verdict import CHECKS, CONTENTFUL
 
 
-def suite_scores(outcomes: DataFrame) -> DataFrame:
-    """A row for each subject; the rate is null without contentful rows."""
+def suite_scores(outcomes: DataFrame, *segments: str) -> DataFrame:
+    """A row for each subject (and segment); the rate is null without contentful rows."""
     contentful = F.count_if(F.col("status").isin(CONTENTFUL))
     false = F.count_if("is_false_success")
-    return outcomes.groupBy("subject_id").agg(
+    return outcomes.groupBy("subject_id", *segments).agg(
         F.count("*").alias("case_count"), F.count_if("status_matched").alias("status_match_count"), contentful.alias("contentful_count"), false.alias("false_success_count"),
         (false / F.nullif(contentful, F.lit(0))).alias("false_success_rate"), F.coalesce(upper_median(F.col("wall_ms")), F.lit(0)).alias("median_wall_ms"),
         F.coalesce(upper_median(F.col("wall_ms"), 0.95), F.lit(0)).alias("p95_wall_ms"), upper_median(F.col("content_tokens")).alias("median_content_tokens"),

@@ -450,6 +450,19 @@ def canary_tier_report(spark, sf_dir):
     return score.tier_report(benchmark.run_arms(fixtures.canary_truths(p), fixtures.page_responses(p), ["golden-converter", "extract-tf"]))
 
 
+@query()
+def normalised_links(spark, sf_dir):
+    """Links of each page's main content, absolute and without tracking."""
+    found = pages.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "main_html").join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    return found.select("page_id", pages.absolute_links("main_html", "url").alias("main_html"))
+
+
+@query()
+def segmented_scoreboard(spark, sf_dir):
+    """Scores of the plain arm by category of case."""
+    return score.suite_scores(benchmark.run_arms(fixtures.fixture_truths(spark), fixtures.fixture_responses(spark), ["bare-http"]), "category")
+
+
 @query()
 def environment_row(spark, sf_dir):
     return run_environment(spark)

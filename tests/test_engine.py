@@ -151,6 +151,12 @@ def test_node_relation(spark):
     assert [r.text for r in pages.selected_nodes(frame, "div p").collect()] == ["a", "b"]
 
 
+def test_absolute_links(spark):
+    frame = spark.createDataFrame([('<a href="../x?utm_source=a&k=1">l</a><img src=\'/i.png\'><a href="mailto:me">m</a>', "http://h.test/a/b")], "html string, url string")
+    got = frame.select(pages.absolute_links("html", "url").alias("h")).first().h
+    assert got == '<a href="http://h.test/x?k=1">l</a><img src=\'http://h.test/i.png\'><a href="mailto:me">m</a>'
+
+
 # sources, windows, policy
 
 
@@ -231,6 +237,6 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"five_arm_scoreboard"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"five_arm_scoreboard", "segmented_scoreboard"}))
 def test_other_queries_give_rows(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() > 0

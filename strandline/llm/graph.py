@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from ..session import discard, materialise
 
 SLICES = 64
 
@@ -27,15 +27,18 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     labels = materialise(nodes.withColumn("root", F.col("node")), name)
     while not edges.isEmpty():
         ends = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).union(edges.select("a", F.col("a")))
-        point = materialise(ends.groupBy("node").agg(F.min("to").alias("to")), name)
+        first = point = materialise(ends.groupBy("node").agg(F.min("to").alias("to")), name)
         for _ in range(3):
             on = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
             point = point.join(on, "to").select("node", F.col("next").alias("to"))
         point = materialise(point, name)
         moved = edges.join(point.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(point.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
+        spent = [edges, first, point, labels]
         edges = materialise(moved.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), name)
         labels = labels.join(point.select(F.col("node").alias("root"), F.col("to").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         labels = materialise(labels, name)
+        for table in spent:
+            discard(table)
     return labels
 
 

@@ -2,13 +2,12 @@
 
 import re
 
-from llm.test_corpus import UP, brute_join
+from conftest import SMALL
+from test_corpus import UP, brute_join
 
 import corpus_pipeline
 from strandline.llm.common import materialise
 
-from conftest import SMALL
-
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

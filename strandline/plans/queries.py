@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, is_cjk, looks_prose, squeeze, strip, upper_median, utf16_length
-from ..operators import golden, pages, policy, robots, score, transport, verdict, windows
+from ..operators import golden, intervals, pages, policy, robots, score, transport, verdict, windows
 from ..session import shipped
 from ..sources import fixtures
 from ..sources.environment import run_environment
@@ -450,6 +450,26 @@ def canary_tier_report(spark, sf_dir):
     return score.tier_report(benchmark.run_arms(fixtures.canary_truths(p), fixtures.page_responses(p), ["golden-converter", "extract-tf"]))
 
 
+@query()
+def container_scores(spark, sf_dir):
+    """The extractor's container scores by interval joins over the pruned nodes."""
+    p = table(spark, sf_dir, "pages")
+    return intervals.container_scores(pages.text_blocks(p), pages.pruned_nodes(p))
+
+
+@query()
+def node_text(spark, sf_dir):
+    """Text of each heading and paragraph, from the node relation."""
+    n = pages.html_nodes(table(spark, sf_dir, "pages"))
+    return intervals.text_content(n.filter(F.col("tag").isin("h1", "p")).select("page_id", "node_id", "last_id"), n)
+
+
+@query()
+def block_runs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return intervals.longest_block_run(pages.text_blocks(p), pages.pruned_nodes(p))
+
+
 @query()
 def normalised_links(spark, sf_dir):
     """Links of each page's main content, absolute and without tracking."""

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import js, text
-from strandline.operators import pages, policy, robots, score, transport, verdict, windows
+from strandline.operators import intervals, pages, policy, robots, score, transport, verdict, windows
+from strandline.functions import dom, extract
 from strandline.plans import benchmark, queries
+from strandline.plans import sql as names
 from strandline.sources import fixtures, ledger
 from strandline.sources.environment import run_environment
 from strandline.streaming import events as streaming
@@ -151,6 +153,42 @@ def test_node_relation(spark):
     assert [r.text for r in pages.selected_nodes(frame, "div p").collect()] == ["a", "b"]
 
 
+def test_interval_joins_equal_the_page(spark):
+    rng = random.Random(12)
+    sources = ["".join(rng.choice(["<div>", "</div>", "<article>", "<h2>", "<p>", "<li>", "<ul>", "</ul>", "It was so, they said, and went home. ", "<b>x</b>"]) for _ in range(60)) for _ in range(5)]
+    frame = spark.createDataFrame(list(enumerate(sources)), "page_id long, html string")
+    found = {i: extract.prune(extract.clean(dom.parse(s))) for i, s in enumerate(sources)}
+    nodes = pages.pruned_nodes(frame).cache()
+    divs = nodes.filter("tag = 'div'").select("page_id", "node_id", "last_id")
+    assert {(r.page_id, r.node_id): r.text for r in intervals.text_content(divs, nodes).collect()} == {(i, d): p.content(d) for i, p in found.items() for d in p.find("div")}
+    assert sorted(tuple(r) for r in intervals.descendant_counts(divs, nodes, ["p", "li"]).collect()) == sorted((i, d, len(p.find("p", "li", under=d))) for i, p in found.items() for d in p.find("div"))
+    kids = intervals.children(divs, nodes.filter("kind = 'element'")).groupBy("page_id", "a_node_id").count().collect()
+    assert {(r.page_id, r.a_node_id): r["count"] for r in kids} == {(i, d): len(p.children(d)) for i, p in found.items() for d in p.find("div") if p.children(d)}
+    left = intervals.detach(nodes, nodes.filter("tag = 'ul'")).groupBy("page_id").count().collect()
+    assert dict(left) == {i: len(p.without(p.find("ul")).tag) for i, p in found.items()}
+    pairs = [(i, rng.randrange(1, len(p.tag)), rng.randrange(1, len(p.tag))) for i, p in found.items() for _ in range(20)]
+    for r in intervals.common_ancestor(spark.createDataFrame(pairs, "page_id long, x int, y int").distinct(), nodes).collect():
+        p = found[r.page_id]
+        above = set(p.ancestors(r.x))
+        assert r.lca == next(a for a in [r.y, *p.ancestors(r.y)] if a in above)
+    blocks = pages.text_blocks(frame)
+    scores = {(r.page_id, r.node_id): (r.score, r.block_count) for r in intervals.container_scores(blocks, nodes).collect()}
+    for i, p in found.items():
+        some = extract.blocks(p)
+        for a in p.elements():
+            held = [b for b in some if b["node"] != a and p.contains(a, b["node"])]
+            if held and p.tag[a] not in ("html", "body"):
+                assert scores[i, a] == (sum(b["length"] for b in held) + 200 * (p.tag[a] == "article") + 60 * len(p.find("h1", "h2", "h3", "h4", "h5", "h6", under=a)), len(held))
+    assert intervals.longest_block_run(blocks, nodes).count() == sum(bool(extract.blocks(p)) for p in found.values())
+
+
+def test_sql_names(spark):
+    names.register(spark)
+    spark.createDataFrame([(1, "<p>a</p>")], "id int, html string").createOrReplaceTempView("raw_pages")
+    assert spark.sql("select n.tag from raw_pages, lateral html_nodes(html) n where n.kind = 'element'").count() == 4
+    assert spark.sql("select extract_main(html).escalate e, resolve_url('http://a.test/b', 'c') u, to_gfm('') g from raw_pages").first() == (True, "http://a.test/c", "")
+
+
 def test_absolute_links(spark):
     frame = spark.createDataFrame([('<a href="../x?utm_source=a&k=1">l</a><img src=\'/i.png\'><a href="mailto:me">m</a>', "http://h.test/a/b")], "html string, url string")
     got = frame.select(pages.absolute_links("html", "url").alias("h")).first().h

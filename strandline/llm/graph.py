@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
+from .common import lean
 
 SLICES = 64
 
@@ -53,17 +54,26 @@ def merged_slices(parts: DataFrame, size: int, kind: type, add: Callable, last:
     """The tables of all tasks, given as rows (slice, blob), put together by `add` and shrunk by `last`; a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        at, total = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(last(total).tobytes(), 1)], pa.binary())], names=["slice", "blob"])
+
         for batch in batches:
-            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(blob), dtype=kind)
-                sums[i] = add(sums[i], part) if i in sums else part.astype(np.uint64) if kind != np.uint8 else part.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(last(x).tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "blob"])
+            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
+                part = np.frombuffer(zlib.decompress(blob.as_py()), dtype=kind)
+                if i != at:  # slices come one after the other
+                    if at is not None:
+                        yield done()
+                    at, total = i, part.astype(np.uint8 if kind == np.uint8 else np.uint64)
+                else:
+                    total = add(total, part)
+        if at is not None:
+            yield done()
 
     out = np.zeros(size, dtype=np.uint8)
     each = size // SLICES
-    for row in parts.select("slice", "blob").repartition("slice").mapInArrow(run, "slice int, blob binary").collect():  # SLICES rows
+    for row in parts.select("slice", "blob").repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(run), "slice int, blob binary").collect():  # SLICES rows
         out[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(zlib.decompress(row["blob"]), dtype=np.uint8)
     return out
 
@@ -82,7 +92,7 @@ def key_filter(keys: DataFrame, most_bits: int = 30) -> np.ndarray:
         rows = list(sliced(np.packbits(table)))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["slice", "blob"])
 
-    return merged_slices(keys.mapInArrow(run, "slice int, blob binary"), (1 << bits) // 8, np.uint8, np.bitwise_or, lambda x: x)
+    return merged_slices(keys.mapInArrow(lean(run), "slice int, blob binary"), (1 << bits) // 8, np.uint8, np.bitwise_or, lambda x: x)
 
 
 def in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small
+from .common import documents, lean, small
 
 N, HASHES = 4, 3
 LEARN_DOCS, LEARN_GRAMS, LEAST_DOCS, MAX_LANGS = 1000, 1 << 15, 3, 64
 #: Characters worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 UNKNOWN = "und"
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = sent.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
@@ -172,7 +172,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             lang, _ = sent.value.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small
+from .common import documents, lean, small
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
@@ -147,7 +147,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
             rows = pa.array([scan(t.as_py()) for t in batch.column("text")], ARROW)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *rows.flatten()], names=["doc_id", *(f.name for f in ARROW)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {SCHEMA}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id long, {SCHEMA}")
 
 
 def op6_license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:

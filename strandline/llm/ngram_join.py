@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, materialise, small
+from .common import broadcast_if_small, documents, lean, materialise, small
 from .graph import components, in_filter, key_filter, merged_slices, sliced
 from .shingles import shingle_sets
 
 PERCENT = 75
 #: The sketch's counters; the rows of a column up to which all its pairs count as candidates; rows and shingles of a chunk; columns multiplied at once.
-SKETCH, SHORT, ROWS, SHINGLES, COLUMNS = 1 << 24, 16, 1024, 1 << 21, 2048
+SKETCH, SHORT, ROWS, SHINGLES, COLUMNS = 1 << 24, 16, 1024, 1 << 20, 2048
 #: Prefix entries that a task holds before it sends them.
 HELD = 1 << 20
 
@@ -56,7 +56,7 @@ def summaries(docs: DataFrame) -> DataFrame:
         for i, blob in sliced(counts):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([blob], pa.binary())], names=NAMES)
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n long, d0 long, d1 long, slice int, blob binary"), "set_summaries")
+    return materialise(docs.mapInArrow(lean(run), "doc_id long, n long, d0 long, d1 long, slice int, blob binary"), "set_summaries")
 
 
 NAMES = ["doc_id", "n", "d0", "d1", "slice", "blob"]
@@ -111,7 +111,7 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, percent: int, buckets: i
         if held:
             yield from send()
 
-    return docs.select("text").mapInArrow(run, "bucket int, entries binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket int, entries binary")
 
 
 def candidates(entries: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +153,7 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
         rows = forest(np.concatenate(found))
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
-    return entries.repartition("bucket").mapInArrow(run, "a long, b long")
+    return entries.repartition("bucket").mapInArrow(lean(run), "a long, b long")
 
 
 def forest(edges: np.ndarray) -> np.ndarray:
@@ -265,7 +265,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=16).digest()[:8], "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "d0", "shingles"])
 
-    sets = docs.mapInArrow(fetch, "rep long, d0 long, shingles binary").join(broadcast_if_small(members), ["rep", "d0"])
+    sets = docs.mapInArrow(lean(fetch), "rep long, d0 long, shingles binary").join(broadcast_if_small(members), ["rep", "d0"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     # A part in one chunk is one block; of several, each pair of chunks is (a chunk meets itself in a block of its own).
     dealt = sets.withColumn("other", other).select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "size", "chunk", "shingles")
@@ -292,7 +292,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if whole():
             yield done()
 
-    found = materialise(dealt.mapInArrow(multiply, "a long, b long, links long"), "links")
+    found = materialise(dealt.mapInArrow(lean(multiply), "a long, b long, links long"), "links")
     roots = components(found.select("a", "b"), "components")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

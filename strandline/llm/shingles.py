@@ -14,7 +14,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -51,7 +51,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], ~_SEP[a], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(20, len(a).bit_length()))
+    up, down = _powers(1 << max(19, len(a).bit_length()))
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_bytes()[a] * up[: len(a)], dtype=np.uint64)])
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
 

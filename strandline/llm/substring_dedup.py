@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collection_bwt import repeated
-from .common import documents, global_rank, materialise, small
+from .common import documents, global_rank, lean, materialise, small
 from .graph import in_filter, key_filter
 from .shingles import _powers, mixed
 
 LENGTH, KMER = 100, 32
 #: Bytes of text worked on at once (places in them take PLACE bits), entries held before they are sent, texts of a block of the transform.
-PLACE, HELD, BLOCK = 20, 1 << 19, 4096
+PLACE, HELD, BLOCK = 18, 1 << 19, 4096
 _RANDOM = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -145,7 +145,7 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from send()
 
-    return docs.select("key", "text").mapInArrow(run, "bucket int, entries binary")
+    return docs.select("key", "text").mapInArrow(lean(run), "bucket int, entries binary")
 
 
 RUNS = "key long, first int, last int, variant boolean"
@@ -170,7 +170,7 @@ def compare_spans(entries: DataFrame) -> DataFrame:
             yield runs_batch(e[np.append(same, False) | np.insert(same, 0, False)], variant=True)
 
     # Repeats that a task has found need no place; they go to any.
-    return entries.repartition(F.coalesce("bucket", (-F.rand(7) * 1e6).cast("int"))).mapInArrow(run, RUNS)
+    return entries.repartition(F.coalesce("bucket", (-F.rand(7) * 1e6).cast("int"))).mapInArrow(lean(run), RUNS)
 
 
 def variants(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
@@ -191,7 +191,7 @@ def variants(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
                 arrays = [pa.array(bucket), pa.array(anchor.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(key[i]), pa.array(first.astype(np.int32)), pa.array(part, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "anchor", "at", "key", "first", "part"])
 
-    return docs.select("key", "text").mapInArrow(run, "bucket int, anchor long, at int, key long, first int, part binary")
+    return docs.select("key", "text").mapInArrow(lean(run), "bucket int, anchor long, at int, key long, first int, part binary")
 
 
 def shares_context(anchor: np.ndarray, at: np.ndarray, part: list[bytes]) -> np.ndarray:
@@ -233,14 +233,9 @@ def compare_bytes(rows: DataFrame) -> DataFrame:
         arrays = [pa.array(e["key"]), pa.array(e["first"].astype(np.int32)), pa.array((e["first"] + e["n"]).astype(np.int32)), pa.array(np.zeros(len(e), dtype=bool))]
         return pa.RecordBatch.from_arrays(arrays, names=["key", "first", "last", "variant"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), schema=SCHEMA) if (batches := list(batches)) else None
-        if held is None or not held.num_rows:
-            return
-        anchor = held.column("anchor").to_numpy()
-        order = np.argsort(anchor, kind="stable")
-        anchor, at, key, first = (held.column(c).to_numpy()[order] for c in ("anchor", "at", "key", "first"))
-        part = held.column("part").take(pa.array(order)).to_pylist()
+    def blocks(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        anchor, at, key, first = (held.column(c).to_numpy() for c in ("anchor", "at", "key", "first"))
+        part = held.column("part").to_pylist()
         keep = np.flatnonzero(shares_context(anchor, at, part))
         anchor, key, first, part = anchor[keep], key[keep], first[keep], [part[i] for i in keep]
         lo = 0
@@ -251,10 +246,23 @@ def compare_bytes(rows: DataFrame) -> DataFrame:
             yield block(key[lo:hi], first[lo:hi], part[lo:hi])
             lo = hi
 
-    return rows.repartition("bucket").mapInArrow(run, RUNS)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, enough = [], 0, BLOCK
+        for batch in batches:  # sorted by anchor: a worker holds a block and the anchor at its end
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(table.column("anchor").to_numpy(), table.column("anchor")[-1].as_py()))
+            if cut:
+                yield from blocks(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+            enough = max(BLOCK, 2 * rows)
+        if rows:
+            yield from blocks(pa.Table.from_batches(held))
 
-SCHEMA = pa.schema([("bucket", pa.int32()), ("anchor", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("part", pa.binary())])
+    return rows.repartition("bucket").sortWithinPartitions("anchor").mapInArrow(lean(run), RUNS)
 
 
 def removed(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +302,7 @@ def substring_dedup(docs: DataFrame, kept: bool = False) -> DataFrame:
             names = ["doc_id", "n_bytes", "spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for _, _, x in out], pa.binary())] if kept else arrays, names=[*names, "kept"] if kept else names)
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * kept)
+    return joined.mapInArrow(lean(cut), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * kept)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

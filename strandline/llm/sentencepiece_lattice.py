@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, lean, materialise
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
+#: A worker's own words, kept from task to task, and the model that they are of.
+_own: dict[str, bytes] = {}
+_own_of: list = []
 #: Words in the broadcast dictionary, characters of a word there, and entries of a worker's own cache.
-WORDS, MAX_WORD, CACHE = 1 << 16, 32, 1 << 18
+WORDS, MAX_WORD, CACHE = 1 << 16, 32, 1 << 16
 UNIGRAM, BPE = 1, 2
 
 
@@ -72,6 +75,7 @@ class Pieces:
     score: dict[str, tuple[float, int]] = field(default_factory=dict)  # of ordinary pieces
     bytes_: list[int] = field(default_factory=list)  # the id of each byte's piece
     unknown: int = 0
+    _ranks: dict[str, float] = field(default_factory=dict, repr=False)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -113,6 +117,25 @@ class Pieces:
 
     def merged(self, word: str) -> list[str]:
         """The BPE fold of one word: merges of the best score first, leftmost among equals."""
+        if len(word) > MAX_WORD:
+            return self._merged_by_heap(word)
+        if not self._ranks:
+            self._ranks.update({p: s for p, (s, _) in self.score.items()})
+        get, none = self._ranks.get, -np.inf
+        parts = list(word)
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return parts
+
+    def _merged_by_heap(self, word: str) -> list[str]:
+        """The same for long words, in time that grows little faster than their length."""
         score, text = self.score, list(word)
         left, right = list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
         heap = [(-score[p][0], i, i + 1, p) for i in range(len(text) - 1) if (p := text[i] + text[i + 1]) in score]
@@ -168,13 +191,13 @@ def frequent_words(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataF
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 kept.update(split(pieces.normalise(text)))
-                if len(kept) > 6 * words:
-                    less = kept.most_common(3 * words)[-1][1]
+                if len(kept) > 4 * words:
+                    less = kept.most_common(2 * words)[-1][1]
                     kept = Counter({k: n - less for k, n in kept.items() if n > less})
         top = [(w, n) for w, n in kept.most_common(2 * words) if len(w) <= MAX_WORD and "\ud800" not in w]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "word").limit(words).select("word")
 
 
@@ -251,7 +274,10 @@ def encode(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pieces = sent.value
-        split, decode, own = pieces.words(), pieces.decoder(), {}
+        split, decode, own = pieces.words(), pieces.decoder(), _own
+        if _own_of != [pieces.text]:  # another model than the worker's last
+            own.clear()
+            _own_of[:] = [pieces.text]
 
         def rare(word: str) -> bytes:
             if len(own) >= CACHE:
@@ -274,7 +300,7 @@ def encode(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataFrame:
                 rows = batch.slice(lo, len(some))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *arrays], names=["doc_id", "ids", "n_tokens", "decoded", "exact", "ids_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string, exact boolean, ids_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>, n_tokens long, decoded string, exact boolean, ids_sha256 string")
 
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ SPACE = "▁"
 _own: dict[str, bytes] = {}
 _own_of: list = []
 #: Words in the broadcast dictionary, characters of a word there, and entries of a worker's own cache.
-WORDS, MAX_WORD, CACHE = 1 << 16, 32, 1 << 16
+WORDS, MAX_WORD, CACHE = 1 << 16, 32, 1 << 17
 UNIGRAM, BPE = 1, 2
 
 

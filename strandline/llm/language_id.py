@@ -3,7 +3,8 @@
 Training counts, over a bounded sample of labelled documents, in how many of a language's documents each
 n-gram stands; a language's most frequent ones go into its Bloom filter. The filters of all languages share
 one array of slots and one set of hash functions: bit l of a slot belongs to language l. So the `and` of an
-n-gram's slots is the set of all languages that contain it. For a document the bits are counted for each language; a
+n-gram's slots is the set of all languages that contain it. A slot has a 64-bit column for each 64 languages, so
+that no language is left out. For a document the bits are counted for each language; a
 filter whose share of set bits is b passes b^hashes of foreign n-grams, which is taken off; the
 largest corrected count decides, and its share of the document's n-grams is the score.
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import documents, lean, small
 
 N, HASHES = 4, 3
-LEARN_DOCS, LEARN_GRAMS, LEAST_DOCS, MAX_LANGS = 1000, 1 << 15, 3, 64
+LEARN_DOCS, LEARN_GRAMS, LEAST_DOCS = 1000, 1 << 15, 3
+#: Languages of a column of the slots.
+WIDTH = 64
 #: Characters worked on at once.
 PIECE = 1 << 18
 UNKNOWN = "und"
@@ -82,24 +85,28 @@ def ngrams(batch: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.nda
 class Model:
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray]):
         self.langs = langs
-        self.bits = max(10, int(np.ceil(np.log2(10 * max(1, sum(map(len, grams.values())))))))
-        self.kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= max(1, len(langs)))
-        self.slots = np.zeros(1 << self.bits, dtype=self.kind)
+        columns = max(1, -(-len(langs) // WIDTH))
+        sizes = [len(grams[lang]) for lang in langs]
+        # Ten slots for each n-gram of all languages; with more columns fewer, so that all of them stay as large as one was.
+        self.bits = max(10, int(np.ceil(np.log2(10 * max(1, max(sizes, default=0), sum(sizes) // columns**2)))))
+        self.kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= min(max(1, len(langs)), WIDTH))
+        self.slots = np.zeros((columns, 1 << self.bits), dtype=self.kind)
+        full = []
         for i, lang in enumerate(langs):
-            for at in self.places(grams[lang]):
-                self.slots[at] |= self.kind(1 << i)
-        full = [np.mean((self.slots >> self.kind(i)) & self.kind(1)) for i in range(len(langs))]
+            set_bits = np.unique(np.concatenate(list(self.places(grams[lang]))))
+            self.slots[i // WIDTH, set_bits] |= self.kind(1 << i % WIDTH)
+            full.append(len(set_bits) / (1 << self.bits))
         self.false = np.array(full) ** HASHES
 
     def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
         for i in range(HASHES):
             yield ((h * np.uint64(ODD[i])) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram, a bit each."""
-        found = None
+    def masks(self, h: np.ndarray, column: int = 0) -> np.ndarray:
+        """The column's languages that contain each n-gram, a bit each."""
+        slots, found = self.slots[column], None
         for at in self.places(h):
-            found = self.slots[at] if found is None else found & self.slots[at]
+            found = slots[at] if found is None else found & slots[at]
         return found
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
@@ -109,10 +116,11 @@ class Model:
         for batch in pieces(texts):
             h, lo, hi = ngrams(batch)
             at = np.array([i for i, _ in batch])
-            mask = self.masks(h)
             np.add.at(total, at, hi - lo)
             for i in range(len(self.langs)):
-                upto = np.concatenate([[0], np.cumsum((mask >> self.kind(i)) & self.kind(1), dtype=np.int64)])
+                if i % WIDTH == 0:
+                    mask = self.masks(h, i // WIDTH)
+                upto = np.concatenate([[0], np.cumsum((mask >> self.kind(i % WIDTH)) & self.kind(1), dtype=np.int64)])
                 np.add.at(count[:, i], at, upto[hi] - upto[lo])
             for i, part in batch:
                 some[i] |= any(map(str.isalpha, part))
@@ -127,12 +135,12 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """The model of the documents that aren't held out and have a language."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return Model([], {})
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, LEARN_DOCS / r["count"]))])
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, LEARN_DOCS / r["count"])) for r in counts], "lang string, share double")
     part = (F.xxhash64("doc_id") % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
-    sample = known.filter(part < share[F.col("lang")]).select("lang", "text")
+    sample = known.join(F.broadcast(share), "lang").filter(part < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,11 +152,15 @@ def learn(docs: DataFrame) -> Model:
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
 
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "grams": [rows["gram"].to_numpy(dtype=np.int64).tobytes()]})
+
     grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = grams.filter(F.col("n") >= LEAST_DOCS).withColumn("r", order).filter(F.col("r") <= LEARN_GRAMS).select("lang", "gram").toPandas()
+    top = grams.filter(F.col("n") >= LEAST_DOCS).withColumn("r", order).filter(F.col("r") <= LEARN_GRAMS).select("lang", "gram")
+    packed = dict(top.groupBy("lang").applyInPandas(pack, "lang string, grams binary").collect())
     langs = sorted(r["lang"] for r in counts)
-    return Model(langs, {x: top.loc[top["lang"] == x, "gram"].to_numpy(dtype=np.int64).view(np.uint64) for x in langs})
+    return Model(langs, {x: np.frombuffer(packed.get(x, b""), dtype=np.uint64) for x in langs})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -149,6 +149,20 @@ def test_masks_return_all_languages_of_an_ngram():
     assert (mask[:250] == 3).all() and (mask & 1).all() and (mask[250:] == 1).mean() > 0.9
 
 
+def test_language_id_of_more_languages_than_a_mask_has_bits(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = [f"l{i:02}" for i in range(70)]
+    words = {x: [a + letters[i // 26] + b + letters[i % 26] for a in letters[:6] for b in letters[6:12]] for i, x in enumerate(langs)}
+    rng = random.Random(6)
+    rows = [(70 * k + i, " ".join(rng.choices(words[x], k=40)), x) for k in range(20) for i, x in enumerate(langs)]
+    rows = [r for r in rows if r[2] != "l69" or r[0] < 700]  # the rarest
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    assert model.langs == langs and model.slots.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert got == {d: x for d, _, x in rows}
+
+
 # top-k search
 
 

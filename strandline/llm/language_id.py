@@ -11,7 +11,8 @@ largest corrected count decides, and its share of the document's n-grams is the
 Every text is read whole, in pieces of bounded size. Null text, or text without a letter, is `und` with score
 0; so is all text if nothing was learnt. Equal counts go to the first language by code point. Rows are
 independent, so repeated rows repeat their result; an empty table gives an empty one. The sample's bound
-is LEARN_DOCS documents a language, drawn by a hash of the id; LEARN_GRAMS bounds a language's n-grams."""
+is LEARN_DOCS documents a language, drawn by a hash of the id; LEARN_GRAMS bounds a language's n-grams. Those in fewer
+than LEAST_DOCS documents are left out, but only of a language with ENOUGH_DOCS that gave n-grams."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, lean, small
 
 N, HASHES = 4, 3
-LEARN_DOCS, LEARN_GRAMS, LEAST_DOCS = 1000, 1 << 15, 3
+LEARN_DOCS, LEARN_GRAMS, LEAST_DOCS, ENOUGH_DOCS = 1000, 1 << 15, 3, 100
 #: Languages of a column of the slots.
 WIDTH = 64
 #: Characters worked on at once.
@@ -145,19 +146,23 @@ def learn(docs: DataFrame) -> Model:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
-                found = []
+                found, learnt = [], set()
                 for some in pieces(rows["text"]):
                     h, lo, hi = ngrams(some)
                     found += [np.unique(h[a:b]) for a, b in zip(lo, hi, strict=True)]
+                    learnt.update(i for (i, _), a, b in zip(some, lo, hi, strict=True) if b > a)
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
+                yield pd.DataFrame({"lang": lang, "gram": pd.array(gram.view(np.int64), dtype="Int64"), "n": n})
+                yield pd.DataFrame({"lang": [lang], "gram": pd.array([None], dtype="Int64"), "n": [len(learnt)]})  # the documents
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "grams": [rows["gram"].to_numpy(dtype=np.int64).tobytes()]})
 
     grams = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    docs_of = F.max(F.when(F.col("gram").isNull(), F.col("n"))).over(Window.partitionBy("lang"))
+    grams = grams.withColumn("docs", docs_of).filter(F.col("gram").isNotNull() & ((F.col("n") >= LEAST_DOCS) | (F.col("docs") < ENOUGH_DOCS)))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = grams.filter(F.col("n") >= LEAST_DOCS).withColumn("r", order).filter(F.col("r") <= LEARN_GRAMS).select("lang", "gram")
+    top = grams.withColumn("r", order).filter(F.col("r") <= LEARN_GRAMS).select("lang", "gram")
     packed = dict(top.groupBy("lang").applyInPandas(pack, "lang string, grams binary").collect())
     langs = sorted(r["lang"] for r in counts)
     return Model(langs, {x: np.frombuffer(packed.get(x, b""), dtype=np.uint64) for x in langs})

@@ -163,6 +163,18 @@ def test_language_id_of_more_languages_than_a_mask_has_bits(spark):
     assert got == {d: x for d, _, x in rows}
 
 
+def test_language_id_learns_rare_languages(spark):
+    rng = random.Random(8)
+    common = [" ".join("".join(rng.choices(["tho", "sha", "ing", "er"], k=3)) for _ in range(30)) for _ in range(200)]
+    ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[i], t, "aa") for i, t in enumerate(common)]
+    rows += [(ids[200], "zwölf grüne vögel", "bb"), (ids[201], "", "bb"), (ids[202], None, "bb")]
+    rows += [(1001, "grüne vögel", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.learn(docs)).collect()}
+    assert got[ids[200]] == got[1001] == "bb" and got[ids[0]] == "aa"
+
+
 # top-k search
 
 

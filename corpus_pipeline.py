@@ -10,7 +10,7 @@ from strandline.session import ship
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which have no language, go."""
+    """Documents without a letter, or without evidence for any language learnt, go; the latter stay if theirs couldn't be learnt."""
     ship(spark)
     return language_id.keep_known(docs, language_id.learn(docs))
 

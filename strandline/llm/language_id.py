@@ -8,8 +8,8 @@ that no language is left out. For a document the bits are counted for each langu
 filter whose share of set bits is b passes b^hashes of foreign n-grams, which is taken off; the
 largest corrected count decides, and its share of the document's n-grams is the score.
 
-Every text is read whole, in pieces of bounded size. Null text, or text without a letter, is `und` with score
-0; so is all text if nothing was learnt. Equal counts go to the first language by code point. Rows are
+Every text is read whole, in pieces of bounded size. Null text, text without a letter, or text whose corrected
+counts are 0 for all languages, is `und` with score 0; so is all text if nothing was learnt. Equal counts go to the first language by code point. Rows are
 independent, so repeated rows repeat their result; an empty table gives an empty one. The sample's bound
 is LEARN_DOCS documents a language, drawn by a hash of the id; LEARN_GRAMS bounds a language's n-grams. Those in fewer
 than LEAST_DOCS documents are left out, but only of a language with ENOUGH_DOCS that gave n-grams."""
@@ -110,7 +110,8 @@ class Model:
             found = slots[at] if found is None else found & slots[at]
         return found
 
-    def predict(self, texts) -> tuple[list[str], np.ndarray]:
+    def counts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the corrected count for each language, the number of n-grams, and whether it has a letter."""
         n = len(texts)
         count, total = np.zeros((n, len(self.langs))), np.zeros(n)
         some = np.zeros(n, dtype=bool)
@@ -125,11 +126,16 @@ class Model:
                 np.add.at(count[:, i], at, upto[hi] - upto[lo])
             for i, part in batch:
                 some[i] |= any(map(str.isalpha, part))
+        return np.maximum(0, (count - total[:, None] * self.false) / (1 - np.minimum(self.false, 0.999))), total, some
+
+    def predict(self, texts) -> tuple[list[str], np.ndarray]:
+        n = len(texts)
         if not self.langs:
             return [UNKNOWN] * n, np.zeros(n)
-        right = np.maximum(0, (count - total[:, None] * self.false) / (1 - np.minimum(self.false, 0.999)))
+        right, total, some = self.counts(texts)
         best = right.argmax(1)
-        score = np.where(some & (total > 0), right[np.arange(n), best] / np.maximum(total, 1), 0.0)
+        some &= right.max(1) > 0
+        score = np.where(some, right[np.arange(n), best] / np.maximum(total, 1), 0.0)
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], np.clip(score, 0, 1)
 
 
@@ -181,13 +187,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, with all their columns, whose language is not `und`."""
+    """The documents, with all their columns, that have a letter and evidence for a language.
+
+    Evidence isn't asked for where there can be none: if nothing was learnt, or nothing of the language a document is labelled with."""
+    learnt = {x for x, n in zip(model.langs, model.false, strict=True) if n > 0}
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            lang, _ = sent.value.predict(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            right, _, some = sent.value.counts(batch.column("text").to_pylist())
+            unlearnt = np.array([x is not None and x not in learnt for x in batch.column("lang").to_pylist()], dtype=bool)
+            yield batch.filter(pa.array(some & (right.any(axis=1) | unlearnt | (not learnt))))
 
     return docs.mapInArrow(lean(run), docs.schema)
 

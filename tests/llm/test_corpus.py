@@ -175,6 +175,16 @@ def test_language_id_learns_rare_languages(spark):
     assert got[ids[200]] == got[1001] == "bb" and got[ids[0]] == "aa"
 
 
+def test_language_stage_goes_by_evidence(spark):
+    rows = [(i, f"the shaing of thoer number {'abc'[i % 3]}", "aa") for i in range(40)] + [(90, "日本語の文章です", None), (91, "12", "aa"), (92, "the shaing", None)]
+    rows += [(next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2), "საქართველო", "ka")]  # held out, so not learnt
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = {r.doc_id for r in language_id.keep_known(docs, language_id.learn(docs)).collect()}
+    assert left == {r[0] for r in rows} - {90, 91}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language_id.keep_known(bare, language_id.learn(bare)).collect()} == {r[0] for r in rows} - {91}
+
+
 # top-k search
 
 

@@ -265,6 +265,11 @@ def test_exact_dedup(spark, texts):
     assert exact_dedup.dedup_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_an_id_with_two_texts(spark):
+    kept = exact_dedup.exact_dedup(make(spark, ["a", "b", "b"], ids=[1, 1, 2]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a"), (2, "b")]
+
+
 def test_misra_gries_keeps_heavy_hitters():
     import pandas as pd
 

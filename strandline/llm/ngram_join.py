@@ -11,8 +11,8 @@ the two sizes. A part with many rows is cut into chunks, a task for each pair of
 row's number of links and a spanning forest, never its pairs; components are found by contraction.
 
 Two documents link when 100 * |intersection| >= 75 * |union| (for similarity 0.75). Null and empty text, and text without words, has no shingles and links with
-nothing. Repeated rows are documents with equal sets. Rows that share a doc_id count as one document of several texts. An empty
-table gives an empty result. Null doc_ids get no component of their own: they carry the smallest id of their class."""
+nothing. Repeated rows are documents with equal sets. Rows that share a doc_id count as one document of several texts: the
+texts whose classes it represents share a component, and n_links is of the row's own text. An empty table gives an empty result. Null doc_ids get no component of their own: they carry the smallest id of their class."""
 
 from __future__ import annotations
 
@@ -217,12 +217,12 @@ def links_of(sets: list[np.ndarray], left: int, percent: int) -> np.ndarray:
     return link
 
 
-def block_result(ids: np.ndarray, weight: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, smallest id that the block links it with, documents it links with)."""
-    ids, first = np.unique(ids, return_index=True)
-    weight, chunk, sets = weight[first], chunk[first], [sets[i] for i in first]
-    order = np.argsort(chunk, kind="stable")
-    ids, weight, sets = ids[order], weight[order], [sets[i] for i in order]
+def block_result(ids: np.ndarray, keys: np.ndarray, weight: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, key of the class, smallest id that the block links the id with, documents that the class links with)."""
+    order = np.lexsort((keys, ids))
+    order = order[np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])])]
+    order = order[np.argsort(chunk[order], kind="stable")]
+    ids, keys, weight, chunk, sets = ids[order], keys[order], weight[order], chunk[order], [sets[i] for i in order]
     left = int((chunk == chunk.min()).sum())
     link = links_of(sets, left, percent)
     if left < len(ids):
@@ -232,11 +232,11 @@ def block_result(ids: np.ndarray, weight: np.ndarray, chunk: np.ndarray, sets: l
     else:
         counts = link @ weight
         a, b = np.nonzero(np.triu(link))
-    root = ids.copy()
+    nodes, at = np.unique(ids, return_inverse=True)  # the classes of one id are one node
+    root = nodes.copy()
     tree = forest(np.column_stack([ids[a], ids[b]]))
-    order = np.argsort(ids)
-    root[order[np.searchsorted(ids[order], tree[:, 1])]] = tree[:, 0]
-    return ids, root, counts
+    root[np.searchsorted(nodes, tree[:, 1])] = tree[:, 0]
+    return ids, keys, root[at], counts
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -268,22 +268,22 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = docs.mapInArrow(lean(fetch), "rep long, d0 long, shingles binary").join(broadcast_if_small(members), ["rep", "d0"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     # A part in one chunk is one block; of several, each pair of chunks is (a chunk meets itself in a block of its own).
-    dealt = sets.withColumn("other", other).select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "size", "chunk", "shingles")
+    dealt = sets.withColumn("other", other).select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "d0", "size", "chunk", "shingles")
     dealt = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
 
         def done() -> pa.RecordBatch:
-            ids, weight, chunk = (np.array([h[k] for h in held], dtype=np.int64) for k in range(3))
-            a, b, n = block_result(ids, weight, chunk, [np.frombuffer(h[3], dtype=np.uint64) for h in held], percent)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "links"])
+            ids, keys, weight, chunk = (np.array([h[k] for h in held], dtype=np.int64) for k in range(4))
+            found = block_result(ids, keys, weight, chunk, [np.frombuffer(h[4], dtype=np.uint64) for h in held], percent)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "d0", "b", "links"])
 
         def whole() -> bool:  # a pair of chunks one of which is empty has nothing to count
-            return bool(held) and len({h[2] for h in held}) == 1 + (block[1] != block[2])
+            return bool(held) and len({h[3] for h in held}) == 1 + (block[1] != block[2])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if row[:3] != block:
                     if whole():
                         yield done()
@@ -292,10 +292,10 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if whole():
             yield done()
 
-    found = materialise(dealt.mapInArrow(lean(multiply), "a long, b long, links long"), "links")
+    found = materialise(dealt.mapInArrow(lean(multiply), "a long, d0 long, b long, links long"), "links")
     roots = components(found.select("a", "b"), "components")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    links = found.groupBy(F.col("a").alias("rep"), "d0").agg(F.sum("links").alias("links"))
+    known = classes.join(links, ["rep", "d0"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("d0", "d1", "size", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.join(known, ["d0", "d1"])
     alone = F.col("n") == 0

@@ -87,6 +87,20 @@ def test_ngram_join_edges(spark):
     assert sorted(got) == [(2, 1, 2, 2, 3), (5, 1, 2, 2, 3), (5, 1, 2, 2, 3), (6, 0, 6, 0, 1)]
 
 
+@pytest.mark.parametrize("rows", [1024, 2])
+def test_ngram_join_of_an_id_with_two_texts(spark, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROWS", rows)
+
+    def at(words, places):
+        return [f"e{i}" if i in places else w for i, w in enumerate(words)]
+
+    x = [f"w{i}" for i in range(200)]
+    y = at(x, (10, 30, 50, 70))
+    some = [x, y, at(y, (90, 110, 130, 150)), at(x, (95, 115, 135, 155))]  # the third links with the second only, the fourth with the first
+    got = ngram_join.ngram_join(make(spark, [" ".join(t) for t in some], ids=[1, 1, 2, 3])).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 2), (1, 1, 2), (2, 1, 1), (3, 1, 1)]
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, texts):
     kept = ngram_join.near_dedup(make(spark, texts))
     assert kept.columns == make(spark, []).columns

@@ -314,7 +314,8 @@ def url_normalise(spark, sf_dir):
 t AS (SELECT *, {sql_tokens('part')} AS tokens FROM l),
 c AS (SELECT *, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 256) AS INTEGER) AS chunk FROM t)
 SELECT doc_id, chunk, CAST(min(line) AS INTEGER) AS first_line, CAST(max(line) AS INTEGER) AS last_line, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS lines FROM c GROUP BY doc_id, chunk""")
-def heading_chunks(spark, sf_dir):
+def line_chunks(spark, sf_dir):
+    """Lines packed by running token count; headings aren't looked at, and nothing overlaps."""
     return windows.paragraph_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 256)
 
 

@@ -278,3 +278,9 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"five_arm_scoreboard", "segmented_scoreboard"}))
 def test_other_queries_give_rows(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_line_chunks_go_by_that_name():
+    from strandline.plans import queries
+
+    assert "line_chunks" in queries.QUERIES and "heading_chunks" not in queries.QUERIES

@@ -71,28 +71,57 @@ def merged_slices(parts: DataFrame, size: int, kind: type, add: Callable, last:
         if at is not None:
             yield done()
 
-    out = np.zeros(size, dtype=np.uint8)
-    each = size // SLICES
-    for row in parts.select("slice", "blob").repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(run), "slice int, blob binary").collect():  # SLICES rows
-        out[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(zlib.decompress(row["blob"]), dtype=np.uint8)
-    return out
+    return _table(parts.select("slice", "blob").repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(run), "slice int, blob binary"), size)
 
 
-def key_filter(keys: DataFrame, most_bits: int = 30) -> np.ndarray:
-    """A Bloom filter (two bits a key) of the one column of keys: bits grow with the count, to 2^most_bits at most.
+#: Keys up to which a filter of them may be broadcast: 2^28 bits at most. Beyond, callers join.
+FILTER_KEYS = 1 << 24
 
-    It lets rows through that the join after it drops; a full one lets all through, which only costs time."""
-    bits = min(most_bits, max(20, (16 * keys.count()).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, dtype=bool)
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the one column of keys, n of them and no more than FILTER_KEYS: two places a key among 8 to 16 bits a key.
+
+    It lets rows through that the join or comparison after it drops. Places are shuffled, not tables, so that what is
+    moved grows with the keys and not with the tasks; a task holds one of SLICES parts of the table."""
+    if n > FILTER_KEYS:
+        raise ValueError("too many keys for a broadcast filter")
+    bits = max(20, (8 * n).bit_length())
+    each = (1 << bits) // SLICES
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in _slots(np.asarray(batch.column(0)), bits):
-                table[at] = True
-        rows = list(sliced(np.packbits(table)))
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["slice", "blob"])
+            at = np.unique(np.concatenate(list(_slots(np.asarray(batch.column(0)), bits))))
+            cut = np.searchsorted(at, np.arange(SLICES + 1) * each)
+            rows = [(i, (at[lo:hi] - i * each).astype("<u4").tobytes()) for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["slice", "blob"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())], names=["slice", "blob"])
 
-    return merged_slices(keys.mapInArrow(lean(run), "slice int, blob binary"), (1 << bits) // 8, np.uint8, np.bitwise_or, lambda x: x)
+        for batch in batches:
+            for i, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if i != at:  # slices come one after the other
+                    if at is not None:
+                        yield done()
+                    at, part = i, np.zeros(each, dtype=bool)
+                part[np.frombuffer(blob, "<u4")] = True
+        if at is not None:
+            yield done()
+
+    sent = keys.mapInArrow(lean(places), "slice int, blob binary").repartition("slice").sortWithinPartitions("slice")
+    return _table(sent.mapInArrow(lean(build), "slice int, blob binary"), (1 << bits) // 8)
+
+
+def _table(slices: DataFrame, size: int) -> np.ndarray:
+    """The bytes of a table from its SLICES rows."""
+    out = np.zeros(size, dtype=np.uint8)
+    each = size // SLICES
+    for row in slices.collect():
+        out[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(zlib.decompress(row["blob"]), dtype=np.uint8)
+    return out
 
 
 def in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, documents, lean, materialise, small
-from .graph import components, in_filter, key_filter, merged_slices, sliced
+from .graph import FILTER_KEYS, components, in_filter, key_filter, merged_slices, sliced
 from .shingles import shingle_sets
 
 PERCENT = 75
@@ -255,17 +255,20 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = sizes.select("part", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("shingles") / SHINGLES)).cast("int").alias("chunks"))
     members = members.join(sizes, "part").select("part", "rep", "d0", "size", "chunks", F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("chunks"))).cast("int").alias("chunk"))
     members = materialise(members, "members")
-    sent = spark.sparkContext.broadcast(key_filter(members.select("rep")))
+    n = members.count()
+    sent = spark.sparkContext.broadcast(key_filter(members.select("rep"), n)) if n <= FILTER_KEYS else None
+    asked = docs if sent else docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             batch = batch.filter(batch.column("doc_id").is_valid())
-            batch = batch.filter(pa.array(in_filter(sent.value, np.asarray(batch.column("doc_id")))))
+            if sent:
+                batch = batch.filter(pa.array(in_filter(sent.value, np.asarray(batch.column("doc_id")))))
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist())]
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=16).digest()[:8], "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "d0", "shingles"])
 
-    sets = docs.mapInArrow(lean(fetch), "rep long, d0 long, shingles binary").join(broadcast_if_small(members), ["rep", "d0"])
+    sets = asked.mapInArrow(lean(fetch), "rep long, d0 long, shingles binary").join(broadcast_if_small(members), ["rep", "d0"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     # A part in one chunk is one block; of several, each pair of chunks is (a chunk meets itself in a block of its own).
     dealt = sets.withColumn("other", other).select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "d0", "size", "chunk", "shingles")

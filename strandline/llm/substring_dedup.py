@@ -3,10 +3,16 @@
 Each 100-byte string has an anchor: the KMER-byte string in it with the smallest hash. Strings that follow each
 other with one anchor make a span, so spans part the strings of a text, and equal strings have equal anchors. Spans are
 shuffled by anchor. Of equal spans all but the first are removed as a whole (inside a task before anything is
-shuffled, which keeps hot passages small). Where an anchor has several different spans, the collection's
-Burrows-Wheeler transform and common prefixes are built column by column over their bytes, with files that
-each round reads and writes in order; suffixes whose common prefix is 100 bytes or more are equal strings, of which all but the first are removed.
-No text is longer than two strings there, so rounds are bounded whatever a document's length is.
+shuffled, which keeps hot passages small). An anchor with very many different spans is split: its spans are dealt
+anew by their own hash.
+
+Where an anchor has several different spans, their strings are grouped by how many bytes stand before the anchor:
+strings of one range of such distances share the bytes around the anchor that all of them cover. Each group becomes a
+collection whose Burrows-Wheeler transform and common prefixes are built column by column; suffixes whose common prefix is 100
+bytes or more are equal strings, of which all but the first are removed. A group with more texts than GROUP is split into
+two narrower ranges until it is small; a range of one distance is one string, whose first place is found by a
+partial aggregate. So no task holds more than a group, whatever a passage's number of surroundings is,
+and rounds are bounded by the length of two strings whatever a document's length is.
 
 Earlier means a smaller doc_id, or the same document and an earlier start; matches never cross documents. Null
 text is empty. If doc_ids are null or repeat, rows are ordered by (doc_id, text), nulls last, and a
@@ -19,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collection_bwt import repeated
-from .common import documents, global_rank, lean, materialise, small
-from .graph import in_filter, key_filter
+from .common import broadcast_if_small, documents, global_rank, lean, materialise, small
+from .graph import FILTER_KEYS, in_filter, key_filter
 from .shingles import _powers, mixed
 
 LENGTH, KMER = 100, 32
-#: Bytes of text worked on at once (places in them take PLACE bits), entries held before they are sent, texts of a block of the transform.
-PLACE, HELD, BLOCK = 18, 1 << 19, 4096
+#: Bytes of text worked on at once (places in them take PLACE bits), entries held before they are sent, texts of a block of the transform and of a group.
+PLACE, HELD, BLOCK, GROUP = 18, 1 << 19, 4096, 1 << 15
+#: Different spans of an anchor among the entries held, from which on they are dealt by span; the same for those of all tasks.
+MANY, VERY_MANY = 64, 1 << 16
 _RANDOM = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -116,8 +124,25 @@ def runs_batch(e: np.ndarray, **more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["key", "first", "last", "variant"])
 
 
+def by_bucket(e: np.ndarray, hashes: np.ndarray, buckets: int, first: int = 0) -> list[tuple[int, bytes]]:
+    """Entries packed by range of the hash, with the number of the range, counted from `first`."""
+    order = np.argsort(hashes, kind="stable")
+    e = e[order]
+    at = np.searchsorted(hashes[order] >> np.uint64(64 - buckets.bit_length() + 1), np.arange(buckets + 1))
+    return [(first + b, pack(e[lo:hi])) for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+
+
+def crowded(e: np.ndarray, most: int) -> np.ndarray:
+    """Anchors with more than `most` of the entries, which are sorted by anchor."""
+    at = np.flatnonzero(np.append(True, e["anchor"][1:] != e["anchor"][:-1])) if len(e) else np.empty(0, dtype=np.int64)
+    return e["anchor"][at][np.diff(np.append(at, len(e))) > most]
+
+
 def anchored(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, entries) of spans packed by range of anchor, or, with a null bucket, spans that a task itself found repeated."""
+    """Rows (bucket, entries) of the first of each task's equal spans, packed by range of the anchor's hash (anchors
+    themselves are small, being least among many), or (from bucket
+    number `buckets` on) by range of span where the task has many of an anchor; or, with a null bucket, spans that the
+    task itself found repeated. A row's `split` names the anchors of its bucket that some task deals by span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -125,11 +150,16 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
         def send() -> Iterator[pa.RecordBatch]:
             e, new, again = split_equal(np.concatenate(held))
             held.clear()
-            rows = [(None, pack(e[again]))] if again.any() else []
+            rows = [(None, pack(e[again]), None)] if again.any() else []
             e = e[new]
-            at = np.searchsorted(e["anchor"] >> np.uint64(64 - buckets.bit_length() + 1), np.arange(buckets + 1))
-            rows += [(b, pack(e[lo:hi])) for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "entries"])
+            many = crowded(e, MANY)
+            apart = np.isin(e["anchor"], many)
+            rows += [(b, x, None) for b, x in by_bucket(e[~apart], mixed(e["anchor"][~apart]), buckets)]
+            rows += [(b, x, None) for b, x in by_bucket(e[apart], e["span"][apart], buckets, buckets)]
+            where = (mixed(many) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+            rows += [(int(b), None, many[where == b].tobytes()) for b in np.unique(where)]
+            arrays = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "entries", "split"])
 
         total = 0
         for batch in small(batches):
@@ -145,72 +175,170 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from send()
 
-    return docs.select("key", "text").mapInArrow(lean(run), "bucket int, entries binary")
+    return docs.select("key", "text").mapInArrow(lean(run), "bucket int, entries binary, split binary")
 
 
 RUNS = "key long, first int, last int, variant boolean"
+DEALT = RUNS + ", bucket int, entries binary"
+
+
+def dealt_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Packed entries that go on by span, as rows of DEALT without a run."""
+    none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_())]
+    return pa.RecordBatch.from_arrays([*none, pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["key", "first", "last", "variant", "bucket", "entries"])
+
+
+def with_nulls(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names=[*batch.schema.names, "bucket", "entries"])
 
 
-def compare_spans(entries: DataFrame) -> DataFrame:
-    """RUNS of all spans that repeat an earlier one, and of the first of each span whose anchor has others."""
+def compare_spans(entries: DataFrame, buckets: int) -> DataFrame:
+    """DEALT rows: runs of all spans that repeat an earlier one, and of the first of each span whose anchor has others.
+
+    Rows come sorted by bucket, so a worker holds one bucket at a time. Entries of anchors that are dealt by span, as
+    the bucket's `split` or its own count says, go on without being held."""
+
+    def finish(e: np.ndarray, apart: np.ndarray) -> Iterator[pa.RecordBatch]:
+        e, new, again = split_equal(e)
+        yield with_nulls(runs_batch(e[again]))
+        e = e[new]
+        on = np.isin(e["anchor"], apart)
+        if on.any():
+            yield dealt_batch(by_bucket(e[on], e["span"][on], buckets))
+            e = e[~on]
+        same = e["anchor"][1:] == e["anchor"][:-1]
+        yield with_nulls(runs_batch(e[np.append(same, False) | np.insert(same, 0, False)] if len(e) else e, variant=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
+        bucket, held, apart, n, enough = None, [], np.empty(0, dtype=np.uint64), 0, VERY_MANY
         for batch in batches:
-            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            for b, x, split in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if b is None:
-                    yield runs_batch(unpack([x]))
-                else:
-                    blobs.setdefault(b, []).append(x)
-        while blobs:
-            e, new, again = split_equal(unpack(blobs.popitem()[1]))
-            yield runs_batch(e[again])
-            e = e[new]
-            same = e["anchor"][1:] == e["anchor"][:-1]
-            yield runs_batch(e[np.append(same, False) | np.insert(same, 0, False)], variant=True)
+                    yield with_nulls(runs_batch(unpack([x])))
+                    continue
+                if b >= buckets:
+                    yield dealt_batch([(b - buckets, x)])
+                    continue
+                if b != bucket:
+                    if held:
+                        yield from finish(np.concatenate(held), apart)
+                    bucket, held, apart, n, enough = b, [], np.empty(0, dtype=np.uint64), 0, VERY_MANY
+                if split is not None:
+                    apart = np.union1d(apart, np.frombuffer(split, np.uint64))
+                    continue
+                held.append(unpack([x]))
+                n += len(held[-1])
+                if n > enough:  # what repeats, and anchors that have become crowded, leave
+                    e, new, again = split_equal(np.concatenate(held))
+                    yield with_nulls(runs_batch(e[again]))
+                    e = e[new]
+                    apart = np.union1d(apart, crowded(e, VERY_MANY // 4))
+                    on = np.isin(e["anchor"], apart)
+                    if on.any():
+                        yield dealt_batch(by_bucket(e[on], e["span"][on], buckets))
+                    held, n = [e[~on]], int((~on).sum())
+                    enough = max(VERY_MANY, 2 * n)
+        if held:
+            yield from finish(np.concatenate(held), apart)
 
     # Repeats that a task has found need no place; they go to any.
-    return entries.repartition(F.coalesce("bucket", (-F.rand(7) * 1e6).cast("int"))).mapInArrow(lean(run), RUNS)
+    dealt = entries.repartition(F.coalesce("bucket", (-F.rand(7) * 1e6).cast("int"))).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lean(run), DEALT)
+
 
+def compare_dealt(entries: DataFrame) -> DataFrame:
+    """RUNS of spans dealt by span: those that repeat an earlier one, and the first of each."""
 
-def variants(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, anchor, at, key, first, bytes) of the spans in wanted (and of a few more, which do no harm)."""
-    keys = wanted.select((F.col("key") * 1_000_003 + F.col("first")).alias("k"))
-    sent = docs.sparkSession.sparkContext.broadcast(key_filter(keys))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            e, new, again = split_equal(unpack(held))
+            yield runs_batch(e[again])
+            yield runs_batch(e[new], variant=True)
+
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != bucket:
+                    if held:
+                        yield from done()
+                    bucket, held = b, []
+                held.append(x)
+        if held:
+            yield from done()
+
+    return entries.select("bucket", "entries").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), RUNS)
+
+
+def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(at, key, first, part): bytes of the spans in wanted (and of a few more, which do no harm), and where in them the anchor stands."""
+    place = F.shiftleft("key", 20).bitwiseXOR(F.col("first").cast("long"))
+    n = wanted.count()
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(place.alias("k")), n)) if n <= FILTER_KEYS else None
+    rows = docs.select("key", "text")
+    if sent is None:  # beyond the filter's size each document meets its own spans
+        rows = rows.join(wanted.groupBy("key").agg(F.collect_list("first").alias("firsts")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             key, texts = np.asarray(batch.column("key")), utf8(batch.column("text"))
-            for i, first, last, anchor, _, at in spans(texts):
-                keep = in_filter(sent.value, key[i] * 1_000_003 + first)
+            firsts = [set(x) for x in batch.column("firsts").to_pylist()] if sent is None else None
+            for i, first, last, _, _, at in spans(texts):
+                keep = np.array([f in firsts[k] for k, f in zip(i, first, strict=True)], dtype=bool) if sent is None else in_filter(sent.value, (key[i] << 20) ^ first)
                 if not keep.any():
                     continue
-                i, first, last, anchor, at = (x[keep] for x in (i, first, last, anchor, at))
+                i, first, last, at = (x[keep] for x in (i, first, last, at))
                 part = [texts[k][f : e + LENGTH] for k, f, e in zip(i, first, last, strict=True)]
-                bucket = (anchor >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
-                arrays = [pa.array(bucket), pa.array(anchor.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(key[i]), pa.array(first.astype(np.int32)), pa.array(part, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "anchor", "at", "key", "first", "part"])
+                arrays = [pa.array(at.astype(np.int32)), pa.array(key[i]), pa.array(first.astype(np.int32)), pa.array(part, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["at", "key", "first", "part"])
 
-    return docs.select("key", "text").mapInArrow(lean(run), "bucket int, anchor long, at int, key long, first int, part binary")
+    return rows.mapInArrow(lean(run), "at int, key long, first int, part binary")
 
 
-def shares_context(anchor: np.ndarray, at: np.ndarray, part: list[bytes]) -> np.ndarray:
-    """Whether another text shares the half of the bytes on one side of the anchor that a common string needs on one side at least."""
-    side = (LENGTH - KMER) // 2
-    out = np.zeros(len(part), dtype=bool)
-    for lo, hi in ((-side, KMER), (0, KMER + side)):
-        seen: dict[tuple[int, bytes], int] = {}
-        for i, (a, x, p) in enumerate(zip(anchor.tolist(), at.tolist(), part, strict=True)):
-            if x + lo < 0 or x + hi > len(p):
-                continue
-            j = seen.setdefault((a, p[x + lo : x + hi]), i)
-            if j != i:
-                out[i] = out[j] = True
-    return out
+#: Distances of the anchor from the start of a string: two ranges at first.
+WIDTH = LENGTH - KMER
+RANGES = [(0, WIDTH // 2), (WIDTH // 2 + 1, WIDTH)]
 
 
-def compare_bytes(rows: DataFrame) -> DataFrame:
+def in_ranges(rows: DataFrame, low: Column, high: Column) -> DataFrame:
+    """rows cut to the strings whose anchor stands low to high bytes after their start, with h, the hash of the bytes
+    that all such strings cover. Rows without such a string go."""
+    cut = rows.withColumns({"lo": low, "hi": high})
+    begin, end = F.greatest(F.lit(0), F.col("at") - F.col("hi")), F.least(F.octet_length("part"), F.col("at") - F.col("lo") + LENGTH)
+    cut = cut.withColumns({"_b": begin, "_e": end}).filter(F.col("_e") - F.col("_b") >= LENGTH)
+    shared = F.substring("part", F.col("at") - F.col("lo") + 1, LENGTH - (F.col("hi") - F.col("lo")))
+    return cut.select(
+        F.xxhash64(shared).alias("h"), "lo", "hi", (F.col("at") - F.col("_b")).alias("at"), "key", (F.col("first") + F.col("_b")).alias("first"),
+        F.substring("part", F.col("_b") + 1, F.col("_e") - F.col("_b")).alias("part"))
+
+
+def compare_variants(rows: DataFrame) -> DataFrame:
     """RUNS of strings in the variants that stand earlier in another (or in the same) one."""
+    limits = F.explode(F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in RANGES]))
+    left = rows.select("*", limits.alias("r"))
+    left = in_ranges(left, F.col("r.lo"), F.col("r.hi"))
+    found = None
+    while True:
+        left = materialise(left, "variants")
+        crowds = materialise(left.groupBy("h", "lo").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("h", "lo"), "crowds")
+        hot = broadcast_if_small(crowds)
+        some = compare_bytes(left.join(hot, ["h", "lo"], "left_anti"))
+        found = some if found is None else found.unionByName(some)
+        if crowds.isEmpty():
+            return found
+        crowd = left.join(hot, ["h", "lo"], "left_semi")
+        whole = crowd.filter("lo = hi")  # each row is one string
+        first = whole.groupBy("part").agg(F.min(F.struct("key", "first")).alias("f"))
+        again = whole.join(broadcast_if_small(first), "part").filter((F.col("key") != F.col("f.key")) | (F.col("first") != F.col("f.first")))
+        found = found.unionByName(again.select("key", "first", F.col("first").alias("last"), F.lit(False).alias("variant")))
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))
+        parted = crowd.filter("lo < hi").withColumn("r", F.explode(halves)).select("at", "key", "first", "part", "r")
+        left = in_ranges(parted, F.col("r.lo"), F.col("r.hi"))
+
+
+def compare_bytes(rows: DataFrame) -> DataFrame:
+    """RUNS of repeated strings in groups of equal h, none of which is larger than GROUP, by the transform."""
 
     def block(key: np.ndarray, first: np.ndarray, part: list[bytes]) -> pa.RecordBatch:
         group, text, offset = repeated(part, LENGTH)
@@ -233,36 +361,48 @@ def compare_bytes(rows: DataFrame) -> DataFrame:
         arrays = [pa.array(e["key"]), pa.array(e["first"].astype(np.int32)), pa.array((e["first"] + e["n"]).astype(np.int32)), pa.array(np.zeros(len(e), dtype=bool))]
         return pa.RecordBatch.from_arrays(arrays, names=["key", "first", "last", "variant"])
 
+    def alone(h: np.ndarray) -> np.ndarray:  # whose text repeats nothing
+        same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+        return ~(same[: len(h)] | same[1 : len(h) + 1])
+
     def blocks(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, at, key, first = (held.column(c).to_numpy() for c in ("anchor", "at", "key", "first"))
-        part = held.column("part").to_pylist()
-        keep = np.flatnonzero(shares_context(anchor, at, part))
-        anchor, key, first, part = anchor[keep], key[keep], first[keep], [part[i] for i in keep]
+        held = held.filter(pa.array(~alone(held.column("h").to_numpy())))
+        h, key, first, part = held.column("h").to_numpy(), held.column("key").to_numpy(), held.column("first").to_numpy(), held.column("part").to_pylist()
+        seen: set[tuple[int, bytes]] = set()
+        again = np.zeros(len(h), dtype=bool)  # equal texts of one group: the first stands for all
+        for i, x in enumerate(zip(h.tolist(), part, strict=True)):
+            again[i] = x in seen
+            seen.add(x)
+        if again.any():
+            size = np.array([len(part[i]) for i in np.flatnonzero(again)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(first[again]), pa.array(first[again] + size - LENGTH), pa.array(np.zeros(len(size), dtype=bool))], names=["key", "first", "last", "variant"])
+        left = np.flatnonzero(~again)
+        left = left[~alone(h[left])]
+        h, key, first, part = h[left], key[left], first[left], [part[i] for i in left]
         lo = 0
-        while lo < len(part):  # blocks end between anchors
+        while lo < len(part):  # blocks end between groups
             hi = min(lo + BLOCK, len(part))
-            while hi < len(part) and anchor[hi] == anchor[hi - 1]:
+            while hi < len(part) and h[hi] == h[hi - 1]:
                 hi += 1
             yield block(key[lo:hi], first[lo:hi], part[lo:hi])
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, enough = [], 0, BLOCK
-        for batch in batches:  # sorted by anchor: a worker holds a block and the anchor at its end
+        held, rows = [], 0
+        for batch in batches:  # sorted by h, then place: a worker holds a few blocks and the group at their end
             held.append(batch)
             rows += batch.num_rows
-            if rows < enough:
+            if rows < 4 * BLOCK:
                 continue
             table = pa.Table.from_batches(held)
-            cut = int(np.searchsorted(table.column("anchor").to_numpy(), table.column("anchor")[-1].as_py()))
+            cut = int(np.searchsorted(table.column("h").to_numpy(), table.column("h")[-1].as_py()))
             if cut:
                 yield from blocks(table.slice(0, cut))
             held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-            enough = max(BLOCK, 2 * rows)
         if rows:
             yield from blocks(pa.Table.from_batches(held))
 
-    return rows.repartition("bucket").sortWithinPartitions("anchor").mapInArrow(lean(run), RUNS)
+    return rows.select("h", "key", "first", "part").repartition("h").sortWithinPartitions("h", "key", "first").mapInArrow(lean(run), RUNS)
 
 
 def removed(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,8 +421,9 @@ def substring_dedup(docs: DataFrame, kept: bool = False) -> DataFrame:
     odd = docs.filter("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     keyed = docs.withColumn("key", F.col("doc_id")) if odd else global_rank(docs, [F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit(""))], "keyed", "key").withColumn("key", F.col("key").cast("long"))
     buckets = max(256, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    found = materialise(compare_spans(anchored(keyed, buckets)), "equal_spans")
-    more = compare_bytes(variants(keyed, found.filter("variant"), buckets))
+    spans_ = materialise(compare_spans(anchored(keyed, buckets), buckets), "equal_spans")
+    found = spans_.filter("entries is null").select("key", "first", "last", "variant").unionByName(compare_dealt(materialise(spans_.filter("entries is not null"), "dealt_spans")))
+    more = compare_variants(variants(keyed, found.filter("variant")))
     runs = found.filter("not variant").unionByName(more).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = keyed.join(runs, "key", "left").select("doc_id", "text", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
 

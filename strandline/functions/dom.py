@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -33,29 +34,55 @@ class Page:
     parent: list[int] = field(default_factory=list)
     last: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)  # number of ancestors
+    # Made when the page is closed: the rows of each tag, the text rows, and the elements below each row.
+    rows_of: dict[str, list[int]] = field(default_factory=dict, repr=False)
+    texts: list[int] = field(default_factory=list, repr=False)
+    kids: dict[int, list[int]] = field(default_factory=dict, repr=False)
 
     def add(self, kind: str, tag: str, attrs: dict[str, str], text: str, parent: int) -> int:
         i = len(self.kind)
-        for column, value in ((self.kind, kind), (self.tag, tag), (self.attrs, attrs), (self.text, text), (self.parent, parent), (self.last, i), (self.depth, self.depth[parent] + 1 if parent >= 0 else 0)):
-            column.append(value)
+        self.kind.append(kind)
+        self.tag.append(tag)
+        self.attrs.append(attrs)
+        self.text.append(text)
+        self.parent.append(parent)
+        self.last.append(i)
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         return i
 
     def close(self) -> Page:
-        for i in range(len(self.kind) - 1, 0, -1):
-            p = self.parent[i]
-            self.last[p] = max(self.last[p], self.last[i])
+        """Fills in what follows from the parents, in one pass each way."""
+        last, parent = self.last, self.parent
+        for i in range(len(last) - 1, 0, -1):
+            if last[parent[i]] < last[i]:
+                last[parent[i]] = last[i]
+        for i, kind in enumerate(self.kind):
+            if kind == "text":
+                self.texts.append(i)
+            elif kind == "element":
+                self.rows_of.setdefault(self.tag[i], []).append(i)
+                self.kids.setdefault(parent[i], []).append(i)
         return self
 
     def find(self, *tags: str, under: int | None = None) -> list[int]:
         """Elements with one of the tags, in document order; strictly below `under` if it is given."""
-        span = range(len(self.tag)) if under is None else range(under + 1, self.last[under] + 1)
-        return [i for i in span if self.tag[i] in tags]
+        found: list[int] = []
+        for tag in tags:
+            rows = self.rows_of.get(tag)
+            if rows:
+                found += rows if under is None else rows[bisect_right(rows, under) : bisect_right(rows, self.last[under])]
+        return sorted(found) if len(tags) > 1 else found
+
+    def count(self, *tags: str, under: int) -> int:
+        """How many elements with one of the tags stand strictly below `under`."""
+        lists = [rows for t in tags if (rows := self.rows_of.get(t))]
+        return sum(bisect_right(rows, self.last[under]) - bisect_right(rows, under) for rows in lists)
 
     def elements(self) -> list[int]:
         return [i for i, k in enumerate(self.kind) if k == "element"]
 
     def children(self, i: int) -> list[int]:
-        return [j for j in range(i + 1, self.last[i] + 1) if self.parent[j] == i and self.kind[j] == "element"]
+        return self.kids.get(i, [])
 
     def ancestors(self, i: int) -> list[int]:
         out = []
@@ -67,7 +94,8 @@ class Page:
         return a <= b <= self.last[a]
 
     def content(self, i: int) -> str:
-        return "".join(self.text[j] for j in range(i, self.last[i] + 1) if self.kind[j] == "text")
+        at = self.texts
+        return "".join([self.text[j] for j in at[bisect_left(at, i) : bisect_right(at, self.last[i])]])
 
     def body(self) -> int | None:
         return next(iter(self.find("body")), None)
@@ -171,11 +199,19 @@ class _Builder(HTMLParser):
     def handle_comment(self, data):
         self.page.add("comment", "", {}, data, self.stack[-1])
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section (as `<![x[`) is a comment up to the next `>`, whatever is in it."""
+        return self.parse_bogus_comment(i)
+
+
+#: Zeros in front, and numbers of so many digits that they name no character: too long ones cannot be read as numbers.
+_ZEROS, _BEYOND = re.compile("&#0{9,}(?=[0-9])"), re.compile("&#[0-9]{9,}")
+
 
 def parse(source: str | None) -> Page:
     """The page of any string: empty input gives html, head and body."""
     b = _Builder()
-    b.feed(source or "")
+    b.feed(_BEYOND.sub("&#99999999", _ZEROS.sub("&#", source or "")))
     b.close()
     for name in ("head", "body"):
         if getattr(b, name) is None:
@@ -185,6 +221,8 @@ def parse(source: str | None) -> Page:
 
 def ordered(page: Page) -> Page:
     """Rows in document order: a parent's rows must follow it without a gap, the head before the body."""
+    if _in_order(page):
+        return page.close()
     kids: dict[int, list[int]] = {}
     for i, p in enumerate(page.parent):
         kids.setdefault(p, []).append(i)
@@ -197,40 +235,99 @@ def ordered(page: Page) -> Page:
     return out.close()
 
 
-_PART = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<rest>(?:[.#][\w-]+|\[[^\]]+\])*)\Z")
+def _in_order(page: Page) -> bool:
+    """Whether each row stands below the row before it or below one of that row's ancestors, and the head before the body."""
+    above, tops = 0, [t for t, p in zip(page.tag, page.parent, strict=True) if p == 0]
+    for i, p in enumerate(page.parent[1:], 1):
+        while above != p and above >= 0:
+            above = page.parent[above]
+        if above < 0:
+            return False
+        above = i
+    rank = [{"head": 0, "body": 2}.get(t, 1) for t in tops]
+    return rank == sorted(rank)
+
+
+# A compound selector, what it tests besides the tag, and what stands between compounds.
+_TEST = r"[.#][\w-]+|\[[^\]]+\]|:(?:scope|empty|first-child|last-child|only-child|nth-child\(\s*\d+\s*\)|not\([^()]*\))"
+_PART = re.compile(rf"(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<rest>(?:{_TEST})*)")
+_STEP = re.compile(r"\s*([>+~])\s*|\s+")
+_ATTR = re.compile(r"""\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*("[^"]*"|'[^']*'|[^\s\]]+)\s*)?\]\Z""")
 
 
 def select(page: Page, selector: str) -> list[int]:
-    """Elements that match a selector list of tags, classes, ids, attributes and descendants; none if it can't be read."""
+    """Elements that match a selector list; none if it can't be read.
+
+    Compounds of tag, class, id, attribute, :scope (the page's root), :empty, :first-child, :last-child, :only-child,
+    :nth-child(n) and :not(compound), joined by descendant, child, next-sibling and later-sibling steps."""
     found: set[int] = set()
-    for one in selector.split(","):
-        parts = one.split()
-        if not parts or not all((m := _PART.match(p)) and m[0] for p in parts):
+    for one in re.split(r",(?![^\[(]*[\])])", selector):
+        parts = _steps(one.strip())
+        if parts is None:
             return []
-        for i in page.elements():
-            if not _matches(page, i, parts[-1]):
-                continue
-            left = parts[:-1]
-            for a in page.ancestors(i):
-                if left and _matches(page, a, left[-1]):
-                    left.pop()
-            if not left:
-                found.add(i)
+        found.update(i for i in page.elements() if _fits(page, i, parts, len(parts) - 1))
     return sorted(found)
 
 
-def _matches(page: Page, i: int, part: str) -> bool:
-    m = _PART.match(part)
-    if m["tag"] not in (None, "*") and page.tag[i] != m["tag"].lower():
+def _steps(one: str) -> list[tuple[str, str, str]] | None:
+    """(step before, tag, tests) of each compound."""
+    out, at, step = [], 0, ""
+    while at < len(one):
+        m = _PART.match(one, at)
+        if not m[0]:
+            return None
+        out.append((step, (m["tag"] or "*").lower(), m["rest"]))
+        at = m.end()
+        if at < len(one):
+            m = _STEP.match(one, at)
+            if not m or m.end() == len(one):
+                return None
+            step, at = m[1] or " ", m.end()
+    return out or None
+
+
+def _fits(page: Page, i: int, parts: list[tuple[str, str, str]], k: int) -> bool:
+    step, tag, rest = parts[k]
+    if tag not in ("*", page.tag[i]) or not all(_holds(page, i, t) for t in re.findall(_TEST, rest)):
         return False
-    for test in re.findall(r"[.#][\w-]+|\[[^\]]+\]", m["rest"]):
-        attrs = page.attrs[i]
-        if test[0] == "." and test[1:] not in attrs.get("class", "").split():
-            return False
-        if test[0] == "#" and attrs.get("id") != test[1:]:
+    if not step:
+        return True
+    if step in " >":
+        near = page.ancestors(i)[: None if step == " " else 1]
+    else:
+        own = _siblings(page, i)
+        near = own[: own.index(i)][::-1][: None if step == "~" else 1]
+    return any(_fits(page, j, parts, k - 1) for j in near)
+
+
+def _siblings(page: Page, i: int) -> list[int]:
+    return page.children(page.parent[i]) if page.parent[i] >= 0 else [i]
+
+
+def _holds(page: Page, i: int, test: str) -> bool:
+    attrs = page.attrs[i]
+    if test[0] == ".":
+        return test[1:] in attrs.get("class", "").split()
+    if test[0] == "#":
+        return attrs.get("id") == test[1:]
+    if test[0] == "[":
+        m = _ATTR.match(test)
+        if not m or m[1].lower() not in attrs:
             return False
-        if test[0] == "[":
-            name, _, value = test[1:-1].partition("=")
-            if name.strip() not in attrs or (value and attrs[name.strip()] != value.strip("\"' ")):
-                return False
-    return True
+        have, want = attrs[m[1].lower()], (m[3] or "").strip("\"'")
+        return {
+            None: True, "=": have == want, "~=": want in have.split(), "|=": have == want or have.startswith(want + "-"), "^=": bool(want) and have.startswith(want),
+            "$=": bool(want) and have.endswith(want), "*=": bool(want) and want in have,
+        }[m[2]]
+    if test.startswith(":not("):
+        inner = _steps(test[5:-1].strip())
+        return inner is not None and len(inner) == 1 and not _fits(page, i, inner, 0)
+    if test == ":scope":
+        return page.parent[i] < 0
+    if test == ":empty":
+        return page.last[i] == i or all(page.kind[j] == "comment" for j in range(i + 1, page.last[i] + 1))
+    own = _siblings(page, i)
+    n = own.index(i) + 1
+    if test.startswith(":nth-child"):
+        return n == int(re.search(r"\d+", test)[0][:9])
+    return {":first-child": n == 1, ":last-child": n == len(own), ":only-child": len(own) == 1}[test]

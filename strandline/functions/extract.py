@@ -48,7 +48,7 @@ def signals(page: Page) -> dict:
         if page.tag[i] == "script" and attrs.get("type", "").strip().lower() == "application/ld+json":
             try:
                 walk(json.loads(page.content(i)))
-            except ValueError:
+            except (ValueError, RecursionError):  # not JSON, or nested beyond any real page's depth
                 pass
         if "itemprop" in attrs:
             out["itemprop"] += [t for t in re.split(r"[\t\n\f\r ]+", attrs["itemprop"].lower()) if t]
@@ -61,10 +61,10 @@ def signals(page: Page) -> dict:
 
 
 def type_name(value: str) -> str:
-    """The last part of a type's name: after a slash or hash, else after a prefix's colon."""
+    """The last part of a type's name: what stands after its last slash or hash, if anything does, else what stands after a prefix's colon."""
     value = strip(value)
     tail = re.split(r"[/#]", value)[-1]
-    return (tail if tail != value else value.split(":", 1)[-1]).lower()
+    return (tail if tail and tail != value else value.split(":", 1)[-1]).lower()
 
 
 def clean(page: Page) -> Page:
@@ -86,7 +86,7 @@ def prune(page: Page, selectors: tuple[str, ...] = ()) -> Page:
     farms = []
     for i in page.find("div", "section", "li"):
         name = page.attrs[i].get("class", "") + page.attrs[i].get("id", "")
-        if re.search("ad|sponsor|promo|partner", name, re.I) and len(page.find("a", under=i)) >= 3 and 0 < units(strip(page.content(i))) < 40:
+        if re.search("ad|sponsor|promo|partner", name, re.I) and page.count("a", under=i) >= 3 and 0 < units(strip(page.content(i))) < 40:
             farms.append(i)
     page = page.without(farms)
     for s in selectors:
@@ -154,7 +154,7 @@ def main_of_article(page: Page, found: list[dict]) -> int | None:
             score[a] = score.get(a, 0) + b["length"]
             size[a] = size.get(a, 0) + 1
     for a in score:
-        score[a] += 200 * (page.tag[a] in ("article", "main")) + 60 * len(page.find("h1", "h2", "h3", "h4", "h5", "h6", under=a))
+        score[a] += 200 * (page.tag[a] in ("article", "main")) + 60 * page.count("h1", "h2", "h3", "h4", "h5", "h6", under=a)
     ranked = sorted(score, key=lambda a: -score[a])  # stable: equal scores stay as first met
     if not ranked:
         return None
@@ -176,18 +176,18 @@ def main_of_list(page: Page) -> int | None:
     lists = []
     for i in page.find("ul", "ol"):
         items = [c for c in page.children(i) if page.tag[c] == "li"]
-        linked = sum(bool(page.find("a", under=c)) for c in items)
+        linked = sum(page.count("a", under=c) > 0 for c in items)
         if linked >= 3 and linked >= 0.6 * len(items):
             lists.append((linked, -i))
     if lists:
         return -max(lists)[1]
-    boxes = [(linked, page.depth[i], -i) for i in page.find("div", "section") if (linked := sum(bool(page.find("a", under=c)) for c in page.children(i))) >= 3]
+    boxes = [(linked, page.depth[i], -i) for i in page.find("div", "section") if (linked := sum(page.count("a", under=c) > 0 for c in page.children(i))) >= 3]
     return -max(boxes)[2] if boxes else None
 
 
 def main_of_table(page: Page) -> int | None:
     """The largest data table, or what holds it together with the page's one heading."""
-    cells = {t: len(page.find("td", "th", under=t)) for t in page.find("table") if len(page.find("tr", under=t)) >= 2}
+    cells = {t: page.count("td", "th", under=t) for t in page.find("table") if page.count("tr", under=t) >= 2}
     data = [t for t in cells if cells[t] >= 4]
     if not data:
         return None

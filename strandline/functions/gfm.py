@@ -7,8 +7,8 @@ from collections.abc import Iterator
 
 from .js import SPACE, strip
 
-#: No table may grow to more cells than this, whatever its spans say.
-MOST_CELLS = 1_000_000
+#: No table may grow to more cells than this, whatever its spans say. Numbers of more digits than DIGITS count as this large.
+MOST_CELLS, DIGITS = 1_000_000, 9
 # Named references in the order in which they are replaced.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"), ("&nbsp;", " "))
 _ROW = re.compile(r"<tr[^>]*>[\s\S]*?</tr>", re.I)
@@ -17,15 +17,25 @@ _CAPTION = re.compile(r"<caption[^>]*>([\s\S]*?)</caption>", re.I)
 TABLE = re.compile(r"<table\b[\s\S]*?</table>", re.I)
 
 
+class TooLarge(ValueError):
+    """A table whose spans ask for more than MOST_CELLS cells."""
+
+
+def _number(digits: str, base: int = 10) -> int:
+    digits = digits.lstrip("0")
+    return int(digits or "0", base) if len(digits) <= DIGITS else 10**DIGITS
+
+
 def _char(n: int, raw: str) -> str:
-    return chr(n) if n < 0x110000 else raw
+    """The character of a reference; half of a surrogate pair is no character."""
+    return raw if n >= 0x110000 else "\ufffd" if 0xD800 <= n < 0xE000 else chr(n)
 
 
 def decode(text: str) -> str:
     for name, char in ENTITIES:
         text = text.replace(name, char)
-    text = re.sub(r"&#(\d+);", lambda m: _char(int(m[1]), m[0]), text)
-    return re.sub(r"&#x([0-9a-f]+);", lambda m: _char(int(m[1], 16), m[0]), text, flags=re.I)
+    text = re.sub(r"&#([0-9]+);", lambda m: _char(_number(m[1]), m[0]), text)
+    return re.sub(r"&#x([0-9a-f]+);", lambda m: _char(_number(m[1], 16), m[0]), text, flags=re.I)
 
 
 def cell_text(source: str) -> str:
@@ -36,8 +46,8 @@ def cell_text(source: str) -> str:
 
 
 def _span(attrs: str, name: str) -> int:
-    m = re.search(name + r"\s*=\s*[\"']?(\d+)", attrs.lower())
-    return int(m[1]) if m else 1
+    m = re.search(name + r"\s*=\s*[\"']?([0-9]+)", attrs.lower())
+    return _number(m[1]) if m else 1
 
 
 def grid_of(source: str) -> list[list[str]]:
@@ -60,7 +70,7 @@ def grid_of(source: str) -> list[list[str]]:
             wide, high = max(1, _span(attrs, "colspan")), max(1, _span(attrs, "rowspan"))
             at = len(cells)
             if at + wide > MOST_CELLS:
-                raise ValueError("a table's row is too wide")
+                raise TooLarge("a table's row is too wide")
             cells += [cell_text(inner), *[""] * (wide - 1)]
             if high > 1:
                 for c in range(at, at + wide):
@@ -69,7 +79,7 @@ def grid_of(source: str) -> list[list[str]]:
         grid.append(cells)
     width = max(map(len, grid), default=0)
     if width * len(grid) > MOST_CELLS:
-        raise ValueError("a table is too large")
+        raise TooLarge("a table is too large")
     return [row + [""] * (width - len(row)) for row in grid]
 
 
@@ -91,14 +101,21 @@ def clamp_spans(source: str) -> str:
 
     def row(m: re.Match) -> str:
         most = max(1, 2 * len(_CELL.findall(m[0])))
-        return re.sub(r"(colspan\s*=\s*[\"']?)(\d+)", lambda a: a[1] + str(min(max(1, int(a[2])), most)), m[0], flags=re.I)
+        return re.sub(r"(colspan\s*=\s*[\"']?)([0-9]+)", lambda a: a[1] + str(min(max(1, _number(a[2])), most)), m[0], flags=re.I)
 
     return re.sub(r"<tr\b[^>]*>[\s\S]*?</tr>", row, source, flags=re.I)
 
 
 def with_tables(source: str) -> str:
-    """Each table in place, as GFM text."""
-    return TABLE.sub(lambda m: f"\n{to_gfm(m[0])}\n", source)
+    """Each table in place, as GFM text; one that is too large stays as it is."""
+
+    def text(m: re.Match) -> str:
+        try:
+            return f"\n{to_gfm(m[0])}\n"
+        except TooLarge:
+            return m[0]
+
+    return TABLE.sub(text, source)
 
 
 def split_row(line: str) -> list[str] | None:

@@ -20,11 +20,11 @@ def squeeze(text: str) -> str:
 
 def units(text: str) -> int:
     """UTF-16 units."""
-    return len(text) + sum(ord(c) > 0xFFFF for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def is_cjk(text: str) -> bool:
-    n = len(_CJK.findall(text))
+    n = 0 if text.isascii() else len(_CJK.findall(text))
     return n > 0 and n > 0.3 * units(text)
 
 

@@ -46,7 +46,10 @@ def looks_prose(text: Column) -> Column:
     return is_cjk(text) | strip(text).rlike(rf"[.!?;:][\"')\]]?[{WS}]|[.!?]$")
 
 
-def upper_median(values: Column, q: float = 0.5) -> Column:
-    """An aggregate: element floor(q * n) of the sorted values, without interpolation; null for none."""
-    kept = F.array_sort(F.collect_list(values))
-    return F.try_element_at(kept, (F.floor(F.size(kept) * q) + 1).cast("int"))
+def upper_median(column: str, q: float = 0.5, kind: str = "bigint") -> Column:
+    """An aggregate: element floor(q * n) of the column's sorted values, without interpolation; null for none.
+
+    The discrete percentile counts values, so a group's state grows with its different values and not with its
+    rows, and is merged before it is shuffled. It takes the first value at which the share q is reached; a share that is larger by
+    less than 1/n makes that the next one where q * n is whole. The percentile is a double; kind is the column's own type."""
+    return F.expr(f"percentile_disc({q!r}D + 1e-12D) WITHIN GROUP (ORDER BY `{column}`)").cast(kind)

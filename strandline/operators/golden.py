@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -12,10 +12,10 @@ ANY = r"[\s\S]*?"
 
 def main_html(html: Column) -> Column:
     """The first main, else the first article, else all but consent boxes, navigation, asides and footers."""
-    main, article = F.regexp_extract(html, rf"(?i)<main\b{ANY}</main>", 0), F.regexp_extract(html, rf"(?i)<article\b{ANY}</article>", 0)
+    main, article = (F.regexp_substr(html, F.lit(rf"(?i)<{tag}\b{ANY}</{tag}>")) for tag in ("main", "article"))
     rest = F.regexp_replace(html, rf'(?i)<div[^>]*id="cookie-consent"{ANY}</div>', "")
     rest = F.regexp_replace(rest, rf"(?i)<(?:nav|aside|footer)\b{ANY}</(?:nav|aside|footer)>", "")
-    return F.when(main != "", main).when(article != "", article).otherwise(rest)
+    return F.coalesce(main, article, rest)
 
 
 def strip_tags(html: Column) -> Column:
@@ -32,9 +32,14 @@ def tidy(text: Column) -> Column:
 
 
 def golden_markdown(html: Column) -> Column:
-    """Pages with a table go through the table converter; the others stay in generated code."""
+    """The converter for HTML that may hold tables: all of it goes through the table converter's worker."""
     from .pages import clamped_tables
 
-    main = main_html(html)
-    with_tables = F.when(main.rlike(r"(?i)<table\b"), clamped_tables(main)).otherwise(main)
-    return tidy(strip_tags(with_tables))
+    return tidy(strip_tags(clamped_tables(main_html(html))))
+
+
+def with_markdown(rows: DataFrame, html: str = "html", out: str = "markdown") -> DataFrame:
+    """rows with their HTML's text. Only rows with a table go to a worker; the others stay in generated code."""
+    tabled = F.coalesce(F.col(html).rlike(r"(?i)<table\b"), F.lit(False))
+    plain = rows.filter(~tabled).withColumn(out, tidy(strip_tags(main_html(F.col(html)))))
+    return plain.unionByName(rows.filter(tabled).withColumn(out, golden_markdown(F.col(html))))

@@ -1,6 +1,8 @@
 """Page operators: one Arrow pass over (id, html) each, all columns but these two pruned from the scan.
 
-Every page is decided inside its task, so none of them shuffles; a page's cost is its own size."""
+Every page is decided inside its task, so none of them shuffles; a page's cost is its own size. No page ends the job: what
+fails is one row whose column `error` says why, and whose other columns are null. Pages that come in fewer pieces than there are
+cores are dealt out first, as parsing costs far more than moving them."""
 
 from __future__ import annotations
 
@@ -8,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +20,31 @@ from ..functions import dom, extract, gfm
 
 #: Rows of a batch that are parsed before they are handed on.
 ROWS = 256
+#: Bytes for each core below which pages are dealt out.
+PIECE = 64 << 20
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """The rows dealt over all cores if the plan's estimate of their size says that they may lie in fewer pieces."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming or int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * PIECE:
+        return pages
+    return pages.repartition(cores)
 
 
 def per_page(pages: DataFrame, rows_of: Callable[[str | None], list[dict]], schema: str, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and the rows that rows_of makes of each page."""
+    """key, the rows that rows_of makes of each page, and error, which is null unless the page failed."""
     kind = pages.schema[key].dataType.simpleString()
+    schema += ", error string"
     empty = pages.sparkSession.createDataFrame([], schema)
     names = empty.columns
+    failed = dict.fromkeys(names)
+
+    def rows_or_error(html: str | None) -> list[dict]:
+        try:
+            return rows_of(html)
+        except Exception as e:  # a page is input: whatever it makes a parser do, it is one row of the result
+            return [failed | {"error": f"{type(e).__name__}: {e}"[:500]}]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(empty.schema)
@@ -32,12 +53,12 @@ def per_page(pages: DataFrame, rows_of: Callable[[str | None], list[dict]], sche
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [rows_of(x.as_py()) for x in part.column(1)]
+                found = [rows_or_error(x.as_py()) for x in part.column(1)]
                 ids = part.column(0).take(pa.array([i for i, r in enumerate(found) for _ in r], pa.int64()))
-                columns = [pa.array([x[n] for r in found for x in r], arrow.field(n).type) for n in names]
+                columns = [pa.array([x.get(n) for r in found for x in r], arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays([ids, *columns], names=[key, *names])
 
-    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    return spread(pages.select(key, html)).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
 NODES = "node_id int, last_id int, parent_id int, depth int, kind string, tag string, id_attr string, class_attr string, aria_label string, attrs map<string,string>, text string"
@@ -116,23 +137,33 @@ def minimal_headings(pages: DataFrame, **columns: str) -> DataFrame:
 
 
 def gfm_tables(pages: DataFrame, **columns: str) -> DataFrame:
-    """Each table of a page's source as a logical grid and as GFM text."""
+    """Each table of a page's source as a logical grid and as GFM text; of a table that is too large, its number and the error."""
+
+    def row(i: int, t: str) -> dict:
+        try:
+            return {"nth": i, "grid": gfm.grid_of(t), "gfm": gfm.to_gfm(t)}
+        except gfm.TooLarge as e:
+            return {"nth": i, "error": str(e)}
 
     def rows(h: str | None) -> list[dict]:
-        return [{"nth": i, "grid": gfm.grid_of(t), "gfm": gfm.to_gfm(t)} for i, t in enumerate(gfm.TABLE.findall(h or ""))]
+        return [row(i, t) for i, t in enumerate(gfm.TABLE.findall(h or ""))]
 
     return per_page(pages, rows, "nth int, grid array<array<string>>, gfm string", **columns)
 
 
-@F.udf(T.StringType(), useArrow=True)
-def markdown_tables(html: str | None) -> str | None:
+def of_each(values: pd.Series, f: Callable[[str], str]) -> pd.Series:
+    return pd.Series([None if v is None else f(v) for v in values], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def markdown_tables(html: pd.Series) -> pd.Series:
     """The HTML with each table replaced by its GFM text."""
-    return None if html is None else gfm.with_tables(html)
+    return of_each(html, gfm.with_tables)
 
 
-@F.udf(T.StringType(), useArrow=True)
-def clamped_tables(html: str | None) -> str | None:
-    return None if html is None else gfm.with_tables(gfm.clamp_spans(html))
+@F.pandas_udf(T.StringType())
+def clamped_tables(html: pd.Series) -> pd.Series:
+    return of_each(html, lambda h: gfm.with_tables(gfm.clamp_spans(h)))
 
 
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
@@ -157,9 +188,7 @@ def _clean_link(base: str, link: str) -> str:
     return parts._replace(query=urlencode(kept)).geturl() if parts.scheme in ("http", "https") else link
 
 
-@F.udf(T.StringType(), useArrow=True)
-def absolute_links(html: str | None, base: str | None) -> str | None:
+@F.pandas_udf(T.StringType())
+def absolute_links(html: pd.Series, base: pd.Series) -> pd.Series:
     """The HTML with its links made absolute and freed of tracking parameters."""
-    if html is None or base is None:
-        return html
-    return _LINK.sub(lambda m: f"{m[1]}{m[2]}{_clean_link(base, m[3])}{m[2]}", html)
+    return pd.Series([h if h is None or b is None else _LINK.sub(lambda m, b=b: f"{m[1]}{m[2]}{_clean_link(b, m[3])}{m[2]}", h) for h, b in zip(html, base, strict=True)], dtype=object)

@@ -23,10 +23,10 @@ def compile_rules(rules: DataFrame) -> DataFrame:
 def is_allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """paths(host, path, ...) with allowed: the verdict of the longest matching rule of the host; without one, true.
 
-    The join's key is the host, so Catalyst broadcasts a small rule table and shuffles a large one."""
-    compiled = compile_rules(rules).select(F.col("host").alias("_host"), "like_pattern", "pattern_length", "allow")
-    keyed = paths.withColumn("_row", F.monotonically_increasing_id())
-    hits = keyed.join(compiled, (F.col("host") == F.col("_host")) & F.expr("path LIKE like_pattern ESCAPE '\\\\'"), "left")
-    best = F.max_by("allow", F.struct("pattern_length", "allow"))
-    columns = [F.first(c).alias(c) for c in paths.columns]
-    return hits.groupBy("_row").agg(*columns, F.coalesce(best, F.lit(True)).alias("allowed")).drop("_row")
+    A host's rules are one array (a robots file is small), so each path meets one row, in one join on the host, and is
+    decided where it lies."""
+    rule = F.struct(F.col("pattern_length").alias("n"), "allow", "like_pattern")
+    compiled = compile_rules(rules).groupBy(F.col("host").alias("_host")).agg(F.collect_list(rule).alias("_rules"))
+    hits = F.expr("filter(_rules, r -> path LIKE r.like_pattern ESCAPE '\\\\')")
+    best = F.array_max(F.transform(hits, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))["allow"]
+    return paths.join(compiled, F.col("host") == F.col("_host"), "left").withColumn("allowed", F.coalesce(best, F.lit(True))).drop("_host", "_rules")

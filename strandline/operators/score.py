@@ -15,8 +15,8 @@ def suite_scores(outcomes: DataFrame, *segments: str) -> DataFrame:
     false = F.count_if("is_false_success")
     return outcomes.groupBy("subject_id", *segments).agg(
         F.count("*").alias("case_count"), F.count_if("status_matched").alias("status_match_count"), contentful.alias("contentful_count"), false.alias("false_success_count"),
-        (false / F.nullif(contentful, F.lit(0))).alias("false_success_rate"), F.coalesce(upper_median(F.col("wall_ms")), F.lit(0)).alias("median_wall_ms"),
-        F.coalesce(upper_median(F.col("wall_ms"), 0.95), F.lit(0)).alias("p95_wall_ms"), upper_median(F.col("content_tokens")).alias("median_content_tokens"),
+        (false / F.nullif(contentful, F.lit(0))).alias("false_success_rate"), F.coalesce(upper_median("wall_ms"), F.lit(0)).alias("median_wall_ms"),
+        F.coalesce(upper_median("wall_ms", 0.95), F.lit(0)).alias("p95_wall_ms"), upper_median("content_tokens").alias("median_content_tokens"),
         F.count_if(~F.col("budget_respected")).alias("budget_violations"))
 
 
@@ -41,8 +41,8 @@ def tier_report(outcomes: DataFrame) -> DataFrame:
     tiers = outcomes.withColumn("tier", tier).filter("tier is not null")
     rows = tiers.groupBy("subject_id", "tier").agg(
         F.count("*").alias("cases"), F.count_if(F.col("status").isin(CONTENTFUL)).alias("contentful"), F.count_if(F.col("status") == "blocked").alias("blocked"),
-        F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(~F.col("budget_respected")).alias("budget_misses"), upper_median(F.col("content_tokens")).alias("median_tokens"))
-    walls = tiers.groupBy("subject_id").agg(upper_median(F.col("wall_ms")).alias("median_wall_ms"))
+        F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(~F.col("budget_respected")).alias("budget_misses"), upper_median("content_tokens").alias("median_tokens"))
+    walls = tiers.groupBy("subject_id").agg(upper_median("wall_ms").alias("median_wall_ms"))
     return rows.join(walls, "subject_id")
 
 

@@ -6,8 +6,10 @@ leave the next join."""
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,23 @@ RESPONSES = "url string, visit_no int, status int, headers map<string,string>, b
 EVENT = "array<struct<event:string,url:string,status:int,detail:string>>"
 
 
-@F.udf(T.StringType(), useArrow=True)
-def resolve_url(base: str, location: str) -> str | None:
+@F.pandas_udf(T.StringType())
+def resolve_url(base: pd.Series, location: pd.Series) -> pd.Series:
     """The location seen from base, or null if it has no meaning."""
-    if not location:
+    return pd.Series([resolved(b, x) for b, x in zip(base, location, strict=True)], dtype=object)
+
+
+def resolved(base: str | None, location: str | None) -> str | None:
+    """The URL that a location means where base is shown. As browsers do, tabs and line ends in it go, and backslashes
+    count as slashes up to a query or fragment."""
+    if not location or base is None:
         return None
+    location = re.sub(r"[\t\r\n]", "", location).strip("".join(map(chr, range(33))))
+    if re.match(r"[\\/]|https?:|[^:/?#]*(?:[\\/?#]|$)", location, re.I):
+        head = re.match(r"[^?#]*", location)[0]
+        location = head.replace("\\", "/") + location[len(head) :]
     try:
-        out = urljoin(base, location.strip())
+        out = urljoin(base, location)
         parts = urlsplit(out)
         parts.port  # noqa: B018  raises if it isn't a number
     except ValueError:
@@ -95,12 +107,10 @@ def route_paths(requests: DataFrame, exact: DataFrame, prefixes: DataFrame, defa
     """requests(path) with answer: of the exact route, else of the longest prefix route, else the default.
 
     The route tables are configuration: two small dimensions."""
-    hit = requests.join(F.broadcast(exact.select(F.col("path").alias("_exact"), F.col("answer").alias("_exact_answer"))), F.col("path") == F.col("_exact"), "left")
-    hit = hit.withColumn("_row", F.monotonically_increasing_id())
-    near = hit.join(F.broadcast(prefixes.select("prefix", F.col("answer").alias("_prefix_answer"))), F.startswith("path", "prefix"), "left")
-    picked = F.max_by("_prefix_answer", F.length("prefix"))
-    rows = near.groupBy("_row").agg(*[F.first(c).alias(c) for c in requests.columns], F.first("_exact_answer").alias("_e"), picked.alias("_p"))
-    return rows.select(*requests.columns, F.coalesce("_e", "_p", default).alias("answer"))
+    hit = requests.join(F.broadcast(exact.select(F.col("path").alias("_exact"), F.col("answer").alias("_e"))), F.col("path") == F.col("_exact"), "left")
+    every = prefixes.agg(F.collect_list(F.struct(F.length("prefix").alias("n"), "prefix", "answer")).alias("_prefixes"))  # one row
+    near = F.array_max(F.filter("_prefixes", lambda p: F.startswith(F.col("path"), p["prefix"])))["answer"]
+    return hit.crossJoin(F.broadcast(every)).select(*requests.columns, F.coalesce("_e", near, default).alias("answer"))
 
 
 def path_of(url: Column) -> Column:

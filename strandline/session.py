@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,8 +43,10 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="strandline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, is_cjk, looks_prose, squeeze, strip, upper_median, utf16_length
 from ..operators import golden, intervals, pages, policy, robots, score, transport, verdict, windows
-from ..session import shipped
+from ..session import scratch_dir, shipped
 from ..sources import fixtures
 from ..sources.environment import run_environment
 from ..streaming import events as streaming
-from . import benchmark
+from . import benchmark, page_sql
+from .outcome_sql import ARMS, OUTCOMES_SQL, document_outcomes, sql_median, sql_tokens
+from .page_sql import EXTRA_PAGES, C, W
 
 QUERIES, ORACLES = {}, {}
-# The same character classes in the spelling of the other engine.
-W = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-C = r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
 
 
 def query(sql: str | None = None):
@@ -33,13 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql_tokens(t: str) -> str:
-    cjk = f"length(regexp_replace({t}, '[^{C}]', '', 'g'))"
-    return f"CAST(ceil((length({t}) + length(regexp_replace({t}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) - {cjk}) / 4.0) + {cjk} AS BIGINT)"
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, and a few that reach the rules which they don't."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(spark.createDataFrame(EXTRA_PAGES, "page_id long, url string, html string"))
 
 
-def sql_median(x: str, q: float = 0.5) -> str:
-    return f"list_sort(list({x}) FILTER ({x} IS NOT NULL))[CAST(floor(count({x}) * {q}) AS BIGINT) + 1]"
+NO_ERROR = "CAST(NULL AS VARCHAR) AS error"
 
 
 EXTRA = ["naïve café x", "漢字かな交じり文。テスト", "한국어 텍스트", "emoji 😀😀 here!", "", "﻿  padded　 ", "Mixed 漢字 and words of latin letters"]
@@ -61,7 +61,7 @@ def token_estimate(spark, sf_dir):
 @query(f"WITH {TEXTS_SQL}, t AS (SELECT lang, {sql_tokens('text')} AS tokens FROM texts) SELECT lang, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS total_tokens, {sql_median('tokens')} AS median_tokens, {sql_median('tokens', 0.95)} AS p95_tokens FROM t GROUP BY lang")
 def token_estimate_by_lang(spark, sf_dir):
     t = texts(spark, sf_dir).select("lang", estimate_tokens(F.col("text")).alias("tokens"))
-    return t.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("tokens").alias("total_tokens"), upper_median(F.col("tokens")).alias("median_tokens"), upper_median(F.col("tokens"), 0.95).alias("p95_tokens"))
+    return t.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("tokens").alias("total_tokens"), upper_median("tokens").alias("median_tokens"), upper_median("tokens", 0.95).alias("p95_tokens"))
 
 
 SQL_CJK = f"(length(regexp_replace(text, '[^{C}]', '', 'g')) > 0 AND length(regexp_replace(text, '[^{C}]', '', 'g')) > 0.3 * (length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))))"
@@ -99,7 +99,7 @@ def sql_golden(html: str) -> str:
 
 @query(f"SELECT page_id, {sql_golden('html')} AS markdown FROM pages")
 def golden_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", golden.golden_markdown(F.col("html")).alias("markdown"))
+    return golden.with_markdown(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown")
 
 
 SQL_CHALLENGED = " OR ".join(f"contains(md, '{m}')" for m in verdict.CHALLENGES)
@@ -110,18 +110,16 @@ t AS (SELECT segment, md, {sql_tokens('md')} AS tokens, ({SQL_CHALLENGED}) AS ch
 SELECT segment, count(*) AS n_pages, count(CASE WHEN md <> '' AND NOT challenged THEN 1 END) AS contentful, {sql_median('tokens')} AS median_tokens FROM t GROUP BY segment""")
 def golden_yield_score(spark, sf_dir):
     """By first path segment: pages, pages with content, and the median size of their main content."""
-    md = golden.golden_markdown(F.col("html"))
-    g = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*/([^/?#]*)", 1).alias("segment"), md.alias("md"))
-    g = g.withColumn("tokens", estimate_tokens(F.col("md")))
-    return g.groupBy("segment").agg(F.count("*").alias("n_pages"), F.count_if((F.col("md") != "") & ~verdict.challenged(F.col("md"))).alias("contentful"), upper_median(F.col("tokens")).alias("median_tokens"))
-
-
-TAGS = ["li", "a", "table", "article", "main", "p", "nav", "footer"]
+    g = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*/([^/?#]*)", 1).alias("segment"), "html")
+    g = golden.with_markdown(g, out="md").withColumn("tokens", estimate_tokens(F.col("md")))
+    return g.groupBy("segment").agg(F.count("*").alias("n_pages"), F.count_if((F.col("md") != "") & ~verdict.challenged(F.col("md"))).alias("contentful"), upper_median("tokens").alias("median_tokens"))
 
 
-@query("SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '(?i)<{t}\\b')) AS BIGINT) AS n_{t}" for t in TAGS) + " FROM pages")
+@query(page_sql.nodes() + " SELECT b.page_id, CAST(b.node_id AS INTEGER) AS node_id, count(n.node_id) AS n FROM nodes b LEFT JOIN nodes n ON n.page_id = b.page_id AND n.tag IN ('a', 'li') AND n.node_id > b.node_id AND n.node_id <= b.last_id WHERE b.tag IN ('body', 'nav', 'div') GROUP BY ALL")
 def page_tag_counts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", *[F.regexp_count("html", F.lit(rf"(?i)<{t}\b")).cast("long").alias(f"n_{t}") for t in TAGS])
+    """Links and items below the body and each box, by an interval join."""
+    n = pages.html_nodes(page_rows(spark, sf_dir))
+    return intervals.descendant_counts(n.filter(F.col("tag").isin("body", "nav", "div")), n, ["a", "li"])
 
 
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][\w+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^([a-zA-Z][\w+.-]*://[^/?#]*)', 1)) AS origin,
@@ -205,56 +203,86 @@ def required_content_check(spark, sf_dir):
     return pairs.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-@query(f"SELECT d.doc_id, l.quality, CASE WHEN {sql_tokens('d.text')} < 50 + 100 * l.quality OR l.toxic = 1 THEN 'fail' ELSE 'pass' END AS outcome FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def outcomes_of(spark, sf_dir):
+    return document_outcomes(table(spark, sf_dir, "documents"))
+
+
+@query(OUTCOMES_SQL + ' SELECT doc_id, "check", outcome FROM k')
+def content_checks(spark, sf_dir):
+    """The five checks of each document as an arm's result."""
+    return outcomes_of(spark, sf_dir).select("doc_id", F.explode("checks").alias("c")).select("doc_id", "c.check", "c.outcome")
+
+
+@query(OUTCOMES_SQL + """ SELECT doc_id, status, status = 'success' AS status_matched, lane = 'http' AS lane_matched, is_false_success, budget_respected,
+ (SELECT string_agg("check", ',' ORDER BY "check") FROM k WHERE k.doc_id = o.doc_id AND outcome <> 'unknown') AS evaluated FROM o""")
+def case_outcomes(spark, sf_dir):
+    evaluated = F.array_join(F.array_sort("evaluated_checks"), ",").alias("evaluated")
+    return outcomes_of(spark, sf_dir).select("doc_id", "status", "status_matched", "lane_matched", "is_false_success", "budget_respected", evaluated)
+
+
+@query(OUTCOMES_SQL + " SELECT doc_id, wall_ms, CASE WHEN late THEN 'time' END AS budget_exceeded, md = '' AS no_content FROM o")
+def case_timeout(spark, sf_dir):
+    return outcomes_of(spark, sf_dir).select("doc_id", "wall_ms", "budget_exceeded", (F.coalesce("markdown", F.lit("")) == "").alias("no_content"))
+
+
+@query(OUTCOMES_SQL + " SELECT doc_id, outcome FROM k WHERE \"check\" = 'content_yield_below_floor'")
 def yield_floor_check(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
-    low = estimate_tokens(F.col("text")) < 50 + 100 * F.col("quality")
-    return rows.select("doc_id", "quality", verdict.outcome(low | (F.col("toxic") == 1)).alias("outcome"))
+    return outcomes_of(spark, sf_dir).select("doc_id", F.explode("checks").alias("c")).filter(F.col("c.check") == "content_yield_below_floor").select("doc_id", "c.outcome")
 
 
-@query(f"""WITH o AS (SELECT source AS subject_id, n_chars > 200 AS contentful, {sql_tokens('text')} < 120 AS low, {SQL_CHALLENGED.replace('md', 'text')} AS challenged FROM documents)
-SELECT subject_id, count(*) AS case_count, count(CASE WHEN contentful THEN 1 END) AS contentful_count, count(CASE WHEN contentful AND (low OR challenged) THEN 1 END) AS false_success_count,
-count(CASE WHEN contentful AND (low OR challenged) THEN 1 END) / nullif(count(CASE WHEN contentful THEN 1 END), 0) AS false_success_rate FROM o GROUP BY subject_id""")
+@query(OUTCOMES_SQL + f""" SELECT subject_id, count(*) AS case_count, count(*) FILTER (status = 'success') AS status_match_count, count(*) FILTER (contentful) AS contentful_count, count(*) FILTER (is_false_success) AS false_success_count,
+count(*) FILTER (is_false_success) / nullif(count(*) FILTER (contentful), 0) AS false_success_rate, {sql_median('wall_ms')} AS median_wall_ms, {sql_median('wall_ms', 0.95)} AS p95_wall_ms, {sql_median('content_tokens')} AS median_content_tokens,
+count(*) FILTER (NOT budget_respected) AS budget_violations FROM o GROUP BY subject_id""")
 def false_success_rollup(spark, sf_dir):
-    """Documents as outcomes, their sources as arms."""
-    docs = table(spark, sf_dir, "documents")
-    bad = (estimate_tokens(F.col("text")) < 120) | verdict.challenged(F.col("text"))
-    o = docs.select(F.col("source").alias("subject_id"), (F.col("n_chars") > 200).alias("c"), bad.alias("bad"))
-    contentful, false = F.count_if("c"), F.count_if(F.col("c") & F.col("bad"))
-    return o.groupBy("subject_id").agg(F.count("*").alias("case_count"), contentful.alias("contentful_count"), false.alias("false_success_count"), (false / F.nullif(contentful, F.lit(0))).alias("false_success_rate"))
+    return score.suite_scores(outcomes_of(spark, sf_dir))
 
 
-@query("SELECT user_id % 5 AS subject, event_type AS lane, count(*) AS n FROM events GROUP BY 1, 2")
+@query(OUTCOMES_SQL + " SELECT subject_id, lane, count(*) AS n FROM o GROUP BY ALL")
 def lane_distribution(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("subject"), F.col("event_type").alias("lane")).agg(F.count("*").alias("n"))
+    return score.lane_distribution(outcomes_of(spark, sf_dir))
+
 
+TALLY = ", ".join(f"count(*) FILTER (outcome = '{x}') AS {x}" for x in ("pass", "fail", "unknown"))
 
-@query("SELECT user_id % 5 AS subject, event_type AS check_name, count(CASE WHEN value < 20 THEN 1 END) AS pass, count(CASE WHEN value >= 20 AND value < 60 THEN 1 END) AS fail, count(CASE WHEN value >= 60 OR value IS NULL THEN 1 END) AS unknown FROM events GROUP BY 1, 2")
+
+@query(OUTCOMES_SQL + f' SELECT subject_id, "check", {TALLY} FROM k GROUP BY ALL')
 def check_tallies(spark, sf_dir):
-    v = F.col("value")
-    what = F.when(v < 20, "pass").when(v < 60, "fail").otherwise("unknown")
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("subject"), F.col("event_type").alias("check_name"), what.alias("o"))
-    return rows.groupBy("subject", "check_name").pivot("o", ["pass", "fail", "unknown"]).count().na.fill(0)
+    return score.check_tallies(outcomes_of(spark, sf_dir))
+
 
+@query(OUTCOMES_SQL + f" SELECT subject_id, {TALLY} FROM k WHERE \"check\" = 'challenge_text_returned' GROUP BY ALL")
+def challenge_tally(spark, sf_dir):
+    return score.challenge_tally(outcomes_of(spark, sf_dir))
 
-@query(f"""WITH e AS (SELECT user_id % 5 AS subject, event_id % 2 + 1 AS tier, value, event_type FROM events),
-t AS (SELECT subject, tier, count(*) AS cases, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS contentful, {sql_median('value')} AS median_value FROM e GROUP BY GROUPING SETS ((subject, tier), (subject)))
-SELECT subject, CAST(coalesce(tier, 0) AS BIGINT) AS tier, cases, contentful, median_value FROM t""")
+
+def sql_tiers(rows: str) -> str:
+    return f"""SELECT subject_id, tier, count(*) AS cases, count(*) FILTER (contentful) AS contentful, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'failed') AS failed,
+count(*) FILTER (NOT budget_respected) AS budget_misses, {sql_median('content_tokens')} AS median_tokens, (SELECT {sql_median('x.wall_ms')} FROM {rows} x WHERE x.subject_id = t.subject_id) AS median_wall_ms FROM {rows} t GROUP BY subject_id, tier"""
+
+
+@query(OUTCOMES_SQL + ", t AS (SELECT *, CASE WHEN starts_with(case_id, 'canary2-') THEN 2 ELSE 1 END AS tier FROM o) " + sql_tiers("t"))
 def arm_tier_report(spark, sf_dir):
-    """Tiers of each arm and, as tier 0, the arm over all of them."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("subject"), (F.col("event_id") % 2 + 1).alias("tier"), "value", "event_type")
-    sets = e.groupingSets([["subject", "tier"], ["subject"]], "subject", "tier")
-    return sets.agg(F.count("*").alias("cases"), F.count_if(F.col("event_type") == "purchase").alias("contentful"), upper_median(F.col("value")).alias("median_value")).withColumn("tier", F.coalesce("tier", F.lit(0)))
+    """Tiers of each arm; the median time is the arm's over both."""
+    return score.tier_report(outcomes_of(spark, sf_dir))
+
 
+BRIEF = "CASE WHEN contentful THEN 'ok (' || coalesce(content_tokens::VARCHAR, '0') || ' tok)' WHEN status = 'blocked' THEN 'blocked (rate_limit)' WHEN status = 'budget_exceeded' THEN 'budget' ELSE 'failed (http_error)' END"
 
-@query("SELECT user_id, " + ", ".join(f"count(CASE WHEN event_type = '{t}' THEN 1 END) AS {t}" for t in ("signup", "error", "click", "view", "purchase")) + " FROM events GROUP BY user_id")
+
+@query(OUTCOMES_SQL + " SELECT case_id, " + ", ".join(f"max({BRIEF}) FILTER (subject_id = '{a}') AS {a}" for a in ARMS) + " FROM o GROUP BY case_id")
 def case_arm_pivot(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["signup", "error", "click", "view", "purchase"]).count().na.fill(0)
+    return score.case_by_arm(outcomes_of(spark, sf_dir), ARMS)
+
+
+@query(OUTCOMES_SQL + """ SELECT subject_id || ': ' || count(*) || ' cases, ' || count(*) FILTER (status = 'success') || ' status matches, ' || count(*) FILTER (contentful) || ' contentful, ' || count(*) FILTER (is_false_success) || ' false successes (' ||
+coalesce(printf('%.1f%%', 100 * count(*) FILTER (is_false_success) / nullif(count(*) FILTER (contentful), 0)), 'N/A') || '), median ' || """ + sql_median("wall_ms") + """ || ' ms, ' || count(*) FILTER (NOT budget_respected) || ' over budget' AS line FROM o GROUP BY subject_id""")
+def console_report(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in benchmark.console_lines(outcomes_of(spark, sf_dir))], "line string")
 
 
 @query(f"SELECT event_type, count(*) AS n, {sql_median('value')} AS median_value, {sql_median('value', 0.95)} AS p95_value FROM events GROUP BY event_type")
 def wall_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), upper_median(F.col("value")).alias("median_value"), upper_median(F.col("value"), 0.95).alias("p95_value"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), upper_median("value", kind="double").alias("median_value"), upper_median("value", 0.95, "double").alias("p95_value"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -297,10 +325,21 @@ def ledger_union(spark, sf_dir):
     return union_ledgers(one("documents", "d", "doc_id"), one("benchmark", "b", "item_id"))
 
 
-@query("SELECT r_name, n_name, r_regionkey = n_regionkey AS own FROM region, nation")
+def canaries(spark, sf_dir):
+    """Stored pages as canary cases, each under a URL of its own."""
+    p = table(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
+    return fixtures.canary_truths(p), fixtures.page_responses(p)
+
+
+def sql_canary(arm: str, rows: str, tokens: str, ok: str = "true") -> str:
+    return f"""SELECT '{arm}' AS subject_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS tier, CASE WHEN page_id % 2 = 0 THEN 'canary-' ELSE 'canary2-' END || page_id AS case_id, {ok} AS contentful,
+CASE WHEN {ok} THEN 'success' ELSE 'failed' END AS status, CASE WHEN {ok} THEN {tokens} END AS content_tokens, 0::BIGINT AS wall_ms, CASE WHEN {ok} THEN {tokens} <= 4000 ELSE true END AS budget_respected FROM {rows}"""
+
+
+@query(f"WITH t AS ({sql_canary('bare-http', 'pages', sql_tokens('html'))} UNION ALL {sql_canary('golden-converter', '(SELECT page_id, ' + sql_golden('html') + ' AS md FROM pages)', sql_tokens('md'))}) SELECT subject_id, case_id, status, content_tokens, budget_respected FROM t")
 def arm_case_cross(spark, sf_dir):
-    """Arms by cases: two small dimensions whose product is the point."""
-    return table(spark, sf_dir, "region").crossJoin(F.broadcast(table(spark, sf_dir, "nation"))).select("r_name", "n_name", (F.col("r_regionkey") == F.col("n_regionkey")).alias("own"))
+    """Two arms over all stored pages: a result for each pair of arm and case."""
+    return benchmark.run_arms(*canaries(spark, sf_dir), ["bare-http", "golden-converter"]).select("subject_id", "case_id", "status", "content_tokens", "budget_respected")
 
 
 @query(r"""WITH u AS (SELECT page_id, url, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)='))) AS q FROM pages)
@@ -319,9 +358,38 @@ def line_chunks(spark, sf_dir):
     return windows.paragraph_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 256)
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 1024 THEN left(text, 1024) ELSE text END AS kept, length(text) > 1024 AS truncated, CASE WHEN length(text) > 1024 THEN 1024 END AS truncated_at FROM documents")
+@query(f"""WITH {TEXTS_SQL.replace("texts(doc_id, text, lang) AS (", "sample_(doc_id, text, lang) AS (")}, texts AS (SELECT doc_id, text FROM sample_ UNION ALL SELECT -100, repeat('漢字かな', 250) UNION ALL SELECT -101, repeat('ab 漢😀', 300)),
+p AS (SELECT doc_id, text, unnest(range(1, least(length(text), 1024) + 1)) AS i FROM texts),
+c AS (SELECT doc_id, i, substring(text, i, 1) AS ch FROM p),
+u AS (SELECT doc_id, i, sum(CASE WHEN regexp_matches(ch, '[{C}]') THEN 1 ELSE 0 END) OVER w AS cjk, sum(CASE WHEN regexp_matches(ch, '[{C}]') THEN 0 WHEN unicode(ch) > 65535 THEN 2 ELSE 1 END) OVER w AS other FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, max(i) AS fits FROM u WHERE ceil(other / 4) + cjk <= 256 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN fits < length(text) THEN left(text, fits) ELSE text END AS kept, coalesce(fits < length(text), false) AS truncated, CASE WHEN fits < length(text) THEN fits END AS truncated_at FROM texts LEFT JOIN f USING (doc_id)""")
 def token_truncation(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", windows.truncate_to_tokens(F.col("text"), 256).alias("t")).select("doc_id", F.col("t.text").alias("kept"), "t.truncated", "t.truncated_at")
+    more = spark.createDataFrame([(-100, "漢字かな" * 250, "xx"), (-101, "ab 漢😀" * 300, "xx")], "doc_id long, text string, lang string")
+    rows = texts(spark, sf_dir).unionByName(more)
+    cut = rows.select("doc_id", windows.truncate_to_tokens(F.col("text"), 256).alias("t"))
+    return cut.select("doc_id", F.col("t.text").alias("kept"), "t.truncated", F.col("t.truncated_at").cast("long").alias("truncated_at"))
+
+
+SECTIONS = ["# One\nalpha beta gamma delta\n## Two\nshort\n```\n# not a heading\n```\nlast of it", "no heading\nat all", "## A\n### B\ntext under b\n## C\n# D\n#nospace\ntext under d", "# Long\n" + "\n".join(f"line {i} of a long section of the text" for i in range(30))]
+
+
+@query(f"""WITH t(doc_id, text) AS (SELECT doc_id, text FROM documents UNION ALL VALUES {", ".join("({}, '{}')".format(-i - 1, x.replace("'", "''")) for i, x in enumerate(SECTIONS))}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(len(string_split(text, chr(10))))) AS line FROM t),
+a AS (SELECT *, {sql_tokens('part')} AS tokens, sum(CASE WHEN regexp_matches(part, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) % 2 AS fenced FROM l),
+h AS (SELECT *, CASE WHEN fenced = 0 AND regexp_matches(part, '^#{{1,6}} ') THEN length(regexp_extract(part, '^#+')) END AS level FROM a),
+s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM h),
+b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY doc_id, section ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM s),
+c AS (SELECT doc_id, section, CAST(floor(upto / 64) AS BIGINT) AS part_no, min(line) AS f, max(line) AS t, min(upto) AS begun FROM b GROUP BY ALL),
+x AS (SELECT c.*, coalesce((SELECT min(y.line) FROM b y WHERE y.doc_id = c.doc_id AND y.section = c.section AND y.line < c.f AND y.upto < c.begun AND y.upto >= c.begun - 16), c.f) AS first_line FROM c),
+open AS (SELECT x.doc_id, x.section, x.part_no, string_agg(regexp_replace(g.part, '^#+\\s*', ''), ' > ' ORDER BY g.section) AS path FROM x JOIN s g ON g.doc_id = x.doc_id AND g.level IS NOT NULL AND g.section <= x.section
+  WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.doc_id = g.doc_id AND z.section > g.section AND z.section <= x.section AND z.level <= g.level) GROUP BY ALL)
+SELECT x.doc_id, CAST(row_number() OVER (PARTITION BY x.doc_id ORDER BY x.section, x.part_no) - 1 AS INTEGER) AS chunk, CAST(x.first_line AS INTEGER) AS first_line, CAST(x.t AS INTEGER) AS last_line, CAST(x.t - x.first_line + 1 AS INTEGER) AS n_lines,
+ CAST((SELECT sum(y.tokens) FROM b y WHERE y.doc_id = x.doc_id AND y.line BETWEEN x.first_line AND x.t) AS BIGINT) AS tokens, coalesce(path, '') AS path FROM x LEFT JOIN open USING (doc_id, section, part_no)""")
+def heading_chunks(spark, sf_dir):
+    """Chunks at headings, of about 64 tokens, each with up to 16 tokens of the lines before it."""
+    more = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(SECTIONS)], "doc_id long, text string")
+    return windows.heading_chunks(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(more), "doc_id", "text", 64, 16)
 
 
 @query("""WITH p AS (SELECT lang, min(doc_id) AS probe FROM documents GROUP BY lang),
@@ -331,8 +399,9 @@ FROM w JOIN p ON w.lang = p.lang JOIN w q ON q.doc_id = p.probe""".replace("\\\\
 def soft404_similarity(spark, sf_dir):
     """How alike each document is to its language's first one, as pages are to a site's answer for a page that isn't there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    probes = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("probe"))
-    return docs.join(probes, "lang").select("doc_id", windows.word_set_similarity(F.col("text"), F.col("probe")).alias("similarity"))
+    first = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
+    probes = docs.join(F.broadcast(first), ["lang", "doc_id"]).select("lang", windows.word_set(F.col("text")).alias("probe"))
+    return windows.likeness(docs, probes, "lang", "text", "probe").select("doc_id", "similarity")
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2")
@@ -378,50 +447,55 @@ def network_policy(spark, sf_dir):
     return rows.select("ip", policy.policy_violation(F.lit("http://x.test/"), F.col("ip")).alias("violation"))
 
 
-# What needs a parser has no SQL form; tests hold these to goldens.
-
-
-@query()
+@query(page_sql.DOM_NODES + "")
 def dom_nodes(spark, sf_dir):
-    return pages.html_nodes(table(spark, sf_dir, "pages")).drop("attrs")
+    return pages.html_nodes(page_rows(spark, sf_dir)).drop("attrs", "error")
 
 
-@query()
+@query(page_sql.PRUNED_NODES)
 def pruned_nodes(spark, sf_dir):
-    return pages.pruned_nodes(table(spark, sf_dir, "pages")).drop("attrs")
+    return pages.pruned_nodes(page_rows(spark, sf_dir)).drop("attrs", "error")
 
 
-@query()
+@query(page_sql.PAGE_SIGNALS.replace("SELECT * FROM sig", f"SELECT *, {NO_ERROR} FROM sig"))
 def page_signals(spark, sf_dir):
-    return pages.page_signals(table(spark, sf_dir, "pages"))
+    return pages.page_signals(page_rows(spark, sf_dir))
 
 
-@query()
+@query(page_sql.PAGE_ROUTE.replace("FROM routed", f", {NO_ERROR} FROM routed"))
 def page_route(spark, sf_dir):
-    return pages.page_route(table(spark, sf_dir, "pages"))
+    return pages.page_route(page_rows(spark, sf_dir))
 
 
-@query()
+@query(page_sql.TEXT_BLOCKS.replace("link_density FROM b", f"link_density, {NO_ERROR} FROM b"))
 def text_blocks(spark, sf_dir):
-    return pages.text_blocks(table(spark, sf_dir, "pages"))
+    return pages.text_blocks(page_rows(spark, sf_dir))
 
 
-@query()
+@query(page_sql.EXTRACT_PAGES.replace("SELECT * FROM extracted", f"SELECT *, {NO_ERROR} FROM extracted"))
 def extract_pages(spark, sf_dir):
-    return pages.extract_pages(table(spark, sf_dir, "pages"))
+    return pages.extract_pages(page_rows(spark, sf_dir))
 
 
-@query()
+@query(page_sql.pruned(False) + page_sql.EXTRACT + f" SELECT page_id, title, page_type, strategy, escalate, {sql_tokens('main_html')} AS tokens FROM extracted")
 def main_content(spark, sf_dir):
-    """Title, type and size of each page's main content, as the extracting arms give it out."""
+    """Title, type and size of each stored page's main content, as the extracting arms give it out. (None of these has a table, so the SQL has no table converter.)"""
     found = pages.extract_pages(table(spark, sf_dir, "pages"))
     md = pages.markdown_tables("main_html")
     return found.select("page_id", "title", "page_type", "strategy", "escalate", estimate_tokens(md).alias("tokens"))
 
 
-@query()
+SAID = "(SELECT coalesce(string_agg(x.text, '' ORDER BY x.node_id), '') FROM nodes x WHERE x.page_id = n.page_id AND x.kind = 'text' AND x.node_id BETWEEN n.node_id AND n.last_id)"
+
+
+@query(page_sql.nodes() + f", h AS (SELECT page_id, tag, {SAID} AS said, row_number() OVER (PARTITION BY page_id ORDER BY tag <> 'h1', node_id) AS k FROM nodes n WHERE tag IN ('h1', 'h2', 'h3')) SELECT page_id, tag, trim(said) AS text, {NO_ERROR} FROM h WHERE k = 1")
 def minimal_headings(spark, sf_dir):
-    return pages.minimal_headings(table(spark, sf_dir, "pages"))
+    return pages.minimal_headings(page_rows(spark, sf_dir))
+
+
+@query(page_sql.nodes() + f" SELECT page_id, CAST(node_id AS INTEGER) AS node_id, tag, {SAID} AS text FROM nodes n WHERE tag = 'p' AND EXISTS (SELECT 1 FROM nodes u WHERE u.page_id = n.page_id AND u.node_id = n.parent_id AND u.tag = 'article') OR tag = 'div' AND list_contains(string_split(coalesce(class_attr, ''), ' '), 'ad')")
+def css_select(spark, sf_dir):
+    return pages.selected_nodes(page_rows(spark, sf_dir), "article > p, body div.ad").select("page_id", "node_id", "tag", "text")
 
 
 @query()
@@ -444,40 +518,111 @@ def five_arm_scoreboard(spark, sf_dir):
     return score.suite_scores(benchmark.run_arms(fixtures.fixture_truths(spark), fixtures.fixture_responses(spark)))
 
 
-@query()
+@query(page_sql.pruned(False) + page_sql.EXTRACT + f", t AS ({sql_canary('golden-converter', '(SELECT page_id, ' + sql_golden('html') + ' AS md FROM pages)', sql_tokens('md'))} UNION ALL {sql_canary('extract-tf', 'extracted', sql_tokens('main_html'), 'NOT escalate')}) " + sql_tiers("t"))
 def canary_tier_report(spark, sf_dir):
     """Stored pages as canary cases for two arms, by tier."""
-    p = table(spark, sf_dir, "pages").dropDuplicates(["url"])
-    return score.tier_report(benchmark.run_arms(fixtures.canary_truths(p), fixtures.page_responses(p), ["golden-converter", "extract-tf"]))
+    return score.tier_report(benchmark.run_arms(*canaries(spark, sf_dir), ["golden-converter", "extract-tf"]))
 
 
-@query()
+@query(page_sql.CONTAINER_SCORES)
 def container_scores(spark, sf_dir):
     """The extractor's container scores by interval joins over the pruned nodes."""
-    p = table(spark, sf_dir, "pages")
+    p = page_rows(spark, sf_dir)
     return intervals.container_scores(pages.text_blocks(p), pages.pruned_nodes(p))
 
 
-@query()
+@query(page_sql.nodes() + f" SELECT page_id, CAST(node_id AS INTEGER) AS node_id, {SAID} AS text FROM nodes n WHERE tag IN ('h1', 'p')")
 def node_text(spark, sf_dir):
     """Text of each heading and paragraph, from the node relation."""
-    n = pages.html_nodes(table(spark, sf_dir, "pages"))
+    n = pages.html_nodes(page_rows(spark, sf_dir))
     return intervals.text_content(n.filter(F.col("tag").isin("h1", "p")).select("page_id", "node_id", "last_id"), n)
 
 
-@query()
+@query(page_sql.nodes() + " SELECT u.page_id, CAST(u.node_id AS INTEGER) AS node_id, c.tag, count(*) AS n FROM nodes u JOIN nodes c ON c.page_id = u.page_id AND c.parent_id = u.node_id WHERE u.kind = 'element' AND c.kind = 'element' GROUP BY ALL")
+def child_tags(spark, sf_dir):
+    """How many children of each tag an element has."""
+    n = pages.html_nodes(page_rows(spark, sf_dir)).filter("kind = 'element'").select("page_id", "node_id", "parent_id", "tag")
+    return intervals.children(n, n).groupBy("page_id", F.col("a_node_id").alias("node_id"), F.col("c_tag").alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query(page_sql.nodes() + """, blocks AS (SELECT page_id, min(node_id) AS x, max(node_id) AS y FROM nodes WHERE tag IN ('p', 'li', 'td') GROUP BY page_id)
+SELECT e.page_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(max(a.node_id) AS INTEGER) AS lca FROM blocks e LEFT JOIN nodes a ON a.page_id = e.page_id AND a.kind = 'element' AND a.node_id < x AND x <= a.last_id AND y BETWEEN a.node_id AND a.last_id GROUP BY ALL""")
+def common_ancestors(spark, sf_dir):
+    """The deepest element around the first and the last block of each page."""
+    n = pages.html_nodes(page_rows(spark, sf_dir))
+    ends = n.filter(F.col("tag").isin("p", "li", "td")).groupBy("page_id").agg(F.min("node_id").alias("x"), F.max("node_id").alias("y"))
+    return intervals.common_ancestor(ends, n)
+
+
+@query(page_sql.nodes() + " SELECT page_id, count(*) AS n FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes r WHERE r.page_id = n.page_id AND r.tag IN ('nav', 'ul') AND n.node_id BETWEEN r.node_id AND r.last_id) GROUP BY page_id")
+def detached_nodes(spark, sf_dir):
+    """Nodes left of each page without its navigation and lists."""
+    n = pages.html_nodes(page_rows(spark, sf_dir))
+    return intervals.detach(n, n.filter(F.col("tag").isin("nav", "ul"))).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query(page_sql.BLOCK_RUNS)
 def block_runs(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p = page_rows(spark, sf_dir)
     return intervals.longest_block_run(pages.text_blocks(p), pages.pruned_nodes(p))
 
 
-@query()
+@query(page_sql.pruned() + page_sql.EXTRACT + r""" SELECT page_id, regexp_replace(main_html, '((?:href|src)=")/', '\1' || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || '/', 'g') AS main_html FROM extracted JOIN src USING (page_id)""")
 def normalised_links(spark, sf_dir):
     """Links of each page's main content, absolute and without tracking."""
-    found = pages.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "main_html").join(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    p = page_rows(spark, sf_dir)
+    found = pages.extract_pages(p).select("page_id", "main_html").join(p.select("page_id", "url"), "page_id")
     return found.select("page_id", pages.absolute_links("main_html", "url").alias("main_html"))
 
 
+SHELLS = [(1, '<div id="root"> </div><script>x</script>', 100), (2, "<NOSCRIPT>turn it on</NOSCRIPT>", 49), (3, "<noscript>x</noscript>", 50), (4, "<p>x</p>", 19), (5, "<p>x</p>", 20), (6, '<DIV class="a" id="__next"></DIV>', 0), (7, '<div id="rooted"></div>', 500)]
+
+
+@query("WITH s(id, html, tokens) AS (VALUES " + ", ".join(f"({i}, '{h}', {t})" for i, h, t in SHELLS) + r"""), t AS (SELECT id, CASE WHEN regexp_matches(html, '(?i)<div[^>]*id="(root|app|__next)"[^>]*>\s*</div>') THEN 'spa_fingerprint' WHEN contains(lower(html), '<noscript') AND tokens < 50 THEN 'noscript_marker' WHEN tokens < 20 THEN 'low_token_yield' END AS reason FROM s)
+SELECT id, reason, CASE WHEN reason IS NOT NULL THEN id % 2 = 0 END AS improved FROM t""".replace("\\\\", "\\"))
+def escalations(spark, sf_dir):
+    """Why a page is to be fetched again by a browser, and whether that found content."""
+    rows = spark.createDataFrame(SHELLS, "case_id int, html string, tokens int").withColumn("trigger", policy.escalation_trigger(F.col("html"), F.col("tokens")))
+    again = rows.filter("trigger is not null").select("case_id", F.lit("browser_local").alias("lane"), F.when(F.col("case_id") % 2 == 0, "success").otherwise("failed").alias("status"))
+    steps = rows.select("case_id", "trigger", F.lit("browser_local").alias("to_lane"))
+    return policy.improvements(steps, again).select(F.col("case_id").alias("id"), F.col("trigger").alias("reason"), "improved")
+
+
+@query(f"""WITH t(doc_id, md) AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'Just a moment, Access denied' UNION ALL SELECT -2, '' UNION ALL SELECT -3, 'Please wait Please wait')
+SELECT doc_id, CASE WHEN length(md) > 0 THEN ({" + ".join(f"(length(md) - length(replace(md, '{m}', '')))" for m in verdict.CHALLENGES)}) / length(md) ELSE 0.0 END AS share FROM t""")
+def challenge_share(spark, sf_dir):
+    """What part of each text interstitial phrases make up."""
+    extra = spark.createDataFrame([(-1, "Just a moment, Access denied"), (-2, ""), (-3, "Please wait Please wait")], "doc_id long, text string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra).select("doc_id", verdict.challenge_share(F.col("text")).alias("share"))
+
+
+@query("SELECT doc_id, lane IN ('http', 'browser_local') AS is_public FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'browser_local' WHEN 2 THEN 'provider' ELSE NULL END AS lane FROM documents)")
+def public_lane(spark, sf_dir):
+    i = F.col("doc_id") % 4
+    return table(spark, sf_dir, "documents").select("doc_id", policy.is_public_lane(F.when(i == 0, "http").when(i == 1, "browser_local").when(i == 2, "provider")).alias("is_public"))
+
+
+@query("SELECT 'e' || item_id AS id, 'site' AS platform, 'a \"quoted\", title' || chr(10) || item_id AS title, text AS signal FROM benchmark")
+def ledger_scan(spark, sf_dir):
+    """Benchmark passages written as an evidence ledger, and read back."""
+    from ..sources import ledger
+
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("id"), F.lit("site").alias("platform"), F.lit("2026-01-01").alias("date"), F.concat(F.lit('a "quoted", title\n'), F.col("item_id").cast("string")).alias("title"), *[F.lit("x").alias(c) for c in ("url", "evidence_type", "theme")], F.col("text").alias("signal"), F.lit("high").alias("confidence"))
+    path = f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return ledger.read_ledger(spark, path).select("id", "platform", "title", "signal")
+
+
+@query("SELECT c.id, b.text AS signal FROM (SELECT 'b' || (item_id // 2) * 2 AS id FROM benchmark) c JOIN (SELECT 'b' || item_id AS id, text FROM benchmark) b USING (id)")
+def cited_sources(spark, sf_dir):
+    """Citations with the rows that they name."""
+    from ..sources import ledger
+
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("signal"))
+    citations = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), (F.floor(F.col("item_id") / 2) * 2).cast("string")).alias("id"))
+    return ledger.cited(citations, items)
+
+
 @query()
 def segmented_scoreboard(spark, sf_dir):
     """Scores of the plain arm by category of case."""
@@ -490,7 +635,7 @@ def environment_row(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By language: pages, pages with content, and the median size of their main content."""
+    """By first path segment: pages, pages with content, and the median size of their main content."""
     return QUERIES["golden_yield_score"](spark, sf_dir).orderBy("segment")
 
 

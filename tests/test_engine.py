@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import js, text
-from strandline.operators import intervals, pages, policy, robots, score, transport, verdict, windows
+from strandline.operators import golden, intervals, pages, policy, robots, score, transport, verdict, windows
 from strandline.functions import dom, extract
 from strandline.plans import benchmark, queries
 from strandline.plans import sql as names
@@ -31,7 +31,7 @@ def test_text_expressions_equal_the_workers(spark):
 
 def test_upper_median(spark):
     df = spark.createDataFrame([("a", x) for x in (4, 1, 3, 2)] + [("b", None), ("c", 5)], "k string, x int")
-    got = dict(df.groupBy("k").agg(text.upper_median(F.col("x"))).collect())
+    got = dict(df.groupBy("k").agg(text.upper_median("x")).collect())
     assert got == {"a": 3, "b": None, "c": 5}
 
 
@@ -280,7 +280,67 @@ def test_other_queries_give_rows(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() > 0
 
 
-def test_line_chunks_go_by_that_name():
-    from strandline.plans import queries
+def test_hostile_pages_do_not_end_the_job(spark):
+    from test_functions import HOSTILE
 
-    assert "line_chunks" in queries.QUERIES and "heading_chunks" not in queries.QUERIES
+    frame = spark.createDataFrame(list(enumerate([*HOSTILE, None, "", "<table><tr><td>fine</td></tr></table>"])), "page_id long, html string")
+    n = len(HOSTILE) + 3
+    assert pages.extract_pages(frame).count() == pages.page_route(frame).count() == pages.page_signals(frame).count() == n
+    assert pages.html_nodes(frame).select("page_id").distinct().count() == n and pages.text_blocks(frame).filter("error is not null").count() == 0
+    tables = {r.page_id: r for r in pages.gfm_tables(frame).collect()}
+    assert tables[0].error and tables[0].gfm is None and tables[1].error and tables[n - 1].error is None and "fine" in tables[n - 1].gfm
+    assert frame.select(pages.clamped_tables("html"), pages.markdown_tables("html")).count() == n
+    assert golden.with_markdown(frame).count() == n
+
+
+def test_a_failing_page_is_one_row(spark):
+    def rows(h):
+        if h == "bad":
+            raise RecursionError("too deep")
+        return [{"a": 1}, {"a": 2}]
+
+    frame = spark.createDataFrame([(1, "bad"), (2, "good")], "page_id long, html string")
+    got = sorted(((r.page_id, r.a, r.error) for r in pages.per_page(frame, rows, "a int").collect()), key=str)
+    assert got == [(1, None, "RecursionError: too deep"), (2, 1, None), (2, 2, None)]
+
+
+def test_exclusive_and_whole_partition_of_checks(spark):
+    """Checks with an outcome and those without part the five, whatever the case is."""
+    o = queries.outcomes_of(spark, SMALL).select(F.transform("checks", lambda c: c["check"]).alias("all"), "evaluated_checks", F.transform(F.filter("checks", lambda c: c["outcome"] == "unknown"), lambda c: c["check"]).alias("rest"))
+    for r in o.collect():
+        assert set(r.evaluated_checks) | set(r.rest) == set(r.all) == set(verdict.CHECKS) and not set(r.evaluated_checks) & set(r.rest)
+
+
+def test_excluded_cases_have_no_plain_answer(spark):
+    """Cases that hang, are oversized or depend on the visit are left out of a plain fetch of every case; the others answer 200 once."""
+    answers = fixtures.fixture_responses(spark).groupBy("url").agg(F.max("visit_no").alias("visits"), F.max("wall_ms").alias("wall"), F.max("bytes_decompressed").alias("size"), F.min("status").alias("status"), F.max("error_name").alias("error"))
+    odd = answers.filter("visits > 1 or wall >= 2000 or size > 10000000 or error is not null").select(F.col("url").alias("target"))
+    truths = fixtures.fixture_truths(spark).select("case_id", "target")
+    left = {r.case_id for r in truths.join(odd, "target", "left_anti").collect()}
+    assert {r.case_id for r in truths.collect()} - left == {"timeout-headers", "timeout-body", "limit-zip-bomb", "limit-huge-body", "flaky-once"}
+
+
+def test_resolved_urls():
+    r = transport.resolved
+    assert r("http://h.test/a/b", "..\\c") == "http://h.test/c" and r("http://h.test/a", "/x\n/y\t") == "http://h.test/x/y" and r("http://h.test/a", "  /z ") == "http://h.test/z"
+    assert r("http://h.test/a", "\\\\other.test\\p?q=\\") == "http://other.test/p?q=\\" and r("http://h.test/a", "http://[") is None and r("http://h.test/a", "") is None
+
+
+def test_containing_in_blocks(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, None), (4, "")], "d long, t string")
+    needles = spark.createDataFrame([("a", "two"), ("b", "o"), ("c", ""), ("d", None), ("e", "two"), ("f", "zzz")], "n string, x string")
+    for block in (1 << 20, 9):
+        got = sorted(map(tuple, windows.containing(docs, needles, "d", "t", "n", "x", block).collect()))
+        assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("c", 2), ("c", 4), ("e", 1), ("e", 2)]
+
+
+def test_scratch_on_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from strandline.session import scratch_dir
+
+    fake = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        scratch_dir(fake("spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch_dir(fake("local-cluster[2,1,1024]"))

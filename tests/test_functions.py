@@ -187,3 +187,32 @@ def test_js_text_rules():
     assert js.estimate_tokens("") == 0 and js.estimate_tokens("abcde") == 2 and js.estimate_tokens("漢字ab😀") == 3
     assert js.is_cjk("漢字漢字 abc") and not js.is_cjk("漢 abcdefgh")
     assert js.looks_prose("It is so.") and js.looks_prose('He said "no." Then') and not js.looks_prose("no end")
+
+
+HOSTILE = [
+    '<table><tr><td colspan="2000000">wide</td></tr></table>', f'<table><tr><td colspan="{"9" * 5000}">x</td></tr></table>', f'<table><tr><td rowspan="{"9" * 5000}">x</td></tr><tr><td>y</td></tr></table>',
+    f"<p>half a pair &#xD800; and &#{'1' * 5000}; beyond</p>", f"<p>{'&#' + '0' * 5000 + '65;'}</p>", '<script type="application/ld+json">' + "[" * 100_000 + "</script><p>after</p>", "<![foo bar]]><p>after it</p>", "<![if", "<!", "</", "<", "\x00", "<div>" * 5000 + "deep",
+]
+
+
+def test_hostile_pages_give_a_page():
+    for source in HOSTILE:
+        found = extract.extract(source)
+        assert found["escalate"] in (True, False)
+        gfm.with_tables(gfm.clamp_spans(source))
+    assert gfm.decode("&#xD800;&#55296;") == "��" and gfm.decode("&#" + "0" * 5000 + "65;") == "A"
+    assert "wide" in gfm.with_tables(HOSTILE[0]) and "| x |" in gfm.with_tables(gfm.clamp_spans(HOSTILE[1]))
+
+
+def test_select_steps_and_tests():
+    p = dom.parse('<div id="a"><p class="x y">1</p><p>2</p><span lang="en-GB">3</span><section><p>4</p><b></b></section></div><p data-k="v w">5</p>')
+    texts = lambda s: [p.content(i) for i in dom.select(p, s)]
+    assert texts("div > p") == ["1", "2"] and texts("div p") == ["1", "2", "4"] and texts("p + p") == ["2"] and texts("p ~ span") == ["3"] and texts("p + span") == ["3"]
+    assert texts("body > p, section>p") == ["4", "5"] and texts(":scope > body > p") == ["5"] and texts("div > :first-child") == ["1"] and texts("div > p:nth-child(2)") == ["2"]
+    assert texts("p:not(.x)") == ["2", "4", "5"] and texts("b:empty") == [""] and texts('[lang|="en"]') == ["3"] and texts('[data-k~="w"]') == ["5"] and texts('[data-k^="v"][data-k$="w"][data-k*=" "]') == ["5"]
+    assert texts("section :last-child") == [""] and texts("div p:only-child") == [] and texts("p:unknown") == texts("> p") == texts("p >") == texts("") == []
+
+
+def test_pages_in_any_order_are_put_in_order():
+    p = dom.parse("<p>first</p><title>late</title>")
+    assert [t for t in p.tag if t][:3] == ["html", "head", "body"] and all(a < b for a, b in zip(p.parent[1:], range(1, 99)))

@@ -2,8 +2,8 @@
 
 Each partition's Misra-Gries summary keeps a bounded number of digests; the merged summaries give every
 digest that may hold a large share of all rows. Their counts and winners are verified over all rows, then
-broadcast, so the copies of hot texts are decided where they lie. All other digests are shuffled as usual;
-none of their groups is large.
+broadcast, so the copies of hot texts are decided where they lie. All other digests are shuffled as usual: their
+groups are counted by a partial aggregate and joined back, so no group is gathered in a row or a window.
 
 Null text counts as empty text. Texts are equal when they are identical after A-Z are lower-cased. The row
 with the largest doc_id stays; of repeated rows that share it all are marked (they are one document).
@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if_small, documents, materialise
@@ -56,10 +56,10 @@ def dedup_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
     text = F.encode(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), "UTF-8")
     digests = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest")), "digests")
     heavy = F.broadcast(materialise(heavy_hitters(digests, share), "heavy"))
-    same = Window.partitionBy("digest")
     hot = digests.join(heavy, "digest")
-    rest = digests.join(heavy, "digest", "left_anti").withColumns({"group_size": F.count("*").over(same), "keep_id": F.max("doc_id").over(same)})
-    return hot.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rest = digests.join(heavy, "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    return hot.unionByName(rest.join(groups, "digest")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def exact_dedup(docs: DataFrame, share: int = SHARE) -> DataFrame:
@@ -73,9 +73,9 @@ def exact_dedup(docs: DataFrame, share: int = SHARE) -> DataFrame:
         return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     # Ids that are null or repeated: decided by the text itself.
     text = F.sha2(F.encode(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), "UTF-8"), 256)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    first = docs.withColumn("_digest", text).dropDuplicates(["doc_id", "_digest"])
-    return first.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (first["_digest"] == kept["_digest"]), "left_semi").select(docs.columns)
+    kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    first = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("digest")).dropDuplicates(["id", "digest"])
+    return first.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi").select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

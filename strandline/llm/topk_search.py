@@ -8,14 +8,16 @@ bound is beyond the k-th best distance; ties go to the smaller vec_id, so equal
 
 Queries go in blocks of a bounded size, each against all rows; a block's thresholds start from the exact
 scores of a bounded sample, so most rows fall to their bound alone. Each task returns k rows for a query
-at most.
+at most. A block's result is written before the next begins, so the plan doesn't grow with the queries.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without a vec_id.
 Only vectors of one length meet; empty vectors all score 0. Rows that repeat the query's own vec_id count as
-its own; other repeated rows are candidates each. Scores must stay below 2^53."""
+its own; other repeated rows are candidates each. Query rows that repeat both vec_id and vector are one query; of
+one vec_id with several vectors each is a query, with ranks of its own. Other columns are not looked at. Scores must stay below 2^53."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from .common import materialise
 
 K, PIVOTS, SAMPLE, BLOCK = 5, 32, 1024, 1024
@@ -85,7 +88,7 @@ class Best:
 
 
 def search_block(table: DataFrame, dim: int, largest: float, pivots: np.ndarray, ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each task's best for each query of the block."""
+    """(query, query_id, vec_id, score) of each task's best for each query of the block; `query` numbers the block's queries."""
     norms = (q * q).sum(1)
     lifted = np.column_stack([q, np.zeros(len(q))])
     to_pivots = distances(lifted, largest, pivots).astype(np.float32)
@@ -113,15 +116,17 @@ def search_block(table: DataFrame, dim: int, largest: float, pivots: np.ndarray,
                         best[i].add(x[part] @ q[i], xid[part])
         for i, found in enumerate(best):
             if len(found.id):
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": found.id, "score": found.score.astype(np.int64)})
+                yield pd.DataFrame({"query": i, "query_id": ids[i], "vec_id": found.id, "score": found.score.astype(np.int64)})
 
-    return table.mapInPandas(run, "query_id long, vec_id long, score long")
+    return table.mapInPandas(run, "query int, query_id long, vec_id long, score long")
 
 
 def topk_search(rows: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, block: int = BLOCK, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each row for which is_query holds, over all rows."""
     vectors = materialise(whole_vectors(rows, column), "vectors")
-    spark, found = rows.sparkSession, None
+    spark = rows.sparkSession
+    schema, path, written = "query_id long, rank int, vec_id long, score long", f"{scratch_dir(spark)}/top_k-{uuid.uuid4().hex}", False
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     for (dim,) in vectors.select("dim").distinct().collect():  # one row for each length of vectors
         same = vectors.filter(F.col("dim") == dim)
         square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
@@ -130,21 +135,19 @@ def topk_search(rows: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, blo
         s, sid = matrix(sample["v"], dim), sample["vec_id"].to_numpy()
         chosen = spread(np.column_stack([s, np.sqrt(np.maximum(largest - (s * s).sum(1), 0))]), pivots)
         table = pivot_table(same, dim, largest, chosen)
-        queries = same.filter(is_query).dropDuplicates(["vec_id"])
+        queries = same.filter(is_query).dropDuplicates(["vec_id", "v"])
         blocks = -(-queries.count() * 5 // (block * 4))  # hashed: blocks come out a little uneven
         for i in range(blocks):
-            part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()
+            part = queries.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == i).toPandas()
             if part.empty:
                 continue
             q, ids = matrix(part["v"], dim), part["vec_id"].to_numpy()
             score = np.where(ids[:, None] == sid[None], -np.inf, q @ s.T)
             floors = np.sort(score, axis=1)[:, -k] if len(sid) >= k else np.full(len(ids), -np.inf)
-            rows_ = search_block(table, dim, largest, chosen, ids, q, floors, k)
-            found = rows_ if found is None else found.unionByName(rows_)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            found = search_block(table, dim, largest, chosen, ids, q, floors, k)
+            found.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+            written = True
+    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
 
 
 def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +159,10 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+  SELECT q.vec_id AS query_id, q.v AS query, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """

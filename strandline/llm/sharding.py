@@ -7,8 +7,9 @@ the next virtual node whose shard has room; documents below the capacity never m
 limited. The rounds run on the histogram of cells, whose size is fixed, not on documents. A cell may be cut
 between shards, at a row number inside the cell.
 
-Null text has no bytes; null doc_ids share one cell. Repeated rows each take a slot. An empty table gives an
-empty result."""
+Null text has no bytes. A row without a doc_id falls into the cell of its text's hash. Repeated rows each take a slot; rows
+alike in doc_id, size and CRC are counted, not sorted, so any number of them does not make a task larger. Other columns are not
+looked at. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import documents, materialise
 
 CELLS, NODES = 1 << 16, 64
+#: Rows that are alike leave their count in runs of so many.
+RUN = 1 << 14
 
 
 def ring(shards: int, cells: int = CELLS, nodes: int = NODES) -> list[tuple[int, int]]:
@@ -80,16 +83,24 @@ def place_cells(histogram: DataFrame, points: list[tuple[int, int]], shards: int
 def shard(docs: DataFrame, shards: int = 16, cells: int = CELLS, nodes: int = NODES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row of docs."""
     points = ring(shards, cells, nodes)
-    cell = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % cells).cast("int")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("text_crc32"), cell.alias("cell"))
-    counts = docs.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("text_crc32"))
+    known = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("-", F.lit(""), "size", "text_crc32"))
+    cell = (F.conv(F.substring(F.md5(known), 1, 8), 16, 10).cast("long") % cells).cast("int")
+    rows = rows.groupBy("doc_id", "size", "text_crc32", cell.alias("cell")).agg(F.count("*").alias("times"))
+    counts = rows.groupBy("cell").agg(F.sum("times").alias("n"))
     pieces = place_cells(materialise(counts.join(F.broadcast(arcs(docs.sparkSession, points, cells)), "cell"), "ring_cells"), points, shards)
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell", "lo").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     pieces = pieces.withColumn("before", before)
-    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")) - 1)
+    upto = F.sum("times").over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = rows.withColumn("r", upto - F.col("times"))
     # At most `cells` pieces and one more for each cut: a fixed size.
-    placed = numbered.join(F.broadcast(pieces.withColumnRenamed("cell", "c")), (F.col("cell") == F.col("c")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("lo") + F.col("n")))
+    pieces = F.broadcast(pieces.withColumnRenamed("cell", "c"))
+    placed = numbered.join(pieces, (F.col("cell") == F.col("c")) & (F.col("r") < F.col("lo") + F.col("n")) & (F.col("r") + F.col("times") > F.col("lo")))
+    first, last = F.greatest("r", "lo"), F.least(F.col("r") + F.col("times"), F.col("lo") + F.col("n")) - 1
+    # Rows that are alike come apart again: in runs, so that no array is long.
+    placed = placed.withColumns({"first": first, "last": last}).withColumn("run", F.explode(F.sequence("first", "last", F.lit(RUN).cast("long"))))
+    placed = placed.withColumn("r", F.explode(F.sequence("run", F.least(F.col("run") + RUN - 1, F.col("last")))))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("r") - F.col("lo")).cast("long").alias("slot"))
 
 

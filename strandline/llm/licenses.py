@@ -23,12 +23,21 @@ from pyspark.sql import functions as F
 
 from .common import documents, lean, small
 
+# Notice phrases, families of licences and what they permit, beginnings of SPDX identifiers.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
     "bsd license": "bsd", "isc license": "isc", "zlib license": "zlib", "unlicense": "unlicense", "public domain": "public-domain",
     "boost software license": "boost", "mozilla public license": "mpl", "lesser general public license": "lgpl",
     "affero general public license": "agpl", "eclipse public license": "epl", "all rights reserved": "proprietary",
     "cc0": "cc0", "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd",
+    "cc by nc sa": "cc-by-nc", "cc by nc nd": "cc-by-nc", "creative commons zero": "cc0", "creative commons attribution noderivatives": "cc-by-nd",
+    "redistribution and use in source and binary forms": "bsd", "permission is hereby granted free of charge": "mit", "licensed under the apache license": "apache",
+    "permission to use copy modify and or distribute this software": "isc", "artistic license": "artistic",
+    "common development and distribution license": "cddl", "european union public licence": "eupl", "open font license": "ofl", "python software foundation license": "psf",
+    "academic free license": "afl", "open software license": "osl", "server side public license": "sspl", "business source license": "busl", "elastic license": "elastic",
+    "open database license": "odbl", "microsoft public license": "ms-pl", "university of illinois ncsa open source license": "ncsa", "postgresql license": "postgresql",
+    "php license": "php", "cecill": "cecill", "gnu free documentation license": "gfdl", "this is free and unencumbered software": "unlicense",
+    "confidential and proprietary": "proprietary", "proprietary and confidential": "proprietary", "no license is granted": "proprietary",
     "creative commons attribution": "cc-by", "creative commons attribution sharealike": "cc-by-sa", "creative commons attribution noncommercial": "cc-by-nc",
 }
 TAG = "spdx license identifier"
@@ -36,11 +45,22 @@ TAG = "spdx license identifier"
 PERMITS = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "zlib": 1.0, "unlicense": 1.0, "public-domain": 1.0, "boost": 1.0, "cc0": 1.0, "cc-by": 0.9,
     "mpl": 0.6, "lgpl": 0.6, "epl": 0.6, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0,
+    "wtfpl": 1.0, "artistic": 0.8, "cddl": 0.6, "eupl": 0.5, "ofl": 0.8, "psf": 1.0, "afl": 0.9, "osl": 0.4, "sspl": 0.1, "busl": 0.1, "elastic": 0.1, "odbl": 0.5, "ms-pl": 0.9,
+    "ms-rl": 0.6, "ncsa": 1.0, "postgresql": 1.0, "php": 0.9, "cecill": 0.4, "gfdl": 0.4, "x11": 1.0, "openssl": 0.9, "w3c": 0.9, "ecl": 0.9, "pddl": 1.0, "curl": 1.0, "ruby": 0.8,
+    "vim": 0.8, "libpng": 1.0, "ftl": 0.9, "icu": 1.0, "unicode": 1.0, "zpl": 0.9, "upl": 1.0, "blueoak": 1.0, "mulan": 1.0, "hpnd": 1.0, "ijg": 0.9, "cpl": 0.6, "ipl": 0.6, "qpl": 0.4, "spl": 0.6,
+    "rpl": 0.3, "cpal": 0.5, "apsl": 0.5, "lppl": 0.7, "json": 0.8, "nist": 1.0, "prosperity": 0.2, "polyform": 0.2, "parity": 0.2, "intel": 0.9, "bittorrent": 0.5, "sleepycat": 0.4, "watcom": 0.4,
 }
 #: Beginnings of SPDX identifiers by family; the longest that fits counts.
 FAMILIES = {
     "mit": "mit", "apache-": "apache", "bsd-": "bsd", "0bsd": "bsd", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "bsl-": "boost", "mpl-": "mpl",
     "lgpl-": "lgpl", "agpl-": "agpl", "gpl-": "gpl", "epl-": "epl", "cc0-": "cc0", "cc-by-": "cc-by", "cc-by-sa-": "cc-by-sa", "cc-by-nc-": "cc-by-nc", "cc-by-nd-": "cc-by-nd",
+    "wtfpl": "wtfpl", "artistic-": "artistic", "clartistic": "artistic", "cddl-": "cddl", "eupl-": "eupl", "ofl-": "ofl", "psf-": "psf", "python-": "psf", "cnri-python": "psf", "afl-": "afl", "osl-": "osl",
+    "sspl-": "sspl", "busl-": "busl", "elastic-": "elastic", "odbl-": "odbl", "odc-by-": "cc-by", "ms-pl": "ms-pl", "ms-rl": "ms-rl", "ncsa": "ncsa", "postgresql": "postgresql", "php-": "php",
+    "cecill-": "cecill", "cecill-b": "cecill", "gfdl-": "gfdl", "x11": "x11", "x11-": "x11", "mit-": "mit", "openssl": "openssl", "openssl-": "openssl", "w3c": "w3c", "w3c-": "w3c", "ecl-": "ecl", "pddl-": "pddl",
+    "curl": "curl", "ruby": "ruby", "vim": "vim", "libpng": "libpng", "libpng-": "libpng", "zlib-": "zlib", "isc-": "isc", "ftl": "ftl", "icu": "icu", "unicode-": "unicode", "zpl-": "zpl", "upl-": "upl",
+    "blueoak-": "blueoak", "mulanpsl-": "mulan", "hpnd": "hpnd", "hpnd-": "hpnd", "ijg": "ijg", "cpl-": "cpl", "ipl-": "ipl", "qpl-": "qpl", "spl-": "spl", "rpl-": "rpl", "cpal-": "cpal", "apsl-": "apsl",
+    "lppl-": "lppl", "json": "json", "nist-": "nist", "prosperity-": "prosperity", "polyform-": "polyform", "parity-": "parity", "intel": "intel", "bittorrent-": "bittorrent", "sleepycat": "sleepycat",
+    "watcom-": "watcom", "beerware": "wtfpl", "egpl-": "gpl", "nokia": "osl", "cc-pddc": "public-domain", "sax-pd": "public-domain", "libtiff": "mit", "ntp": "hpnd", "tcl": "bsd", "xnet": "mit", "aal": "bsd", "naumen": "bsd",
 }
 BINDS = {"or": 1, "and": 2, "with": 3}
 #: The contract's character class: all other ASCII separates words.

@@ -5,7 +5,7 @@ s and n shingles, a partner must share one of the first n - ceil(s*n) + 1 (or, f
 first n - ceil(2s/(1+s)*n) + 1), in any order of all shingles. The order is by the counts of a sketch of fixed size
 over the whole corpus, so passages that many documents share come last. It runs in blocks of
 columns (ranges of shingle hashes). Columns with few rows give their pairs if the sizes allow a link; longer
-ones a star. Their connected parts are the row blocks of the second product, which counts the exact overlaps over
+ones, sorted by size and cut where neighbours' sizes allow none, a star for each piece that holds a prefix of the second kind. Their connected parts are the row blocks of the second product, which counts the exact overlaps over
 all shingles, a few thousand columns at a time, and discards rows whose counts can no longer reach the bound set by
 the two sizes. A part with many rows is cut into chunks, a task for each pair of chunks. A block returns each
 row's number of links and a spanning forest, never its pairs; components are found by contraction.
@@ -118,13 +118,21 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between the keys of classes that may link, a spanning forest of each task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                blobs.setdefault(b, []).append(x)
         found = [np.empty((0, 2), dtype=np.int64)]
-        while blobs:
-            _, some = blobs.popitem()
+
+        def buckets() -> Iterator[list[bytes]]:  # rows come sorted by bucket; a worker holds one
+            at, held = None, []
+            for batch in batches:
+                for b, x in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                    if b != at and held:
+                        yield held
+                        held = []
+                    at = b
+                    held.append(x)
+            if held:
+                yield held
+
+        for some in buckets():
             n = [len(x) // 20 for x in some]
             h = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(some, n, strict=True)])
             key = np.concatenate([np.frombuffer(x, np.int64, k, 8 * k) for x, k in zip(some, n, strict=True)])
@@ -143,17 +151,20 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
                 at = np.flatnonzero(same)
                 if len(at):
                     found.append(np.unique(np.sort(np.column_stack([key[at], key[at + lag]]), axis=1), axis=0))
-            hub = np.minimum.reduceat(key, bounds[:-1]) if len(key) else key
             star = np.flatnonzero(length > SHORT)
             if len(star):
-                hubs = np.repeat(hub, np.diff(bounds))[star]
-                found.append(np.unique(np.column_stack([hubs, key[star]]), axis=0))
+                h, key, size, index = h[star], key[star], size[star], index[star]
+                cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (100 * size[:-1] < percent * size[1:])]))
+                width = np.diff(np.append(cut, len(h)))
+                keep = np.repeat((width > 1) & np.logical_or.reduceat(index, cut), width)
+                hubs = np.repeat(np.minimum.reduceat(key, cut), width)[keep]
+                found.append(np.unique(np.column_stack([hubs, key[keep]]), axis=0))
             if sum(map(len, found)) > HELD:
                 found = [forest(np.concatenate(found))]
         rows = forest(np.concatenate(found))
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
-    return entries.repartition("bucket").mapInArrow(lean(run), "a long, b long")
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long")
 
 
 def forest(edges: np.ndarray) -> np.ndarray:

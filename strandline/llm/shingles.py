@@ -3,16 +3,18 @@
 A-Z are lower-cased; words are runs of bytes other than space and the controls from tab to carriage return.
 A text with fewer words than five has its whole sequence as its one shingle; without words the set is empty.
 Hashes only ever stand for shingles within one pair of documents, where a collision has a chance of about
-n^2 / 2^64."""
+n^2 / 2^64. A word's hash is a polynomial modulo 2^64; words of LONG bytes or more, among which some collide whatever the
+base is, get a digest of their bytes."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-WIDTH = 5
+WIDTH, LONG = 5, 256
 #: Bytes worked on at once.
 PIECE = 1 << 18
 _SEP = np.zeros(256, dtype=bool)
@@ -53,7 +55,10 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     up, down = _powers(1 << max(19, len(a).bit_length()))
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_bytes()[a] * up[: len(a)], dtype=np.uint64)])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+    out = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].lower(), digest_size=8).digest(), "little")
+    return out, start
 
 
 def pieces(texts: list[str | None]) -> Iterator[list[tuple[int, bytes]]]:

@@ -10,7 +10,8 @@ largest corrected count decides, and its share of the document's n-grams is the
 
 Every text is read whole, in pieces of bounded size. Null text, text without a letter, or text whose corrected
 counts are 0 for all languages, is `und` with score 0; so is all text if nothing was learnt. Equal counts go to the first language by code point. Rows are
-independent, so repeated rows repeat their result; an empty table gives an empty one. The sample's bound
+independent, so repeated rows repeat their result (rows with a null doc_id are in the sample or out of it together); other columns are not
+looked at; an empty table gives an empty one. The sample's bound
 is LEARN_DOCS documents a language, drawn by a hash of the id; LEARN_GRAMS bounds a language's n-grams. Those in fewer
 than LEAST_DOCS documents are left out, but only of a language with ENOUGH_DOCS that gave n-grams."""
 
@@ -141,7 +142,7 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """The model of the documents that aren't held out and have a language."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    known = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return Model([], {})

@@ -135,9 +135,70 @@ def test_shingles_of_long_texts_in_pieces(monkeypatch):
     assert [len(x) for x in whole] == [len(shingle_set(t)) for t in some]
 
 
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    def thue(n, a, b):
+        return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+    x, y = thue(2048, "a", "b"), thue(2048, "b", "a")
+    assert len(np.unique(np.concatenate(shingles.shingle_sets([x, y, x.upper()])))) == 2
+    got = ngram_join.ngram_join(make(spark, [x, y, x.upper()])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_ngram_join_of_a_passage_in_many_documents(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 40, 10**6)
+    some = [f"{prose(rng, rng.randrange(5, 80), 10**6)} {passage}" for _ in range(400)]
+    some += [edited(rng, some[k], 1) for k in (3, 3, 9)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(make(spark, some)).collect()}
+    assert got == brute_join(list(enumerate(some)))
+
+
 # language ID
 
 
+def plain_model(rows):
+    """Each language's set of n-grams, by dictionaries: those of its documents, the most frequent LEARN_GRAMS."""
+    grams, n_docs = {}, Counter()
+    for d, text, lang in rows:
+        if lang is None or zlib.crc32(str(d).encode()) % 4 == 2:
+            continue
+        own = set(plain_grams(text))
+        n_docs[lang] += bool(own)
+        grams.setdefault(lang, Counter()).update(own)
+    return {x: {g for g, n in c.items() if n >= language_id.LEAST_DOCS or n_docs[x] < language_id.ENOUGH_DOCS} for x, c in grams.items()}
+
+
+def plain_grams(text):
+    s = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    s = re.sub(" +", " ", s)
+    return [s[i : i + language_id.N] for i in range(len(s) - language_id.N + 1)]
+
+
+def test_language_id_equals_plain_counting(spark, monkeypatch):
+    rng = random.Random(15)
+    parts = {"aa": ["tho", "sha", "ing", "er"], "bb": ["ung", "keit", "ich", "ö"], "cc": ["eau", "oi", "tion", "é"], "dd": ["tho", "ung", "eau", "q"]}
+    rows = [(i, " ".join("".join(rng.choices(parts[x], k=3)) for _ in range(rng.randrange(4, 60))), x) for i in range(500) for x in [rng.choice(list(parts))]]
+    rows += [rows[3], rows[3], (900, "tho " * 40_000 + "ung", None), (901, None, "aa"), (902, "  12", "bb"), (903, "x" * 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("lang_pred", "score", "held_out", "gram", "n", "share")})
+    monkeypatch.setattr(language_id, "PIECE", 1 << 12)
+    found = language_id.identify(docs, language_id.learn(docs)).collect()
+    sets, got = plain_model(rows), {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
+    same = close = n = 0
+    for d, text, _ in rows:
+        own = plain_grams(text)
+        counts = {x: sum(g in s for g in own) for x, s in sorted(sets.items())}
+        best = max(counts.values())
+        if not best or not any(map(str.isalpha, text or "")):
+            assert got[d].lang_pred == "und" and got[d].score == 0, d
+            continue
+        n += 1
+        same += counts.get(got[d].lang_pred) == best
+        close += abs(got[d].score - best / len(own)) < 0.03
+    assert same >= 0.99 * n and close >= 0.99 * n
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     parts = {"aa": ["tho", "sha", "ing", "er"], "bb": ["ung", "keit", "ich", "ö"], "cc": ["eau", "oi", "tion", "é"]}
@@ -217,6 +278,17 @@ def test_topk_search(spark):
     assert topk_search.topk_search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_repeated_query_ids(spark):
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(1, 49)] + [(50, [1.0, 0.0]), (50, [-1.0, 2.0]), (50, [1.0, 0.0]), (7, [9.0, 9.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("query", "rank", "score", "v", "dim", "d")})
+    got = sorted(tuple(r) for r in topk_search.topk_search(frame, F.col("vec_id") == 50, block=1).collect())
+    want = []
+    for q in ([1, 0], [-1, 2]):
+        best = sorted((-sum(int(256 * x) * 256 * y for x, y in zip(v, q, strict=True)), i) for i, v in rows if i != 50)[:5]
+        want += [(50, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 # mixing
 
 
@@ -284,6 +356,13 @@ def test_exact_dedup_of_an_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a"), (2, "b")]
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    docs = make(spark, ["a", "A", None, "b", "b"], ids=[1, 1, None, 3, 3]).withColumns({c: F.lit(7) for c in ("digest", "_digest", "_id", "row", "id", "kept_id", "group_size")})
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "").lower(), r.digest, r._id) for r in kept.collect()) == [("1", "a", 7, 7), ("3", "b", 7, 7), ("None", "", 7, 7)]
+
+
 def test_misra_gries_keeps_heavy_hitters():
     import pandas as pd
 
@@ -319,18 +398,34 @@ def test_license_scan(spark):
     assert licenses.license_scan(make(spark, [])).count() == 0
 
 
+def test_license_scan_at_line_ends_and_repeats(spark):
+    texts = ["SPDX-License-Identifier: MIT\r\nApache-2.0", "// SPDX-License-Identifier: (MIT AND EUPL-1.2) WITH x\nrest", "x SPDX-License-Identifier: Zlib", "x SPDX-License-Identifier:", "Permission is hereby granted, free of charge"]
+    docs = make(spark, [*texts, *texts]).withColumns({c: F.lit(1) for c in ("n_words", "matches", "labels", "expressions")})
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert [got[i].expressions for i in range(5)] == [["mit"], ["((mit and eupl-1.2) with x)"], ["zlib"], [], []]
+    assert [got[i].labels for i in range(5)] == [["mit"], ["eupl", "mit"], ["zlib"], [], ["mit"]]
+    assert all(got[i][1:] == got[i + 5][1:] for i in range(5))
+    assert all(licenses.PERMITS.get(x) is not None for x in {*licenses.FAMILIES.values(), *licenses.NOTICES.values(), *licenses.BASE.values()})
+
+
 # chat formatting
 
 
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a <|end|> & &amp; <|"), (1, 1, "user", None), (1, 2, "assistant", "<|next|>x"), (1, 3, "assistant", "x"), (1, 3, "assistant", "x"), (1, 4, "us<|text|>er\n", ""),
-            (2, None, None, "first"), (2, 0, "assistant", "é😀"), (None, 0, "user", "u"), (3, 0, "assistant", "")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
-    got = chat_format.format_conversations(frame).withColumn("turns", chat_format.parse_turns(F.col("formatted"))).collect()
+            (2, None, None, "first"), (2, 0, "assistant", "é😀"), (None, 0, "user", "u"), (None, 1, "assistant", "& w"), (3, 0, "assistant", "")]
+    rows += [(4, i, ("user", "assistant")[i // 3 % 2], f"<|end|>é{i}" * (i % 4)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("formatted", "turns", "starts", "pieces", "loss_spans")})
+    got = chat_format.format_conversations(frame).withColumn("turns", chat_format.parse_turns(F.col("formatted"))).withColumn("said", chat_format.under_mask(F.col("formatted"), F.col("loss_spans"))).collect()
     for r in got:
         own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
+        if r.conv_id is None:  # each row is a conversation
+            own = [x for x in own if x[3] == r.turns[0].text]
         assert [tuple(t) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
-    assert len(got) == 4 and chat_format.format_conversations(frame.limit(0)).count() == 0
+        assert r.said == [x[3] or "" for x in own if x[2] == "assistant"]
+        data = r.formatted.encode()
+        assert all("<|" not in data[s.start : s.end].decode() for s in r.loss_spans)
+    assert len(got) == 6 and chat_format.format_conversations(frame.limit(0)).count() == 0
     one = next(r for r in got if r.conv_id == 1).formatted
     assert one.count(chat_format.START) == 3 and one.count(chat_format.NEXT) == 3
 
@@ -458,6 +553,45 @@ def test_sharding(spark, texts):
     assert max(Counter(r.shard for r in hot).values()) == 3 and sharding.shard(docs.limit(0)).count() == 0
 
 
+def plain_ring(rows, shards, cells, nodes):
+    """The walk done row by row: home loads, and for each row its home shard."""
+    points = sharding.ring(shards, cells, nodes)
+    home = {}
+    for d in rows:
+        cell = int(hashlib.md5(str(d).encode()).hexdigest()[:8], 16) % cells
+        home[d] = next((s for c, s in points if c >= cell), points[0][1])
+    return home
+
+
+def test_sharding_against_a_plain_walk(spark):
+    ids = list(range(1000, 1700))
+    got = {r.doc_id: r.shard for r in sharding.shard(make(spark, ["t"] * len(ids), ids=ids)).collect()}
+    home = plain_ring(ids, 16, sharding.CELLS, sharding.NODES)
+    room = {s: len(ids) // 16 + (s < len(ids) % 16) for s in range(16)}
+    loads = Counter(home.values())
+    assert Counter(got.values()) == Counter(room)
+    for s in range(16):  # a shard keeps its own rows up to its room, and no shard below it loses any
+        assert sum(got[d] == s for d in ids if home[d] == s) == min(loads[s], room[s])
+
+
+def test_sharding_moves_little(spark):
+    ids = list(range(900))
+    place = lambda ids, n: {r.doc_id: r.shard for r in sharding.shard(make(spark, ["t"] * len(ids), ids=ids), n).collect()}
+    before = place(ids, 16)
+    fewer, more = place(ids[:-9], 16), place(ids, 17)
+    assert sum(before[d] != s for d, s in fewer.items()) < 0.05 * len(ids)
+    assert sum(before[d] != s for d, s in more.items()) < 0.2 * len(ids)
+
+
+def test_sharding_of_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    docs = make(spark, [None] * 60 + ["a"] * 40 + ["b"] * 20 + ["c"] * 5, ids=[None] * 60 + [3] * 40 + [3] * 20 + [None] * 5).withColumns({c: F.lit(1) for c in ("cell", "times", "shard", "slot", "run", "first", "n", "lo")})
+    got = sharding.shard(docs, 4).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter({(None, 1): 60, (3, 2): 60, (None, 2): 5})
+    by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(4)}
+    assert sorted(map(len, by.values())) == [31, 31, 31, 32] and all(x == list(range(len(x))) for x in by.values())
+
+
 def test_bounded_loads_move_only_overflow(spark):
     points = sharding.ring(4, 64, 3)
     cells = sharding.arcs(spark, points, 64).collect()
@@ -473,3 +607,24 @@ def test_bounded_loads_move_only_overflow(spark):
         home[points[c.node][1]] += 1 + c.cell % 3
     stayed = sum(p.n for p in placed if points[next(c.node for c in cells if c.cell == p.cell)][1] == p.shard)
     assert stayed == sum(min(home[s], load[s]) for s in range(4))
+
+
+def test_substring_dedup_of_one_line_in_many_surroundings(spark, monkeypatch):
+    rng = random.Random(13)
+    line = "the one line that stands in every page of the site, and its end"  # below 100 bytes: no string of it alone repeats
+    longer = prose(rng, 30)  # one whose strings do
+    some = [f"{prose(rng, 25)}{line}{prose(rng, 25)}" for _ in range(150)] + [f"{prose(rng, rng.randrange(2, 25))}{longer}{prose(rng, 25)}" for _ in range(150)]
+    some += [some[0][20:] + "x", some[3][:-9], "z" + some[200]]
+    want = brute_dedup(list(enumerate(some)))
+    for many, very, group, keys in ((64, 1 << 16, 2048, 1 << 24), (2, 1 << 16, 2, 1 << 24), (3, 40, 5, 3), (1 << 30, 8, 1, 1 << 24)):
+        for name, value in (("MANY", many), ("VERY_MANY", very), ("GROUP", group), ("FILTER_KEYS", keys)):
+            monkeypatch.setattr(substring_dedup, name, value)
+        got = sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], r.kept_sha256) for r in substring_dedup.substring_dedup(make(spark, some)).collect())
+        assert got == want, (many, very, group)
+
+
+def test_key_filter_holds_every_key(spark):
+    keys = [(k * 7919 - 10**15,) for k in range(3000)]
+    table = graph.key_filter(spark.createDataFrame(keys, "k long").repartition(3), 3000)
+    assert graph.in_filter(table, np.array(keys)[:, 0]).all()
+    assert graph.in_filter(table, np.arange(100_000)).mean() < 0.05

@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the piece ids, their number, and whether they decode to the text."""
     ship(spark)
-    return sentencepiece_lattice.encode(docs, sentencepiece_lattice.Pieces.load()).select("doc_id", "ids", "n_tokens", "exact")
+    return sentencepiece_lattice.encode(docs, sentencepiece_lattice.Pieces.load(), text=False).select("doc_id", "ids", "n_tokens", "exact")
 
 
 STAGES = [

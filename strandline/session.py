@@ -17,8 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 _sent: set[str] = set()
 
 
+#: Bytes of an Arrow batch, where the application doesn't set them: what a worker holds of its input is bounded however long rows are.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that workers needn't have it installed."""
+    """Sends this package to the executors, once for each application, so that workers needn't have it installed; bounds Arrow batches."""
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(BATCH[0], str(BATCH[1]))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return

@@ -10,7 +10,7 @@ import re
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,22 @@ def resolve(requests: DataFrame, responses: DataFrame, max_redirects: int = MAX_
     return out.withColumns({"kind": F.when(F.col("failure_reason").isNull(), "ok").otherwise("failure"), "final_url": final, "redirect_chain": F.col("chain")}).drop("seen", "chain", "visits", "hops", "retries", "next", "current")
 
 
+def assemble_bodies(chunks: DataFrame, cap: int) -> DataFrame:
+    """chunks(request_id, seq, data, is_last) as one row for each request: body, n_chunks, size in bytes, and status.
+
+    A body is read up to its cap: the chunk that passes it ends the reading (too_large), so an endless body costs the cap and
+    not what follows. Without its last chunk a body is incomplete; a gap in the numbers, from 0, ends it too."""
+    order = Window.partitionBy("request_id").orderBy("seq")
+    rows = chunks.withColumns({"_upto": F.sum(F.octet_length("data")).over(order), "_place": F.row_number().over(order) - 1})
+    kept = rows.filter((F.col("_upto") <= cap) & (F.col("seq") == F.col("_place")))
+    over = rows.filter((F.col("_upto") > cap) & (F.col("seq") == F.col("_place"))).select("request_id").distinct().withColumn("_over", F.lit(True))
+    part = F.array_sort(F.collect_list(F.struct("seq", "data")))
+    whole = kept.groupBy("request_id").agg(F.array_join(F.transform(part, lambda c: c["data"]), "").alias("body"), F.count("*").alias("n_chunks"), F.max("_upto").alias("size"), F.bool_or("is_last").alias("_ended"))
+    out = chunks.select("request_id").distinct().join(whole, "request_id", "left").join(over, "request_id", "left")
+    status = F.when(F.col("_over"), "too_large").when(F.col("_ended"), "complete").otherwise("incomplete")
+    return out.select("request_id", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), status.alias("status"))
+
+
 def route_paths(requests: DataFrame, exact: DataFrame, prefixes: DataFrame, default: Column) -> DataFrame:
     """requests(path) with answer: of the exact route, else of the longest prefix route, else the default.
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import score
 from ..operators.verdict import with_checks, with_outcomes, with_timeout
 from ..session import materialise
+from ..streaming.events import add_new
 from .arms import ARMS
 
+KEYS = ["task_id", "attempt_id", "step_id"]
+
 
 def run_arms(truths: DataFrame, responses: DataFrame, arms: list[str] | None = None) -> DataFrame:
     """Outcomes of each arm and case. Each arm starts from the first visit of every URL."""
@@ -50,14 +55,16 @@ def write_run(outcomes: DataFrame, path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def upsert_steps(steps: DataFrame, path: str) -> None:
-    """Adds rows keyed (task_id, attempt_id, step_id) that the table at path lacks; a repeated write changes nothing."""
-    keys = ["task_id", "attempt_id", "step_id"]
-    spark = steps.sparkSession
-    new = steps.dropDuplicates(keys)
-    try:
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    new.write.mode("append").parquet(path)
+def upsert_steps(steps: DataFrame, path: str, writer: str = "writer") -> None:
+    """Adds rows keyed (task_id, attempt_id, step_id) that the table at path lacks; a repeated write changes nothing.
+
+    Each call writes a folder of its own, named by the writer and what it wrote, so two writers don't touch each other's files;
+    a key that both add is read once by `read_steps`."""
+    add_new(steps, path, KEYS, f"{writer}-{uuid.uuid4().hex}")
+
+
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """The steps, each key once: of rows that two writers added at one time, the one of the first writer by name."""
+    rows = spark.read.parquet(path)
+    first = rows.groupBy(*KEYS).agg(F.min("version").alias("version"))
+    return rows.join(first, [*KEYS, "version"]).drop("version").dropDuplicates(KEYS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, is_cjk, looks_prose, squeeze, strip, upper_median, utf16_length
@@ -13,7 +13,7 @@ from ..session import scratch_dir, shipped
 from ..sources import fixtures
 from ..sources.environment import run_environment
 from ..streaming import events as streaming
-from . import benchmark, page_sql
+from . import benchmark, fixture_sql, page_sql
 from .outcome_sql import ARMS, OUTCOMES_SQL, document_outcomes, sql_median, sql_tokens
 from .page_sql import EXTRA_PAGES, C, W
 
@@ -418,6 +418,67 @@ def host_sessions(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
+def event_stream(spark, sf_dir):
+    """The events as a stream of files. All come in one batch, so that none is late; tests stream them in parts."""
+    path = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").write.parquet(path)
+    return streaming.event_stream(spark, path, 1_000_000)
+
+
+def streamed(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What the stream gives of all that is there."""
+    return streaming.run_to_memory(stream, f"q{uuid.uuid4().hex}", mode)
+
+
+@query("""WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, max(ts) AS last FROM events GROUP BY user_id)
+SELECT user_id, CAST(errors AS INTEGER) AS errors, errors < 3 AS may_retry, CASE WHEN errors > 0 THEN last + to_seconds(60 * pow(2, least(errors, 20) - 1)::BIGINT) ELSE last END AS retry_at FROM u""")
+def stream_attempts(spark, sf_dir):
+    """Retry state of each user after the stream of events."""
+    out = streamed(streaming.attempts(event_stream(spark, sf_dir)), "update")
+    return out.groupBy("user_id").agg(F.max_by(F.struct("errors", "may_retry", "retry_at"), "retry_at").alias("r")).select("user_id", "r.errors", "r.may_retry", F.col("r.retry_at").cast("timestamp_ntz").alias("retry_at"))
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a),
+c AS (SELECT user_id, max(ts) + INTERVAL 12 HOUR AS deadline, CAST(count(*) AS INTEGER) AS events FROM b GROUP BY user_id, s)
+SELECT * FROM c WHERE deadline < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_deadlines(spark, sf_dir):
+    """Each time that a user gave no event for twelve hours, as timers find it."""
+    out = streamed(streaming.deadlines(event_stream(spark, sf_dir)))
+    return out.withColumn("deadline", F.col("deadline").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY user_id")
+def stream_first_seen(spark, sf_dir):
+    """Of a stream, the first of each user and type: how many types each user has shown."""
+    rows = event_stream(spark, sf_dir).withColumn("pair", F.concat_ws("/", "user_id", "event_type"))
+    return streamed(streaming.first_seen(rows, "pair").select("user_id", "pair")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e), s AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS streak FROM r)
+SELECT user_id, CAST(arg_max(streak, event_id) AS INTEGER) AS streak, max(streak) >= 3 AS loop_detected FROM s GROUP BY user_id""")
+def stream_identical_stop(spark, sf_dir):
+    """Users whose stream had three equal events in a row."""
+    out = streamed(streaming.identical_stop(event_stream(spark, sf_dir), "user_id", "event_id", "event_type"), "update")
+    return out.groupBy("user_id").agg(F.last("streak").alias("streak"), F.bool_or("loop_detected").alias("loop_detected"))
+
+
+@query("""WITH c AS (SELECT user_id AS request_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type AS data, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_id % 3 <> 0),
+d AS (SELECT *, CASE WHEN request_id % 5 = 0 AND seq >= 4 THEN seq + 1 ELSE seq END AS place, sum(length(data)) OVER (PARTITION BY request_id ORDER BY seq) AS upto FROM c),
+k AS (SELECT * FROM d WHERE place = seq AND upto <= 150),
+s AS (SELECT request_id, string_agg(data, '' ORDER BY seq) AS body, count(*) AS n_chunks, CAST(max(upto) AS BIGINT) AS size, bool_or(seq = n - 1) AS ended FROM k GROUP BY request_id),
+o AS (SELECT request_id, bool_or(place = seq AND upto > 150) AS over FROM d GROUP BY request_id)
+SELECT request_id, coalesce(body, '') AS body, coalesce(n_chunks, 0) AS n_chunks, coalesce(size, 0) AS size, CASE WHEN over THEN 'too_large' WHEN ended THEN 'complete' ELSE 'incomplete' END AS status FROM o LEFT JOIN s USING (request_id)""")
+def chunked_bodies(spark, sf_dir):
+    """Events as the chunks of bodies, with a gap in some and a cap that others pass."""
+    w = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").filter("event_id % 3 <> 0").select("user_id", "event_id", "event_type")
+    e = e.withColumns({"k": F.row_number().over(w.orderBy("event_id")) - 1, "n": F.count("*").over(w)})
+    seq = F.when((F.col("user_id") % 5 == 0) & (F.col("k") >= 4), F.col("k") + 1).otherwise(F.col("k"))
+    return transport.assemble_bodies(e.select(F.col("user_id").alias("request_id"), seq.alias("seq"), F.col("event_type").alias("data"), (F.col("k") == F.col("n") - 1).alias("is_last")), 150)
+
+
 @query("SELECT event_type, CASE event_type WHEN 'error' THEN 'http_error' WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'empty_unverified' ELSE 'other' END AS failure_reason, CASE event_type WHEN 'view' THEN 'backoff' WHEN 'click' THEN 'escalate' ELSE 'never' END AS action, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def retry_policy(spark, sf_dir):
     t = F.col("event_type")
@@ -498,13 +559,13 @@ def css_select(spark, sf_dir):
     return pages.selected_nodes(page_rows(spark, sf_dir), "article > p, body div.ad").select("page_id", "node_id", "tag", "text")
 
 
-@query()
+@query(fixture_sql.GFM_TABLES)
 def gfm_tables(spark, sf_dir):
     rows = fixtures.fixture_responses(spark).filter("body is not null").select(F.col("url").alias("page_id"), F.col("body").alias("html"))
     return pages.gfm_tables(rows).select("page_id", "nth", "gfm")
 
 
-@query()
+@query(fixture_sql.TABLE_CHECK)
 def expected_table_check(spark, sf_dir):
     """Issues of each annotated table in the table arm's text."""
     t = fixtures.fixture_truths(spark).filter("expected_table is not null").join(fixtures.fixture_responses(spark).select(F.col("url").alias("target"), "body"), "target")
@@ -623,7 +684,7 @@ def cited_sources(spark, sf_dir):
     return ledger.cited(citations, items)
 
 
-@query()
+@query(fixture_sql.PLAIN_ARM)
 def segmented_scoreboard(spark, sf_dir):
     """Scores of the plain arm by category of case."""
     return score.suite_scores(benchmark.run_arms(fixtures.fixture_truths(spark), fixtures.fixture_responses(spark), ["bare-http"]), "category")

@@ -34,38 +34,111 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = LATE) -> Data
     return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-def first_seen(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
-    """Rows whose key has not come before: a crawl resumed from its checkpoint fetches nothing twice."""
-    if events.isStreaming:
+def first_seen(events: DataFrame, key: str, late: str | None = None) -> DataFrame:
+    """Rows whose key has not come before: a crawl resumed from its checkpoint fetches nothing twice.
+
+    A key is kept for good, in the state store (RocksDB, on disk, where the session is set so). With `late`, a key is forgotten
+    once the watermark has passed it by that time, for streams whose repeats come close together."""
+    if events.isStreaming and late:
         return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
 
 
-def attempts(events: DataFrame, most: int = 3) -> DataFrame:
-    """A running count of errors for each user, with whether its next attempt is allowed; state is one number a key."""
+def micros(ts: pd.Timestamp) -> int:
+    return ts.value // 1000
+
+
+def attempts(events: DataFrame, most: int = 3, wait: str = "1 minute", late: str = LATE, idle: str = "30 days") -> DataFrame:
+    """A running count of errors for each user, whether its next attempt is allowed, and from when: the wait doubles with
+    each error. State is two numbers a key, and goes once the watermark is `idle` beyond the key's last event."""
+    first, rest = pd.Timedelta(wait), pd.Timedelta(idle)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        errors, last = state.get if state.exists else (0, 0)
         for batch in batches:
             errors += int((batch["event_type"] == "error").sum())
-        state.update((errors,))
-        yield pd.DataFrame({"user_id": [key[0]], "errors": [errors], "may_retry": [errors < most]})
+            last = max(last, micros(batch["ts"].max()))
+        state.update((errors, last))
+        state.setTimeoutTimestamp(max(last // 1000 + rest // pd.Timedelta("1ms"), state.getCurrentWatermarkMs() + 1))
+        delay = first * 2 ** (min(errors, 20) - 1) if errors else pd.Timedelta(0)
+        yield pd.DataFrame({"user_id": [key[0]], "errors": [errors], "may_retry": [errors < most], "retry_at": [pd.Timestamp(last, unit="us") + delay]})
+
+    kept = events.withWatermark("ts", late).select("user_id", "event_type", "ts")
+    return kept.groupBy("user_id").applyInPandasWithState(step, "user_id long, errors int, may_retry boolean, retry_at timestamp", "errors int, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def deadlines(events: DataFrame, limit: str = "12 hours", late: str = LATE) -> DataFrame:
+    """A row for each time that a user gave no event for `limit`: when that was up, and how many events came before it.
+
+    Between two events that lie that far apart the row comes with the second; after the last, when the watermark passes
+    the deadline, by a timer. State is two numbers a key and ends with the deadline."""
+    gap = pd.Timedelta(limit)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((last, n))
+            state.remove()
+        else:
+            for at in sorted(micros(t) for batch in batches for t in batch["ts"]):
+                if last is not None and at - last >= gap.value // 1000:
+                    out.append((last, n))
+                    n = 0
+                last, n = max(at, last or at), n + 1
+            state.update((last, n))
+            state.setTimeoutTimestamp(max(last // 1000 + gap // pd.Timedelta("1ms"), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "deadline": [pd.Timestamp(t, unit="us") + gap for t, _ in out], "events": [c for _, c in out]})
+
+    kept = events.withWatermark("ts", late).select("user_id", "ts")
+    return kept.groupBy("user_id").applyInPandasWithState(step, "user_id long, deadline timestamp, events int", "last long, n int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def identical_stop(steps: DataFrame, by: str, order: str, fingerprint: str, stop: int = 3) -> DataFrame:
+    """A row for each key whose last `stop` fingerprints or more were equal, as of each batch: the crawl of that key is to end.
+
+    State is the last fingerprint, its place and its streak; a step at or before the last place is a repeat of one seen."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, place, streak, ended = state.get if state.exists else (None, None, 0, False)
+        rows = pd.concat(list(batches)).sort_values(order)
+        for at, value in zip(rows[order], rows[fingerprint], strict=True):
+            if place is not None and at <= place:
+                continue
+            streak = streak + 1 if place is not None and value == last else 1
+            last, place = value, int(at)
+            ended = ended or streak >= stop
+        state.update((last, place, streak, ended))
+        yield pd.DataFrame({by: [key[0]], "streak": [streak], "loop_detected": [ended]})
+
+    return steps.select(by, order, fingerprint).groupBy(by).applyInPandasWithState(step, f"`{by}` long, streak int, loop_detected boolean", "last string, place long, streak int, ended boolean", "update", GroupStateTimeout.NoTimeout)
+
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, errors int, may_retry boolean", "errors int", "update", GroupStateTimeout.NoTimeout)
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def add_new(rows: DataFrame, path: str, keys: list[str], version: str | int) -> None:
+    """Adds the rows whose keys the table at path lacks, in a folder named by the version, which a repeated write replaces.
+
+    One writer at a time: that of a stream's query, or a task's owner. Only the key columns of the table are read."""
+    spark, new = rows.sparkSession, rows.dropDuplicates(keys)
+    if exists(spark, path):
+        mine = F.col("version") == str(version)
+        old = spark.read.option("mergeSchema", False).schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.select(*keys).schema)}, version string").parquet(path)
+        new = new.join(old.filter(~mine).select(*keys), keys, "left_anti")
+    new.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def upsert_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """A query that appends rows whose keys the table at path lacks, so that a repeated batch changes nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        try:
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(path)
+    """A query that adds rows whose keys the table at path lacks. A batch that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        add_new(batch, path, keys, f"batch-{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

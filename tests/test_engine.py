@@ -132,7 +132,7 @@ def test_reports(outcomes, tmp_path, spark):
     steps = spark.createDataFrame([("t", "a", i % 3) for i in range(6)], "task_id string, attempt_id string, step_id int")
     for _ in range(2):
         benchmark.upsert_steps(steps, f"{tmp_path}/steps")
-    assert spark.read.parquet(f"{tmp_path}/steps").count() == 3
+    assert benchmark.read_steps(spark, f"{tmp_path}/steps").count() == 3
 
 
 def test_wrong_page_check(spark):
@@ -239,7 +239,7 @@ def test_streams_equal_batches(spark, tmp_path):
     kept = streaming.run_to_memory(streaming.first_seen(stream(), "user_id", "60 days"), "f")
     assert kept.count() == batch.select("user_id").distinct().count()
     errors = {}
-    for r in streaming.run_to_memory(streaming.attempts(stream()), "a", "update").collect():
+    for r in streaming.run_to_memory(streaming.attempts(stream(), late="60 days"), "a", "update").collect():
         errors[r.user_id] = max(errors.get(r.user_id, 0), r.errors)
     assert errors == {r.user_id: r.n for r in batch.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).collect()}
     streaming.upsert_sink(stream().select("user_id", "event_type"), f"{tmp_path}/s", ["user_id"], f"{tmp_path}/c").awaitTermination()

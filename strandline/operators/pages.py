@@ -121,8 +121,14 @@ def text_blocks(pages: DataFrame, favor_precision: bool = False, **columns: str)
 EXTRACTED = "title string, main_html string, confidence double, escalate boolean, page_type string, strategy string, n_blocks int, n_main_blocks int"
 
 
-def extract_pages(pages: DataFrame, favor_precision: bool = False, favor_recall: bool = False, prune_selectors: tuple[str, ...] = (), **columns: str) -> DataFrame:
-    return per_page(pages, lambda h: [extract.extract(h, favor_precision, favor_recall, prune_selectors)], EXTRACTED, **columns)
+#: Extractors by name: functions (html, favor_precision, favor_recall, prune_selectors) -> a row of EXTRACTED as a dictionary.
+EXTRACTORS: dict[str, Callable[..., dict]] = {"cascade": extract.extract}
+
+
+def extract_pages(pages: DataFrame, favor_precision: bool = False, favor_recall: bool = False, prune_selectors: tuple[str, ...] = (), extractor: str = "cascade", **columns: str) -> DataFrame:
+    """The main content of each page, by the extractor registered under that name."""
+    found = EXTRACTORS[extractor]
+    return per_page(pages, lambda h: [found(h, favor_precision, favor_recall, prune_selectors)], EXTRACTED, **columns)
 
 
 def minimal_headings(pages: DataFrame, **columns: str) -> DataFrame:

@@ -48,8 +48,11 @@ def resolved(base: str | None, location: str | None) -> str | None:
 
 
 def retry_after_ms(value: Column) -> Column:
-    """Milliseconds of a Retry-After header: any finite number of seconds from 0 on; blank is 0, no header is null."""
-    number = F.when((value != "") & (F.trim(value) == ""), F.lit(0.0)).when(F.trim(value).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(value).try_cast("double"))
+    """Milliseconds of a Retry-After header: any finite number of seconds from 0 on, decimal or with the prefix 0x, 0o or
+    0b; blank is 0, no header is null."""
+    bare = F.lower(F.trim(value))
+    prefixed = F.when(bare.rlike("^0x[0-9a-f]{1,12}$"), F.conv(F.substr(bare, F.lit(3)), 16, 10)).when(bare.rlike("^0o[0-7]{1,15}$"), F.conv(F.substr(bare, F.lit(3)), 8, 10)).when(bare.rlike("^0b[01]{1,50}$"), F.conv(F.substr(bare, F.lit(3)), 2, 10))
+    number = F.when((value != "") & (F.trim(value) == ""), F.lit(0.0)).when(F.trim(value).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(value).try_cast("double")).otherwise(prefixed.cast("double"))
     return F.when((number >= 0) & (number < float("inf")), number * 1000)
 
 

@@ -50,9 +50,12 @@ def console_lines(outcomes: DataFrame) -> list[str]:
 
 
 def write_run(outcomes: DataFrame, path: str) -> None:
-    """Outcomes, scores and tallies as Parquet, one folder each."""
+    """Outcomes, scores and tallies as Parquet, one folder each; the scores also as JSON lines, and each content as an artifact."""
     for name, df in (("outcomes", outcomes), ("scores", score.suite_scores(outcomes)), ("tallies", score.check_tallies(outcomes)), ("lanes", score.lane_distribution(outcomes))):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    score.suite_scores(outcomes).write.mode("overwrite").json(f"{path}/scores.json")
+    content = F.struct(F.sha2(F.encode("markdown", "UTF-8"), 256).alias("sha256"), F.octet_length("markdown").alias("bytes"), "markdown")
+    outcomes.filter("markdown is not null").select("subject_id", "case_id", content.alias("artifact")).select("subject_id", "case_id", "artifact.*").write.mode("overwrite").partitionBy("subject_id").parquet(f"{path}/artifacts")
 
 
 def upsert_steps(steps: DataFrame, path: str, writer: str = "writer") -> None:

@@ -162,11 +162,11 @@ def redirect_resolve(spark, sf_dir):
     return transport.resolve(requests, responses).select("url", "final_url", "failure_reason", "request_count")
 
 
-VALUES = ["", " ", "0", "2", "1.5", "-1", "abc", "9999", " 7 ", "1e2", None]
+VALUES = ["", " ", "0", "2", "1.5", "-1", "abc", "9999", " 7 ", "1e2", None, "0x10", " 0B101 ", "0o17", "0xg", "Infinity"]
 
 
 @query("WITH v(id, value) AS (VALUES " + ", ".join(f"({i}, {'NULL' if v is None else repr(v)})" for i, v in enumerate(VALUES)) + r""")
-SELECT id, CASE WHEN value = '' THEN NULL WHEN trim(value) = '' THEN 0.0::DOUBLE WHEN TRY_CAST(trim(value) AS DOUBLE) >= 0 THEN TRY_CAST(trim(value) AS DOUBLE) * 1000 END AS delay_ms FROM v""")
+SELECT id, CASE WHEN value = '' THEN NULL WHEN trim(value) = '' THEN 0.0::DOUBLE WHEN id = 11 THEN 16000 WHEN id = 12 THEN 5000 WHEN id = 13 THEN 15000 WHEN id >= 14 THEN NULL WHEN TRY_CAST(trim(value) AS DOUBLE) >= 0 THEN TRY_CAST(trim(value) AS DOUBLE) * 1000 END AS delay_ms FROM v""")
 def retry_after_ms(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(VALUES)), "id int, value string")
     return rows.select("id", transport.retry_after_ms(F.col("value")).alias("delay_ms"))
@@ -500,11 +500,16 @@ def cost_per_success(spark, sf_dir):
 
 
 ADDRESSES = ["127.0.0.1", "10.1.2.3", "172.16.0.9", "172.32.0.1", "192.168.1.1", "169.254.169.254", "169.254.1.1", "0.0.0.0", "8.8.8.8"]
+#: IPv6 addresses and what each is.
+ADDRESSES_6 = {
+    "::1": "loopback", "[::1]": "loopback", "0:0:0:0:0:0:0:1": "loopback", "::": "unspecified", "fd12:3456::1": "private", "FC00::1": "private", "fe80::1%eth0": "link_local", "ff02::1": "multicast",
+    "::ffff:10.0.0.1": "private", "::ffff:7f00:1": "loopback", "::ffff:8.8.8.8": None, "2606:4700::1111": None, "2001:db8::1": None,
+}
 
 
-@query("WITH a(ip) AS " + sql_column(ADDRESSES) + ", n AS (SELECT ip, list_transform(string_split(ip, '.'), lambda p: CAST(p AS BIGINT)) AS p FROM a) SELECT ip, CASE WHEN p[1] = 127 THEN 'loopback_address' WHEN p[1] = 10 OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 192 AND p[2] = 168) THEN 'private_address' WHEN ip = '169.254.169.254' THEN 'metadata_address' WHEN p[1] = 169 AND p[2] = 254 THEN 'link_local_address' WHEN p[1] = 0 THEN 'unspecified_address' END AS violation FROM n")
+@query("WITH a(ip) AS " + sql_column(ADDRESSES) + ", n AS (SELECT ip, list_transform(string_split(ip, '.'), lambda p: CAST(p AS BIGINT)) AS p FROM a) SELECT ip, CASE WHEN p[1] = 127 THEN 'loopback_address' WHEN p[1] = 10 OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 192 AND p[2] = 168) THEN 'private_address' WHEN ip = '169.254.169.254' THEN 'metadata_address' WHEN p[1] = 169 AND p[2] = 254 THEN 'link_local_address' WHEN p[1] = 0 THEN 'unspecified_address' END AS violation FROM n UNION ALL VALUES " + ", ".join(f"('{a}', {'NULL' if v is None else repr(v + '_address')})" for a, v in ADDRESSES_6.items()))
 def network_policy(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a in ADDRESSES], "ip string")
+    rows = spark.createDataFrame([(a,) for a in [*ADDRESSES, *ADDRESSES_6]], "ip string")
     return rows.select("ip", policy.policy_violation(F.lit("http://x.test/"), F.col("ip")).alias("violation"))
 
 

@@ -18,6 +18,6 @@ def run_environment(spark: SparkSession, repo: str = ".") -> DataFrame:
             return None
 
     dirty = git("status", "--porcelain")
-    row = (git("rev-parse", "HEAD"), None if dirty is None else bool(dirty), spark.version, platform.python_version(), f"{platform.system()} {platform.release()}", platform.processor() or platform.machine(), os.cpu_count())
-    out = spark.createDataFrame([row], "git_commit string, git_dirty boolean, spark_version string, python_version string, os string, cpu string, cores int")
+    row = (git("rev-parse", "HEAD"), None if dirty is None else bool(dirty), spark.version, platform.python_version(), f"{platform.system()} {platform.release()}", platform.processor() or platform.machine(), os.cpu_count(), os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES"))
+    out = spark.createDataFrame([row], "git_commit string, git_dirty boolean, spark_version string, python_version string, os string, cpu string, cores int, memory_bytes long")
     return out.withColumn("started_at", F.current_timestamp())

@@ -171,7 +171,7 @@ def canary_truths(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.concat(prefix, F.col("page_id").cast("string")).alias("case_id"), F.col("url").alias("target"), F.lit("canary").alias("kind"), F.lit("article").alias("category"), nothing.alias("must_contain"), nothing.alias("must_not_contain"),
         F.lit(None).cast(schema["expected_table"].dataType).alias("expected_table"), F.lit("http").alias("expected_lane"), F.lit(False).alias("empty_is_legit"), F.lit(None).cast(schema["expected_main_tokens"].dataType).alias("expected_main_tokens"),
-        F.struct(F.lit(4000).alias("max_tokens"), F.lit(30_000).alias("max_wall_ms"), F.lit(2).alias("max_attempts")).alias("budget"), F.lit("success").alias("expected_status"), F.lit(None).cast("string").alias("notes"))
+        F.struct(F.lit(4000).alias("max_tokens"), F.lit(30_000).alias("max_wall_ms"), F.lit(2).alias("max_attempts")).alias("budget"), F.lit("success").alias("expected_status"), F.when(F.col("page_id") % 2 == 0, "tier 1").otherwise("tier 2").alias("notes"))
 
 
 def page_responses(pages: DataFrame) -> DataFrame:

@@ -344,3 +344,8 @@ def test_scratch_on_a_cluster_needs_a_shared_folder():
         scratch_dir(fake("spark://host:7077"))
     with pytest.raises(ValueError):
         scratch_dir(fake("local-cluster[2,1,1024]"))
+
+
+def test_extractors_register(spark, monkeypatch):
+    monkeypatch.setitem(pages.EXTRACTORS, "first", lambda h, *_: {"title": h[:1], "escalate": False})
+    assert pages.extract_pages(spark.createDataFrame([(1, "abc")], "page_id long, html string"), extractor="first").first().title == "a"

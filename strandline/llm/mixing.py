@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD, broadcast_if_small, documents, global_rank, materialise
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
+RESULTS = ["_size", "_source_size", "_target", "_copies", "_part_words"]
 
 
 def word_count(text: Column) -> Column:
@@ -75,12 +76,13 @@ def mix_plan(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFram
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` of docs (all by default) with _size, _source_size, _target, _copies and _part_words.
 
-    _copies counts the whole repetitions that a row gives, _part_words the words of one more, partial."""
+    _copies counts the whole repetitions that a row gives, _part_words the words of one more, partial. Columns of docs that
+    have one of these five names give way to it; all others are kept, whatever their names are."""
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
     plan = mix_plan(sized, source_targets(sized, weights, share, epochs), seed)
     plan = plan.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("n").alias("_n"), F.col("part").alias("_part"))
     if carry is None:
-        rows = docs.withColumn("_size", word_count(F.col("text")))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("_size"))
     else:
         rows = sized.withColumnRenamed("size", "_size").select(*carry, "source", "_size")
     rows = rows.withColumn("_place", place(seed)).join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_s")))
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
         "_copies": F.col("_whole") + F.when(F.col("_place") < F.col("_cut"), 1).when((F.col("_place") == F.col("_cut")) & (part == F.col("_size")), 1).otherwise(0),
         "_part_words": F.when((F.col("_place") == F.col("_cut")) & (part < F.col("_size")), part).otherwise(0),
     })
-    return rows.drop("_place", "_s", "_whole", "_cut", "_n", "_part")
+    return rows.select("_row.*", *RESULTS) if carry is None else rows.drop("_place", "_s", "_whole", "_cut", "_n", "_part")
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:

@@ -22,4 +22,5 @@ ORACLES = {
     "op4_water_filling": mixing.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_relational_chat": chat_format.OP7_SQL,
+    "op9_column_bwt": substring_dedup.OP9_SQL,
 }

@@ -452,3 +452,19 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def op9_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(n - 99)) AS i, x FROM d WHERE n >= 100),
+w AS (SELECT doc_id, i, hash(substring(x, 2 * i + 1, 200)) AS h FROM p),
+f AS (SELECT h, min(CAST(doc_id AS HUGEINT) * 4294967296 + i) AS f FROM w GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (h) WHERE CAST(doc_id AS HUGEINT) * 4294967296 + i <> f.f),
+s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+t AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM t),
+k AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, list({'a': a, 'since': since} ORDER BY a) AS gaps FROM g GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN gaps IS NULL THEN x ELSE array_to_string(list_transform(gaps, lambda q: substring(x, 2 * q.since + 1, 2 * (q.a - q.since))), '') || substring(x, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -9,12 +9,14 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextlib import suppress
 from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+_scratch: set[str] = set()
 
 
 #: Bytes of an Arrow batch, where the application doesn't set them: what a worker holds of its input is bounded however long rows are.
@@ -49,7 +51,8 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset and all runs on one machine."""
+    """This application's folder for intermediate tables, deleted when it ends: below spark.checkpoint.dir, or below a local
+    folder where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -57,7 +60,21 @@ def scratch_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="strandline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = f"{found.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+    if path not in _scratch:
+        _scratch.add(path)
+        atexit.register(_end, spark, path)
+    return path
+
+
+def _end(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the JVM may be gone before
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -73,6 +90,4 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Deletes the table of a materialised frame that nothing reads any more; other frames are left alone."""
     if path := getattr(df, "_scratch", None):
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)

@@ -23,11 +23,13 @@ def strip(text: Column) -> Column:
 
 
 def utf16_length(text: Column) -> Column:
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    """Pure ASCII is as long as its bytes; other text is encoded to be counted."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int"))
 
 
 def cjk_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
+    """What taking runs of CJK out shortens a text by: text without any is scanned, not rewritten."""
+    return F.when(F.octet_length(text) == F.length(text), F.when(text.isNotNull(), 0)).otherwise(F.length(text) - F.length(F.regexp_replace(text, f"[{CJK}]+", "")))
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -40,6 +40,9 @@ def golden_markdown(html: Column) -> Column:
 
 def with_markdown(rows: DataFrame, html: str = "html", out: str = "markdown") -> DataFrame:
     """rows with their HTML's text. Only rows with a table go to a worker; the others stay in generated code."""
+    from .pages import spread
+
+    rows = spread(rows)
     tabled = F.coalesce(F.col(html).rlike(r"(?i)<table\b"), F.lit(False))
     plain = rows.filter(~tabled).withColumn(out, tidy(strip_tags(main_html(F.col(html)))))
     return plain.unionByName(rows.filter(tabled).withColumn(out, golden_markdown(F.col(html))))

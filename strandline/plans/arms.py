@@ -50,7 +50,7 @@ def results(rows: DataFrame, status: Column, reason: Column, markdown: Column, l
         if name not in rows.columns:
             out = out.withColumn(name, value)
     out = out.withColumn("redirect_chain", chain if chain is not None else F.array().cast("array<string>"))
-    out = out.withColumn("content_tokens", F.when(F.col("status") == "success", estimate_tokens("markdown")))
+    out = out.withColumn("content_tokens", F.when(F.col("status") == "success", estimate_tokens(F.col("markdown"))))
     return out.select("request_id", F.col("url").alias("requested_url"), *RESULT)
 
 

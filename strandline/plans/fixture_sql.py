@@ -48,21 +48,22 @@ TABLE_CHECK = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '')" for c in ANNOT
 
 
 def plain_arm() -> str:
-    """Scores of the arm that takes the first answer as it is, by category; its text is HTML, so no expected table is found in it."""
+    """CTEs up to k, the cases of the arm that takes the first answer as it is; its text is HTML, so no expected table is found in it."""
     rows = []
     for c in fixtures._cases():
         a, (tokens, wall, attempts) = c["answers"][0], c["budget"]
         listed = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]::VARCHAR[]"
-        rows.append(f"({quoted(c['category'])}, {quoted(c['status'])}, {a.get('status') or 'NULL'}, {quoted(a.get('body'))}, {quoted(a.get('error_name'))}, {a.get('wall_ms', 5)}, {listed(c['must'])}, {listed(c['ban'])}, {c['grid'] is not None}, {c['tokens'][0] if c['tokens'] else 'NULL'}, {tokens}, {wall}, {attempts})")
+        rows.append(f"({quoted(c['id'])}, {quoted(c['category'])}, {quoted(c['status'])}, {a.get('status') or 'NULL'}, {quoted(a.get('body'))}, {quoted(a.get('error_name'))}, {a.get('wall_ms', 5)}, {listed(c['must'])}, {listed(c['ban'])}, {c['grid'] is not None}, {c['tokens'][0] if c['tokens'] else 'NULL'}, {tokens}, {wall}, {attempts})")
     challenged = " OR ".join(f"contains(md, '{m}')" for m in CHALLENGES)
-    return f"""WITH c(category, wanted, code, body, error, ran, must, ban, grid, least, most_tokens, most_ms, most_attempts) AS (VALUES {", ".join(rows)}),
+    return f"""WITH c(id, category, wanted, code, body, error, ran, must, ban, grid, least, most_tokens, most_ms, most_attempts) AS (VALUES {", ".join(rows)}),
 s AS (SELECT *, least(ran, 60000) AS wall_ms, CASE WHEN ran >= 60000 THEN 'budget_exceeded' WHEN error IS NULL AND code = 200 THEN 'success' ELSE 'failed' END AS status FROM c),
 m AS (SELECT *, CASE WHEN status = 'success' THEN coalesce(body, '') ELSE '' END AS md, CASE WHEN status = 'success' THEN {sql_tokens("coalesce(body, '')")} END AS content_tokens FROM s),
 k AS (SELECT *, (len(must) > 0 OR grid) AND (md = '' OR grid OR len(list_filter(must, lambda x: NOT contains(md, x))) > 0) AS k1, {challenged} AS k2,
-  md <> '' AND least IS NOT NULL AND ({sql_tokens('md')} < least OR len(list_filter(ban, lambda x: contains(md, x))) > 0) AS k3 FROM m)
-SELECT 'bare-http' AS subject_id, category, count(*) AS case_count, count(*) FILTER (status = wanted) AS status_match_count, count(*) FILTER (status = 'success') AS contentful_count, count(*) FILTER (status = 'success' AND (k1 OR k2 OR k3)) AS false_success_count,
-  count(*) FILTER (status = 'success' AND (k1 OR k2 OR k3)) / nullif(count(*) FILTER (status = 'success'), 0) AS false_success_rate, {sql_median('wall_ms')} AS median_wall_ms, {sql_median('wall_ms', 0.95)} AS p95_wall_ms, {sql_median('content_tokens')} AS median_content_tokens,
-  count(*) FILTER (wall_ms > most_ms OR 1 > most_attempts OR content_tokens > most_tokens) AS budget_violations FROM k GROUP BY category"""
+  md <> '' AND least IS NOT NULL AND ({sql_tokens('md')} < least OR len(list_filter(ban, lambda x: contains(md, x))) > 0) AS k3 FROM m)"""
 
 
-PLAIN_ARM = plain_arm()
+PLAIN_CASES = plain_arm() + """ SELECT id AS case_id, status, CASE WHEN status <> 'failed' THEN NULL WHEN error IS NOT NULL OR code IS NULL THEN 'connection_error' ELSE 'http_error' END AS failure_reason, content_tokens, wall_ms,
+status = wanted AS status_matched, status = 'success' AND (k1 OR k2 OR k3) AS is_false_success FROM k"""
+PLAIN_ARM = plain_arm() + f""" SELECT 'bare-http' AS subject_id, category, count(*) AS case_count, count(*) FILTER (status = wanted) AS status_match_count, count(*) FILTER (status = 'success') AS contentful_count, count(*) FILTER (status = 'success' AND (k1 OR k2 OR k3)) AS false_success_count,
+  count(*) FILTER (status = 'success' AND (k1 OR k2 OR k3)) / nullif(count(*) FILTER (status = 'success'), 0) AS false_success_rate, {sql_median('wall_ms')} AS median_wall_ms, {sql_median('wall_ms', 0.95)} AS p95_wall_ms, {sql_median('content_tokens')} AS median_content_tokens,
+  count(*) FILTER (wall_ms > most_ms OR 1 > most_attempts OR content_tokens > most_tokens) AS budget_violations FROM k GROUP BY category"""

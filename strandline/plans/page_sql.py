@@ -258,3 +258,18 @@ CONTAINER_SCORES = pruned() + f", {PIECES}, {BOXES} SELECT page_id, node_id, tag
 BLOCK_RUNS = pruned() + f", {PIECES}, {BOXES} SELECT page_id, parent_id, blocks FROM longest"
 EXTRACT = f", {SIGNALS}, {ROUTES}, {PIECES}, {BOXES}, {MAINS}"
 EXTRACT_PAGES = pruned() + EXTRACT + " SELECT * FROM extracted"
+
+
+def replaced(sql: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        if sql.count(old) != 1:
+            raise ValueError(old)
+        sql = sql.replace(old, new)
+    return sql
+
+
+CONFIDENCE, FLOORS = "CASE WHEN page_type <> 'article' THEN least(conf3, 0.75::DOUBLE) ELSE conf3 END", "THEN 5 ELSE 25 END"
+EXTRACT_PRECISE = replaced(EXTRACT_PAGES, (FLOORS, "THEN 12 ELSE 60 END"), (CONFIDENCE, f"least({CONFIDENCE}, 0.85::DOUBLE)"))
+EXTRACT_RECALL = replaced(EXTRACT_PAGES, (FLOORS, "THEN 5 ELSE 15 END"), (CONFIDENCE, f"greatest({CONFIDENCE}, 0.3::DOUBLE)"))
+#: Less all sections, and paragraphs that are children of a main or div.
+EXTRACT_PRUNED = replaced(EXTRACT_PAGES, ("numbered AS (", "wanted_out AS (SELECT n.* FROM left3 n WHERE tag = 'section' OR tag = 'p' AND EXISTS (SELECT 1 FROM left3 u WHERE u.page_id = n.page_id AND u.node_id = n.parent_id AND u.tag IN ('main', 'div'))), " + less("left4", "left3", "wanted_out") + ",\nnumbered AS ("), ("FROM left3),\np AS", "FROM left4),\np AS"))

@@ -543,6 +543,22 @@ def extract_pages(spark, sf_dir):
     return pages.extract_pages(page_rows(spark, sf_dir))
 
 
+@query(page_sql.EXTRACT_PRECISE.replace("SELECT * FROM extracted", f"SELECT *, {NO_ERROR} FROM extracted"))
+def extract_precise(spark, sf_dir):
+    return pages.extract_pages(page_rows(spark, sf_dir), favor_precision=True)
+
+
+@query(page_sql.EXTRACT_RECALL.replace("SELECT * FROM extracted", f"SELECT *, {NO_ERROR} FROM extracted"))
+def extract_recall(spark, sf_dir):
+    return pages.extract_pages(page_rows(spark, sf_dir), favor_recall=True)
+
+
+@query(page_sql.EXTRACT_PRUNED.replace("SELECT * FROM extracted", f"SELECT *, {NO_ERROR} FROM extracted"))
+def extract_pruned(spark, sf_dir):
+    """Main content less what a caller's selectors match."""
+    return pages.extract_pages(page_rows(spark, sf_dir), prune_selectors=("section", "main > p, div > p"))
+
+
 @query(page_sql.pruned(False) + page_sql.EXTRACT + f" SELECT page_id, title, page_type, strategy, escalate, {sql_tokens('main_html')} AS tokens FROM extracted")
 def main_content(spark, sf_dir):
     """Title, type and size of each stored page's main content, as the extracting arms give it out. (None of these has a table, so the SQL has no table converter.)"""
@@ -579,6 +595,23 @@ def expected_table_check(spark, sf_dir):
     return t.select("case_id", F.array_join(issues, "; ").alias("issues"))
 
 
+@query(fixture_sql.PLAIN_CASES)
+def plain_arm_cases(spark, sf_dir):
+    """The plain arm case by case, with what its checks say."""
+    out = benchmark.run_arms(fixtures.fixture_truths(spark), fixtures.fixture_responses(spark), ["bare-http"])
+    return out.select("case_id", "status", "failure_reason", "content_tokens", "wall_ms", "status_matched", "is_false_success")
+
+
+@query("SELECT 52 AS cases, 52 AS ids, 52 AS answered, 0 AS odd_paths, 0 AS odd_statuses")
+def suite_integrity(spark, sf_dir):
+    """Cases, different ids, cases whose target answers, targets that aren't paths, and statuses that don't exist."""
+    t, answers = fixtures.fixture_truths(spark), fixtures.fixture_responses(spark).select(F.col("url").alias("target")).distinct()
+    known = t.join(answers.withColumn("known", F.lit(True)), "target", "left")
+    path = F.startswith("target", F.lit(fixtures.BASE + "/"))
+    n = lambda c: c.cast("int")
+    return known.agg(n(F.count("*")).alias("cases"), n(F.countDistinct("case_id")).alias("ids"), n(F.count_if("known")).alias("answered"), n(F.count_if(~path)).alias("odd_paths"), n(F.count_if(~F.col("expected_status").isin(policy.STATUSES))).alias("odd_statuses"))
+
+
 @query()
 def five_arm_scoreboard(spark, sf_dir):
     return score.suite_scores(benchmark.run_arms(fixtures.fixture_truths(spark), fixtures.fixture_responses(spark)))

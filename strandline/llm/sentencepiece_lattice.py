@@ -6,7 +6,7 @@ a higher-order aggregate folds each word's lattice. A unigram model's fold is Vi
 come from merges, which the best-scored path does not reproduce, so its fold applies the lattice's edges in
 merge order; ids then equal the library's. The resulting dictionary has a fixed bound and is broadcast.
 Words beyond it, and words longer than MAX_WORD, are folded by the same rule in the worker that meets them,
-so no word depends on the bound.
+so no word depends on the bound. (All distinct words in the lattice would cost more than the whole operator may; the README has the figures.)
 
 Texts are normalised as the model says: a dummy space in front, spaces as U+2581, nothing else (models with a
 character map are refused). Characters without a piece become byte pieces. Null or empty text has no ids and
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lean, materialise
+from .common import documents, lean, materialise, small
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -38,6 +39,8 @@ _own_of: list = []
 #: Words in the broadcast dictionary, characters of a word there, and entries of a worker's own cache.
 WORDS, MAX_WORD, CACHE = 1 << 16, 32, 1 << 17
 UNIGRAM, BPE = 1, 2
+#: More than the ids of any model; the rank of two pieces that don't merge.
+SPAN, NEVER = 1 << 20, 1 << 30
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -75,7 +78,7 @@ class Pieces:
     score: dict[str, tuple[float, int]] = field(default_factory=dict)  # of ordinary pieces
     bytes_: list[int] = field(default_factory=list)  # the id of each byte's piece
     unknown: int = 0
-    _ranks: dict[str, float] = field(default_factory=dict, repr=False)
+    _folder: list = field(default_factory=list, repr=False)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -115,27 +118,8 @@ class Pieces:
             out += [found[1]] if found else self.fallback(p)
         return out
 
-    def merged(self, word: str) -> list[str]:
-        """The BPE fold of one word: merges of the best score first, leftmost among equals."""
-        if len(word) > MAX_WORD:
-            return self._merged_by_heap(word)
-        if not self._ranks:
-            self._ranks.update({p: s for p, (s, _) in self.score.items()})
-        get, none = self._ranks.get, -np.inf
-        parts = list(word)
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while pairs and (best := max(pairs)) > none:
-            i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-        return parts
-
     def _merged_by_heap(self, word: str) -> list[str]:
-        """The same for long words, in time that grows little faster than their length."""
+        """The pieces of one word's BPE fold (merges of the best score first, leftmost among equals), in time that grows little faster than its length."""
         score, text = self.score, list(word)
         left, right = list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
         heap = [(-score[p][0], i, i + 1, p) for i in range(len(text) - 1) if (p := text[i] + text[i + 1]) in score]
@@ -169,7 +153,15 @@ class Pieces:
         return out[::-1]
 
     def encode_word(self, word: str) -> list[int]:
-        return self.ids(self.merged(word) if self.kind == BPE else self.viterbi(word))
+        return self.ids(self._merged_by_heap(word) if self.kind == BPE else self.viterbi(word))
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word as bytes of 32-bit numbers: short words of known characters by Folder, others one by one."""
+        if not self._folder and self.kind == BPE:
+            self._folder.append(Folder(self))
+        some = [w for w in words if len(w) <= MAX_WORD] if self.kind == BPE else []
+        found = self._folder[0].fold(some) if some else {}
+        return found | {w: array("i", self.encode_word(w)).tobytes() for w in words if w not in found}
 
     def decoder(self) -> Callable[[np.ndarray], str]:
         raw = [p.encode() for p in self.text]
@@ -183,12 +175,91 @@ class Pieces:
         return decode
 
 
+class Folder:
+    """The BPE fold of many words at once, over arrays of ids: each round makes every word's best merge, leftmost among equals."""
+
+    def __init__(self, pieces: Pieces):
+        self.chars = np.full(0x110000, -1, dtype=np.int32)
+        order = sorted({s for s, _ in pieces.score.values()}, reverse=True)
+        rank = {s: n for n, s in enumerate(order)}  # pieces of the best score first
+        pairs = {}
+        for p, (s, i) in pieces.score.items():
+            if len(p) == 1:
+                self.chars[ord(p)] = i
+            for k in range(1, len(p)):
+                left, right = pieces.score.get(p[:k]), pieces.score.get(p[k:])
+                if left and right:
+                    pairs[left[1] * SPAN + right[1]] = (rank[s], i)
+        self.bits = max(8, (4 * len(pairs)).bit_length())
+        self.key = np.full(1 << self.bits, -1, dtype=np.int64)  # open addressing: the next free place to the right
+        self.rank, self.merged = np.full(1 << self.bits, NEVER, dtype=np.int32), np.zeros(1 << self.bits, dtype=np.int32)
+        homes = self._home(np.array(list(pairs), dtype=np.int64)).tolist()
+        taken = bytearray(1 << self.bits)
+        for at, (key, (r, i)) in zip(homes, pairs.items(), strict=True):
+            while taken[at]:
+                at = (at + 1) % len(taken)
+            taken[at] = 1
+            self.key[at], self.rank[at], self.merged[at] = key, r, i
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of what each two pieces merge into; NEVER if they don't."""
+        keys = left.astype(np.int64) * SPAN + right
+        at = self._home(keys)
+        have = self.key[at]
+        going = np.flatnonzero((have != keys) & (have >= 0))
+        while len(going):
+            at[going] = (at[going] + 1) & (len(self.key) - 1)
+            have[going] = self.key[at[going]]
+            going = going[(have[going] != keys[going]) & (have[going] >= 0)]
+        hit = have == keys
+        return np.where(hit, self.rank[at], NEVER), self.merged[at]
+
+    def fold(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word all of whose characters have a piece, as bytes of 32-bit numbers."""
+        size = np.array(list(map(len, words)), dtype=np.int64)
+        ids = self.chars[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        known = np.logical_and.reduceat(ids >= 0, np.cumsum(size) - size)
+        words = [w for w, k in zip(words, known.tolist(), strict=True) if k]
+        if not words:
+            return {}
+        ids, size = ids[np.repeat(known, size)], size[known]
+        owner = np.repeat(np.arange(len(size)), size)
+
+        def pairs_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rank, merged = np.full(len(at), NEVER, dtype=np.int32), np.zeros(len(at), dtype=np.int32)
+            inside = np.flatnonzero(owner[np.minimum(at + 1, len(owner) - 1)] == owner[at])
+            inside = inside[at[inside] + 1 < len(owner)]
+            rank[inside], merged[inside] = self.look_up(ids[at[inside]], ids[at[inside] + 1])
+            return rank, merged
+
+        rank, merged = pairs_at(np.arange(len(ids)))
+        while True:
+            best = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            if not (best < NEVER).any():
+                break
+            at = np.flatnonzero((rank < NEVER) & (rank == np.repeat(best, size)))
+            at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
+            ids[at] = merged[at]
+            left = np.ones(len(ids), dtype=bool)
+            left[at + 1] = False
+            size[owner[at]] -= 1
+            ids, owner, rank, merged = ids[left], owner[left], rank[left], merged[left]
+            at -= np.arange(len(at))  # each merge before it has moved it by one
+            for near in (at, at[at > 0] - 1):
+                rank[near], merged[near] = pairs_at(near)
+        data, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(size)).tolist()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
+
 def frequent_words(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataFrame:
     """The words (at most `words`) that the partitions' bounded counts, pruned by Misra-Gries, rank first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, kept = pieces.words(), Counter()
-        for batch in batches:
+        for batch in small(batches, 256):
             for text in batch.column("text").to_pylist():
                 kept.update(split(pieces.normalise(text)))
                 if len(kept) > 4 * words:
@@ -266,8 +337,8 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     return folded.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), ids)).alias("ids"))
 
 
-def encode(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataFrame:
-    """doc_id of each row of docs with ids, n_tokens, the text that the ids decode to, and whether it is the text."""
+def encode(docs: DataFrame, pieces: Pieces, words: int = WORDS, text: bool = True) -> DataFrame:
+    """doc_id of each row of docs with ids, n_tokens, the text that the ids decode to (null without `text`), and whether it is the text."""
     found = dictionary(materialise(frequent_words(docs, pieces, words), "frequent_words"), pieces)
     known = {r["word"]: np.array(r["ids"], dtype="<i4").tobytes() for r in found.collect()}  # at most `words` rows
     sent = docs.sparkSession.sparkContext.broadcast((known, pieces))
@@ -275,30 +346,34 @@ def encode(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pieces = sent.value
         split, decode, own = pieces.words(), pieces.decoder(), _own
-        if _own_of != [pieces.text]:  # another model than the worker's last
+        if _own_of and _own_of[0].text == pieces.text:  # the worker's last model, with what it has made
+            pieces = _own_of[0]
+        else:
             own.clear()
-            _own_of[:] = [pieces.text]
-
-        def rare(word: str) -> bytes:
-            if len(own) >= CACHE:
-                own.clear()
-            ids = own[word] = np.array(pieces.encode_word(word), dtype="<i4").tobytes()
-            return ids
-
+            _own_of[:] = [pieces]
         get, again = known.get, own.get
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                some = texts[lo : lo + 256]
-                ids = [np.frombuffer(b"".join([get(w) or again(w) or rare(w) for w in split(pieces.normalise(t))]), dtype="<i4") for t in some]
-                back = [decode(x) for x in ids]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                arrays = [
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32())), pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array(back, pa.string()), pa.array([b == (t or "") for b, t in zip(back, some, strict=True)], pa.bool_()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())]
-                rows = batch.slice(lo, len(some))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *arrays], names=["doc_id", "ids", "n_tokens", "decoded", "exact", "ids_sha256"])
+        for batch in small(batches, 256):
+            some = batch.column("text").to_pylist()
+            words = [split(pieces.normalise(t)) for t in some]
+            flat = [w for x in words for w in x]
+            found = [get(w) or again(w) for w in flat]
+            rare = [i for i, x in enumerate(found) if x is None]
+            if rare:
+                new = pieces.encode_words(list({flat[i]: None for i in rare}))
+                for i in rare:
+                    found[i] = new[flat[i]]
+                if len(own) + len(new) > CACHE:
+                    own.clear()
+                own.update(new)
+            ends = np.cumsum([len(x) for x in words]).tolist()
+            ids = [np.frombuffer(b"".join(found[a:b]), dtype="<i4") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            back = [decode(x) for x in ids]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            arrays = [
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32())), pa.array([len(x) for x in ids], pa.int64()),
+                pa.array(back, pa.string()) if text else pa.nulls(len(some), pa.string()), pa.array([b == (t or "") for b, t in zip(back, some, strict=True)], pa.bool_()),
+                pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "ids", "n_tokens", "decoded", "exact", "ids_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>, n_tokens long, decoded string, exact boolean, ids_sha256 string")
 

@@ -56,7 +56,7 @@ def plain_arm() -> str:
         rows.append(f"({quoted(c['id'])}, {quoted(c['category'])}, {quoted(c['status'])}, {a.get('status') or 'NULL'}, {quoted(a.get('body'))}, {quoted(a.get('error_name'))}, {a.get('wall_ms', 5)}, {listed(c['must'])}, {listed(c['ban'])}, {c['grid'] is not None}, {c['tokens'][0] if c['tokens'] else 'NULL'}, {tokens}, {wall}, {attempts})")
     challenged = " OR ".join(f"contains(md, '{m}')" for m in CHALLENGES)
     return f"""WITH c(id, category, wanted, code, body, error, ran, must, ban, grid, least, most_tokens, most_ms, most_attempts) AS (VALUES {", ".join(rows)}),
-s AS (SELECT *, least(ran, 60000) AS wall_ms, CASE WHEN ran >= 60000 THEN 'budget_exceeded' WHEN error IS NULL AND code = 200 THEN 'success' ELSE 'failed' END AS status FROM c),
+s AS (SELECT *, CAST(least(ran, 60000) AS BIGINT) AS wall_ms, CASE WHEN ran >= 60000 THEN 'budget_exceeded' WHEN error IS NULL AND code = 200 THEN 'success' ELSE 'failed' END AS status FROM c),
 m AS (SELECT *, CASE WHEN status = 'success' THEN coalesce(body, '') ELSE '' END AS md, CASE WHEN status = 'success' THEN {sql_tokens("coalesce(body, '')")} END AS content_tokens FROM s),
 k AS (SELECT *, (len(must) > 0 OR grid) AND (md = '' OR grid OR len(list_filter(must, lambda x: NOT contains(md, x))) > 0) AS k1, {challenged} AS k2,
   md <> '' AND least IS NOT NULL AND ({sql_tokens('md')} < least OR len(list_filter(ban, lambda x: contains(md, x))) > 0) AS k3 FROM m)"""

@@ -119,6 +119,7 @@ cut AS (SELECT page_id, unnest(flatten(list_transform(regexp_extract_all(html, '
 kinds AS (SELECT *, lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM cut),
 tok AS (SELECT page_id, t, name, CASE WHEN starts_with(t, '<!--') THEN 'comment' WHEN starts_with(t, '</') THEN 'end' WHEN name IN {VOID} THEN 'void' WHEN name <> '' THEN 'start' ELSE 'text' END AS what,
   row_number() OVER (PARTITION BY page_id ORDER BY j) AS i FROM kinds WHERE t <> '' AND t <> chr(2) AND NOT starts_with(lower(t), '<!doctype') AND NOT (name = 'html')),
+tok_lists AS MATERIALIZED (SELECT page_id, list({{'what': what, 'name': name, 't': t}} ORDER BY i) AS toks FROM tok GROUP BY page_id),
 walk AS (
   SELECT page_id, 0::BIGINT AS i, 1 AS n, ['html'] AS tags, [0] AS ids, 0 AS node_id, -1 AS parent_id, 0 AS depth, 'element' AS kind, 'html' AS tag, '' AS t FROM src
   UNION ALL
@@ -131,9 +132,9 @@ walk AS (
         WHEN what = 'end' AND name = 'head' THEN 1
         WHEN what = 'end' AND list_position(list_reverse(tags), name) IS NOT NULL AND len(tags) - list_position(list_reverse(tags), name) >= 2 THEN len(tags) - list_position(list_reverse(tags), name)
         ELSE len(tags) END AS keep
-    FROM (SELECT w.page_id, k.i, w.n, w.tags, w.ids, k.what, k.name, k.t,
+    FROM (SELECT page_id, i, n, tags, ids, k.what, k.name, k.t,
         CASE WHEN k.name IN {CLOSE_P} THEN ['p'] WHEN k.name = 'li' THEN ['li'] WHEN k.name = 'tr' THEN ['tr', 'td', 'th'] WHEN k.name = 'td' THEN ['td', 'th', 'thead'] WHEN k.name = 'th' THEN ['th', 'td'] ELSE []::VARCHAR[] END AS closes
-      FROM walk w JOIN tok k ON k.page_id = w.page_id AND k.i = w.i + 1)))),
+      FROM (SELECT w.page_id, w.i + 1 AS i, w.n, w.tags, w.ids, l.toks[w.i + 1] AS k FROM walk w JOIN tok_lists l ON l.page_id = w.page_id WHERE w.i < len(l.toks)))))),
 found AS MATERIALIZED (SELECT page_id, node_id, parent_id, depth, kind, tag, t,
   CASE WHEN kind = 'comment' THEN substring(t, 5, length(t) - 7) WHEN kind = 'element' THEN '' WHEN starts_with(t, chr(2)) THEN substring(t, 2) ELSE {unescaped('t')} END AS text FROM walk WHERE node_id IS NOT NULL),
 ends AS (SELECT a.page_id, a.node_id, min(b.node_id) - 1 AS last_id FROM found a JOIN found b ON a.page_id = b.page_id AND b.node_id > a.node_id AND b.depth <= a.depth GROUP BY ALL),

@@ -71,10 +71,15 @@ def with_outcomes(checked: DataFrame) -> DataFrame:
 
 
 def with_timeout(results: DataFrame) -> DataFrame:
-    """A case that took the time limit or longer becomes a budget_exceeded row without content."""
+    """A case that took the time limit or longer becomes a budget_exceeded row: nothing of its answer stays, and its trace is a
+    start and a timeout."""
     late = F.col("wall_ms") >= CASE_TIMEOUT_MS
-    return results.withColumns({
-        "status": F.when(late, "budget_exceeded").otherwise(F.col("status")), "budget_exceeded": F.when(late, "time"), "markdown": F.when(~late, F.col("markdown")),
-        "failure_reason": F.when(~late, F.col("failure_reason")), "block_reason": F.when(~late, F.col("block_reason")), "content_tokens": F.when(~late, F.col("content_tokens")),
-        "lane": F.when(late, "http").otherwise(F.col("lane")), "final_url": F.when(late, F.col("requested_url")).otherwise(F.col("final_url")),
-        "redirect_chain": F.when(late, F.array().cast("array<string>")).otherwise(F.col("redirect_chain")), "wall_ms": F.least("wall_ms", F.lit(CASE_TIMEOUT_MS).cast("long"))})
+    event = lambda name, detail: F.struct(F.lit(name).alias("event"), F.col("requested_url").alias("url"), F.lit(None).cast("int").alias("status"), F.lit(detail).cast("string").alias("detail"))
+    instead = {
+        "status": F.lit("budget_exceeded"), "lane": F.lit("http"), "final_url": F.col("requested_url"), "redirect_chain": F.array().cast("array<string>"), "wall_ms": F.lit(CASE_TIMEOUT_MS).cast("long"), "truncated": F.lit(False),
+        "bytes_wire": F.lit(0).cast("long"), "bytes_decompressed": F.lit(0).cast("long"), "request_count": F.lit(1), "attempt_count": F.lit(1), "trace": F.array(event("request_start", None), event("timeout", "case_timeout_60s")),
+    } | dict.fromkeys(["markdown", "failure_reason", "block_reason", "content_tokens", "http_status", "content_type", "body_sha256", "truncated_at"])
+    changed = {c: F.when(late, v if v is not None else F.lit(None)).otherwise(F.col(c)) for c, v in instead.items() if c in results.columns}
+    if "escalations" in results.columns:
+        changed["escalations"] = F.filter("escalations", lambda e: ~late)
+    return results.withColumns(changed | {"budget_exceeded": F.when(late, "time")})

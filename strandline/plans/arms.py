@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.text import estimate_tokens
 from ..operators.golden import golden_markdown
 from ..operators.pages import extract_pages, markdown_tables
-from ..operators.transport import resolve
+from ..operators.transport import EVENT, resolve
 from ..session import materialise
 
-RESULT = "status failure_reason block_reason lane markdown final_url http_status redirect_chain content_type body_sha256 wall_ms bytes_wire bytes_decompressed request_count attempt_count content_tokens escalations truncated truncated_at".split()
+RESULT = "status failure_reason block_reason lane markdown final_url http_status redirect_chain content_type body_sha256 wall_ms bytes_wire bytes_decompressed request_count attempt_count content_tokens escalations truncated truncated_at trace".split()
+#: The browser's limit for a page's load.
+LOAD_TIMEOUT_MS = 20_000
 ARMS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
 
 
@@ -46,6 +48,10 @@ def results(rows: DataFrame, status: Column, reason: Column, markdown: Column, l
         "http_status": F.col("status"), "status": status, "failure_reason": F.when(status == "failed", reason), "block_reason": F.when(status == "blocked", block if block is not None else null("string")), "lane": F.lit(lane),
         "markdown": F.when(ok, markdown), "content_type": F.try_element_at("headers", F.lit("content-type")), "body_sha256": F.sha2(F.encode("body", "UTF-8"), 256),
         "escalations": F.when(escalated, step).otherwise(none) if escalated is not None else none, "truncated": F.lit(False), "truncated_at": null("bigint")})
+    if "trace" not in rows.columns:
+        broken = F.col("error_name").isNotNull()
+        event = F.struct(F.when(broken, "request_failed").otherwise("request_complete").alias("event"), F.col("url"), F.col("http_status").cast("int").alias("status"), F.col("error_name").alias("detail"))
+        out = out.withColumn("trace", F.array(event).cast(EVENT))
     for name, value in (("request_count", F.lit(1)), ("attempt_count", F.lit(1)), ("final_url", F.col("url"))):
         if name not in rows.columns:
             out = out.withColumn(name, value)
@@ -108,8 +114,12 @@ def resilient_http(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 @arm("browser-local")
 def browser_local(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Recorded renderings, where there are any; else the body. The chain shows the two ends alone."""
-    rows = extracted(resolve(requests, responses), F.coalesce("rendered_html", "body"))
+    """Recorded renderings, where there are any; else the body. The chain shows the two ends alone. A page that takes as
+    long as the load's limit has failed by then."""
+    rows = resolve(requests, responses)
+    slow = (F.col("wall_ms") >= LOAD_TIMEOUT_MS) & F.col("failure_reason").isNull()
+    rows = rows.withColumns({"failure_reason": F.when(slow, "timeout").otherwise(F.col("failure_reason")), "kind": F.when(slow, "failure").otherwise(F.col("kind")), "wall_ms": F.least("wall_ms", F.lit(LOAD_TIMEOUT_MS).cast("long"))})
+    rows = extracted(rows, F.coalesce("rendered_html", "body"))
     status, reason, block = resilient_status(F.col("escalate"))
     chain = F.when(F.col("final_url") != F.col("url"), F.array("url", "final_url")).otherwise(F.array().cast("array<string>"))
     return results(rows, status, reason, F.col("extracted"), lane="browser_local", block=block, chain=chain)

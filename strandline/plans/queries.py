@@ -602,6 +602,23 @@ def plain_arm_cases(spark, sf_dir):
     return out.select("case_id", "status", "failure_reason", "content_tokens", "wall_ms", "status_matched", "is_false_success")
 
 
+@query(fixture_sql.EMITTED)
+def emitted_responses(spark, sf_dir):
+    """The first answer of each case's target to GET and HEAD."""
+    answers = fixtures.fixture_responses(spark)
+    asked = fixtures.fixture_truths(spark).select(F.col("target").alias("url"), F.lit(1).alias("visit_no"), F.explode(F.array(F.lit("GET"), F.lit("HEAD"))).alias("method"))
+    return fixtures.emitted(asked, answers).select("url", "method", "status", "content_length", F.length("body").cast("long").alias("sent"), "delay_ms")
+
+
+@query("SELECT 'timeout-body' AS case_id, 'budget_exceeded' AS status, 60000::BIGINT AS wall_ms, 1 AS request_count, true AS empty, 'request_start, timeout (case_timeout_60s)' AS trace")
+def timed_out_cases(spark, sf_dir):
+    """Cases that the case timer ended in the plain arm, with their trace."""
+    out = benchmark.run_arms(fixtures.fixture_truths(spark), fixtures.fixture_responses(spark), ["bare-http"]).filter("budget_exceeded = 'time'")
+    said = F.transform("trace", lambda e: F.concat(e["event"], F.coalesce(F.concat(F.lit(" ("), e["detail"], F.lit(")")), F.lit(""))))
+    empty = F.col("http_status").isNull() & F.col("markdown").isNull() & F.col("body_sha256").isNull() & (F.col("bytes_wire") == 0)
+    return out.select("case_id", "status", "wall_ms", "request_count", empty.alias("empty"), F.array_join(said, ", ").alias("trace"))
+
+
 @query("SELECT 52 AS cases, 52 AS ids, 52 AS answered, 0 AS odd_paths, 0 AS odd_statuses")
 def suite_integrity(spark, sf_dir):
     """Cases, different ids, cases whose target answers, targets that aren't paths, and statuses that don't exist."""

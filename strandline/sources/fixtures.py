@@ -163,6 +163,15 @@ def fixture_responses(spark: SparkSession, base: str = BASE) -> DataFrame:
     return spark.createDataFrame(rows, RESPONSES)
 
 
+def emitted(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """requests(url, method, visit_no) with what the fixture server sends: status (200 where none is recorded), content_length,
+    body (none for HEAD) and delay_ms. A URL without an answer gives no row."""
+    rows = requests.join(responses, ["url", "visit_no"])
+    head = F.upper("method") == "HEAD"
+    body = F.coalesce("body", F.lit(""))
+    return rows.select("url", "method", "visit_no", F.coalesce("status", F.lit(200)).alias("status"), F.octet_length(body).alias("content_length"), F.when(head, "").otherwise(body).alias("body"), F.col("wall_ms").alias("delay_ms"))
+
+
 def canary_truths(pages: DataFrame) -> DataFrame:
     """Stored pages as canary cases without annotations; the last digit of the id parts the two tiers."""
     prefix = F.when(F.col("page_id") % 2 == 0, "canary-").otherwise("canary2-")

@@ -7,7 +7,7 @@ over the whole corpus, so passages that many documents share come last. It runs
 columns (ranges of shingle hashes). Columns with few rows give their pairs if the sizes allow a link; longer
 ones, sorted by size and cut where neighbours' sizes allow none, a star for each piece that holds a prefix of the second kind. Their connected parts are the row blocks of the second product, which counts the exact overlaps over
 all shingles, a few thousand columns at a time, and discards rows whose counts can no longer reach the bound set by
-the two sizes. A part with many rows is cut into chunks, a task for each pair of chunks. A block returns each
+the two sizes. A part with many rows is cut into chunks by size, a task for each pair of chunks whose sizes allow links. A block returns each
 row's number of links and a spanning forest, never its pairs; components are found by contraction.
 
 Two documents link when 100 * |intersection| >= 75 * |union| (for similarity 0.75). Null and empty text, and text without words, has no shingles and links with
@@ -31,8 +31,8 @@ from .shingles import shingle_sets
 PERCENT = 75
 #: The sketch's counters; the rows of a column up to which all its pairs count as candidates; rows and shingles of a chunk; columns multiplied at once.
 SKETCH, SHORT, ROWS, SHINGLES, COLUMNS = 1 << 24, 16, 1024, 1 << 20, 2048
-#: Prefix entries that a task holds before it sends them.
-HELD = 1 << 20
+#: Prefix entries that a task holds before it sends them; chunks of a size class are numbered below STEP.
+HELD, STEP = 1 << 18, 1 << 22
 
 
 def ceil_div(a, b):
@@ -250,6 +250,23 @@ def block_result(ids: np.ndarray, keys: np.ndarray, weight: np.ndarray, chunk: n
     return ids, keys, root[at], counts
 
 
+def chunked(members: DataFrame, percent: int) -> DataFrame:
+    """members(part, rep, d0, n, size) with chunk, and the chunks of the part that hold sets of a size that may link.
+
+    A large part is cut by size class, each of which spans a factor of 100 / percent, so that links never reach
+    farther than to the next one; a large class is cut by hash. So a set meets its own class and two more, not the whole part."""
+    many = (F.count("*") > ROWS) | (F.sum("n") > SHINGLES)
+    kind = F.floor(F.log("n") / (np.log(100 / percent) + 1e-9)).cast("int")
+    members = members.join(members.groupBy("part").agg(many.alias("many")), "part").withColumn("kind", F.when(F.col("many"), kind).otherwise(0))
+    pieces = members.groupBy("part", "kind").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("k"))
+    pieces = pieces.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("kind", "k"))).alias("pieces"))  # a few dozen kinds
+    of = lambda c: F.try_element_at("pieces", c)
+    near = F.filter(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1), lambda c: of(c).isNotNull())
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), of(c) - 1), lambda j: c * STEP + j)))
+    own = F.col("kind") * STEP + F.pmod(F.xxhash64("rep"), of(F.col("kind"))).cast("int")
+    return members.join(pieces, "part").select("part", "rep", "d0", "size", own.alias("chunk"), others.alias("others"))
+
+
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, class_size of each row of docs."""
     spark = docs.sparkSession
@@ -262,10 +279,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     part = components(edges, "candidate_parts").withColumnsRenamed({"node": "d0", "root": "part"})
     classes = materialise(rows.groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
     members = classes.filter("n > 0 and rep is not null").join(part, "d0")
-    sizes = members.groupBy("part").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
-    sizes = sizes.select("part", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("shingles") / SHINGLES)).cast("int").alias("chunks"))
-    members = members.join(sizes, "part").select("part", "rep", "d0", "size", "chunks", F.when(F.col("chunks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("chunks"))).cast("int").alias("chunk"))
-    members = materialise(members, "members")
+    members = materialise(chunked(members, percent), "members")
     n = members.count()
     sent = spark.sparkContext.broadcast(key_filter(members.select("rep"), n)) if n <= FILTER_KEYS else None
     asked = docs if sent else docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -280,9 +294,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "d0", "shingles"])
 
     sets = asked.mapInArrow(lean(fetch), "rep long, d0 long, shingles binary").join(broadcast_if_small(members), ["rep", "d0"])
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    # A part in one chunk is one block; of several, each pair of chunks is (a chunk meets itself in a block of its own).
-    dealt = sets.withColumn("other", other).select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "d0", "size", "chunk", "shingles")
+    # A part in one chunk is one block; of several, each pair of chunks that may hold a link is (a chunk meets itself in a block of its own).
+    dealt = sets.withColumn("other", F.explode("others")).select("part", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "d0", "size", "chunk", "shingles")
     dealt = dealt.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -628,3 +628,25 @@ def test_key_filter_holds_every_key(spark):
     table = graph.key_filter(spark.createDataFrame(keys, "k long").repartition(3), 3000)
     assert graph.in_filter(table, np.array(keys)[:, 0]).all()
     assert graph.in_filter(table, np.arange(100_000)).mean() < 0.05
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    rng = random.Random(17)
+    long = prose(rng, 60_000, 10**5)
+    some = [long[50_000:50_400], long + long[1000:1300], "x" * 130 + long[200_000:200_090]]
+    docs = make(spark, some).withColumns({c: F.lit(1) for c in ("key", "runs", "first", "last", "bucket", "part", "h", "lo")})
+    got = sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == brute_dedup(list(enumerate(some)))
+
+
+def test_pieces_of_long_texts_and_repeated_rows(spark):
+    import sentencepiece
+
+    rng = random.Random(18)
+    pieces = sentencepiece_lattice.Pieces.load()
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    some = [prose(rng, 80_000, 10**6), "y" * 20_000, "hello there", "hello there"]
+    docs = make(spark, some, ids=[1, 2, 3, 3]).withColumns({c: F.lit(1) for c in ("word", "edges", "ids", "bounds", "n", "piece", "start")})
+    got = sentencepiece_lattice.encode(docs, pieces, 100).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((d, len(sp.encode(t, num_threads=1))) for d, t in zip([1, 2, 3, 3], some, strict=True))
+    assert all(r.ids == sp.encode(some[r.doc_id - 1], num_threads=1) and r.exact for r in got)

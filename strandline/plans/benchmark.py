@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import score
-from ..operators.verdict import with_checks, with_outcomes, with_timeout
+from ..operators.verdict import CONTENTFUL, with_checks, with_outcomes, with_timeout
 from ..session import materialise
 from ..streaming.events import add_new
 from .arms import ARMS
@@ -24,7 +24,15 @@ def run_arms(truths: DataFrame, responses: DataFrame, arms: list[str] | None = N
         rows = ARMS[name](requests, responses).withColumn("subject_id", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     out = with_timeout(out.withColumnRenamed("request_id", "case_id"))
-    return materialise(with_outcomes(with_checks(out.join(truths, "case_id"))), "outcomes")
+    return materialise(with_improvements(with_outcomes(with_checks(out.join(truths, "case_id")))), "outcomes")
+
+
+def with_improvements(outcomes: DataFrame) -> DataFrame:
+    """Each escalation's `improved`: whether the lane that it names has content for the case in this run; null if no arm ran it."""
+    lanes = outcomes.groupBy("case_id", "lane").agg(F.bool_or(F.col("status").isin(CONTENTFUL)).alias("has"))
+    lanes = lanes.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("lane", "has"))).alias("_lanes"))  # a few lanes
+    filled = F.transform("escalations", lambda e: e.withField("improved", F.try_element_at("_lanes", e["to_lane"])))
+    return outcomes.join(lanes, "case_id").withColumn("escalations", filled).drop("_lanes")
 
 
 def markdown_report(outcomes: DataFrame, title: str, subjects: list[str]) -> str:

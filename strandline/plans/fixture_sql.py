@@ -64,6 +64,10 @@ k AS (SELECT *, (len(must) > 0 OR grid) AND (md = '' OR grid OR len(list_filter(
 
 FIRST = ", ".join(f"('{fixtures.BASE}{c['path']}', {a.get('status') or 200}, {quoted(a.get('body') or '')}, {a.get('wall_ms', 5)}::BIGINT)" for c in fixtures._cases() for a in c["answers"][:1])
 EMITTED = f"WITH a(url, status, body, delay_ms) AS (VALUES {FIRST}), m(method) AS (VALUES ('GET'), ('HEAD')) SELECT url, method, status, CAST(octet_length(encode(body)) AS INTEGER) AS content_length, CASE WHEN method = 'GET' THEN length(body) ELSE 0 END AS sent, delay_ms FROM a, m"
+#: Cases whose answer the extractor finds nothing in, and those of them that a rendering helps.
+ESCALATED = "spa-shell spa-delayed empty-legit empty-body block-challenge-200 block-login-wall soft-404 limit-zip-bomb limit-huge-body limit-non-html".split()
+RENDERED = {"spa-shell", "spa-delayed"}
+ESCALATIONS = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'browser_local', {str(c in RENDERED).lower()})" for c in ESCALATED) + ") t(case_id, to_lane, improved)"
 PLAIN_CASES = plain_arm() + """ SELECT id AS case_id, status, CASE WHEN status <> 'failed' THEN NULL WHEN error IS NOT NULL OR code IS NULL THEN 'connection_error' ELSE 'http_error' END AS failure_reason, content_tokens, wall_ms,
 status = wanted AS status_matched, status = 'success' AND (k1 OR k2 OR k3) AS is_false_success FROM k"""
 PLAIN_ARM = plain_arm() + f""" SELECT 'bare-http' AS subject_id, category, count(*) AS case_count, count(*) FILTER (status = wanted) AS status_match_count, count(*) FILTER (status = 'success') AS contentful_count, count(*) FILTER (status = 'success' AND (k1 OR k2 OR k3)) AS false_success_count,

@@ -619,6 +619,13 @@ def timed_out_cases(spark, sf_dir):
     return out.select("case_id", "status", "wall_ms", "request_count", empty.alias("empty"), F.array_join(said, ", ").alias("trace"))
 
 
+@query(fixture_sql.ESCALATIONS)
+def escalation_results(spark, sf_dir):
+    """The extracting arm's escalations to the browser, and whether that had content."""
+    out = benchmark.run_arms(fixtures.fixture_truths(spark), fixtures.fixture_responses(spark), ["extract-tf", "browser-local"])
+    return out.filter("subject_id = 'extract-tf'").select("case_id", F.explode("escalations").alias("e")).select("case_id", "e.to_lane", "e.improved")
+
+
 @query("SELECT 52 AS cases, 52 AS ids, 52 AS answered, 0 AS odd_paths, 0 AS odd_statuses")
 def suite_integrity(spark, sf_dir):
     """Cases, different ids, cases whose target answers, targets that aren't paths, and statuses that don't exist."""

@@ -35,7 +35,9 @@ def resolved(base: str | None, location: str | None) -> str | None:
     location = re.sub(r"[\t\r\n]", "", location).strip("".join(map(chr, range(33))))
     if re.match(r"[\\/]|https?:|[^:/?#]*(?:[\\/?#]|$)", location, re.I):
         head = re.match(r"[^?#]*", location)[0]
-        location = head.replace("\\", "/") + location[len(head) :]
+        location = re.sub(r"^(https?:)/{2,}", r"\1//", head.replace("\\", "/"), flags=re.I) + location[len(head) :]
+    if re.match(r"https?://(?:[?#]|$)", location, re.I):  # no host
+        return None
     try:
         out = urljoin(base, location)
         parts = urlsplit(out)

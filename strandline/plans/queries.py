@@ -13,7 +13,7 @@ from ..session import scratch_dir, shipped
 from ..sources import fixtures
 from ..sources.environment import run_environment
 from ..streaming import events as streaming
-from . import benchmark, fixture_sql, page_sql
+from . import benchmark, cases, fixture_sql, page_sql
 from .outcome_sql import ARMS, OUTCOMES_SQL, document_outcomes, sql_median, sql_tokens
 from .page_sql import EXTRA_PAGES, C, W
 
@@ -626,6 +626,55 @@ def escalation_results(spark, sf_dir):
     return out.filter("subject_id = 'extract-tf'").select("case_id", F.explode("escalations").alias("e")).select("case_id", "e.to_lane", "e.improved")
 
 
+@query(cases.values([(i, want) for i, (_, _, want) in enumerate(cases.TABLES)], "id, issues"))
+def table_verdicts(spark, sf_dir):
+    """What the first table of small texts lacks of an expected one."""
+    rows = spark.createDataFrame([(i, text, *spec) for i, (text, spec, _) in enumerate(cases.TABLES)], "id int, text string, columns int, rows int, cells map<string,string>, same_row array<string>, same_column array<string>, require boolean")
+    issues = pages.expected_table_issues("text", "columns", "rows", "cells", "same_row", "same_column", "require")
+    return rows.select("id", F.array_join(issues, "; ").alias("issues"))
+
+
+@query(cases.values([(p, *rest[:-1], rest[-1].strip()) for p, *rest in cases.ENDS], "request_id, failure_reason, status, request_count, attempt_count, urls, final_path, delay_ms, events").replace(".0,", ".0::DOUBLE,"))
+def transport_outcomes(spark, sf_dir):
+    """Redirects, loops, limits, retries and errors over a small transcript."""
+    rows = [(cases.U + p, n, status, {} if x is None else {"retry-after" if status == 503 else "location": x}, "", error, None, 1, 0, 0) for p, n, status, x, error in cases.ANSWERS]
+    requests = spark.createDataFrame([(p, cases.U + p) for p, *_ in cases.ENDS], "request_id string, url string")
+    out = transport.resolve(requests, spark.createDataFrame(rows, transport.RESPONSES))
+    events = F.array_join(F.transform("trace", lambda e: e["event"]), " ")
+    return out.select("request_id", "failure_reason", "status", "request_count", "attempt_count", F.size("redirect_chain").alias("urls"), F.regexp_replace("final_url", "^" + cases.U, "").alias("final_path"), "delay_ms", events.alias("events"))
+
+
+@query(cases.values([(i, want) for i, (_, _, want) in enumerate(cases.URLS)], "id, url"))
+def resolved_urls(spark, sf_dir):
+    rows = spark.createDataFrame([(i, base, location) for i, (base, location, _) in enumerate(cases.URLS)], "id int, base string, location string")
+    return rows.select("id", transport.resolve_url("base", "location").alias("url"))
+
+
+@query(page_sql.pruned(False) + page_sql.EXTRACT + f""", a(subject_id, lane) AS (VALUES ('resilient-http', 'http'), ('browser-local', 'browser_local'))
+SELECT subject_id, CASE WHEN page_id % 2 = 0 THEN 'canary-' ELSE 'canary2-' END || page_id AS case_id, lane, CASE WHEN escalate THEN 'failed' ELSE 'success' END AS status, CASE WHEN NOT escalate THEN {sql_tokens('main_html')} END AS content_tokens FROM extracted, a""")
+def resilient_canaries(spark, sf_dir):
+    """Stored pages through the arms with full transport."""
+    return benchmark.run_arms(*canaries(spark, sf_dir), ["resilient-http", "browser-local"]).select("subject_id", "case_id", "lane", "status", "content_tokens")
+
+
+@query("SELECT DISTINCT 't' || user_id AS task_id, event_type AS attempt_id, CAST(event_id % 7 AS INTEGER) AS step_id FROM events")
+def upserted_steps(spark, sf_dir):
+    """Steps written by two writers, the second of which repeats the first's: each key is there once."""
+    steps = table(spark, sf_dir, "events").select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("task_id"), F.col("event_type").alias("attempt_id"), (F.col("event_id") % 7).cast("int").alias("step_id"))
+    path = f"{scratch_dir(spark)}/steps-{uuid.uuid4().hex}"
+    benchmark.upsert_steps(steps.filter("step_id < 5"), path, "a")
+    benchmark.upsert_steps(steps, path, "b")
+    return benchmark.read_steps(spark, path)
+
+
+@query(OUTCOMES_SQL + " SELECT subject_id, count(*) AS n, CAST(sum(octet_length(encode(md))) AS BIGINT) AS bytes FROM o WHERE NOT late AND subject_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL) GROUP BY subject_id")
+def run_artifacts(spark, sf_dir):
+    """The artifacts that a run leaves, read back."""
+    path = f"{scratch_dir(spark)}/run-{uuid.uuid4().hex}"
+    benchmark.write_run(outcomes_of(spark, sf_dir), path)
+    return spark.read.parquet(f"{path}/artifacts").groupBy("subject_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
 @query("SELECT 52 AS cases, 52 AS ids, 52 AS answered, 0 AS odd_paths, 0 AS odd_statuses")
 def suite_integrity(spark, sf_dir):
     """Cases, different ids, cases whose target answers, targets that aren't paths, and statuses that don't exist."""

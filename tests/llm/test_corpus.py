@@ -650,3 +650,40 @@ def test_pieces_of_long_texts_and_repeated_rows(spark):
     got = sentencepiece_lattice.encode(docs, pieces, 100).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((d, len(sp.encode(t, num_threads=1))) for d, t in zip([1, 2, 3, 3], some, strict=True))
     assert all(r.ids == sp.encode(some[r.doc_id - 1], num_threads=1) and r.exact for r in got)
+
+
+def test_license_expressions_against_recursive_descent():
+    """Random trees, written with the brackets that their operators need, give the tree's own value and families."""
+    rng = random.Random(40)
+    names = ["mit", "gpl-2.0-only", "apache-2.0", "lgpl-2.1", "nobody-1.0", "bsd-3-clause", "mpl-2.0"]
+    binds = {"or": 1, "and": 2, "with": 3, "": 4}
+
+    def tree(depth):
+        if not depth or rng.random() < 0.3:
+            return "", rng.choice(names), None
+        op = rng.choice(["or", "and", "or", "and", "with"])
+        return op, tree(depth - 1), ("", "x-1.0", None) if op == "with" else tree(depth - 1)
+
+    def written(t):
+        op, a, b = t
+        if not op:
+            return a
+        left = f"({written(a)})" if binds[a[0]] < binds[op] else written(a)
+        right = f"({written(b)})" if binds[b[0]] <= binds[op] else written(b)
+        return f"{left} {op.upper() if rng.random() < 0.5 else op} {right}"
+
+    def value(t):
+        op, a, b = t
+        if not op:
+            family = licenses.family(a)
+            return (licenses.PERMITS[family] if family else 0.1), [family] if family else []
+        (x, xs), (y, ys) = value(a), value(b)
+        if op == "with":
+            return min(1.0, x + 0.2), xs
+        return (max if op == "or" else min)(x, y), xs + ys
+
+    for _ in range(400):
+        t = tree(4)
+        text = written(t)
+        got = licenses.evaluate(licenses.parse_expression(text + rng.choice(["", " */", " # note"])))
+        assert (got[0], got[1]) == value(t), text

@@ -63,7 +63,7 @@ def place_cells(histogram: DataFrame, points: list[tuple[int, int]], shards: int
         node = F.element_at(F.array(*map(F.lit, onward)), F.col("node") + 1)
         asked = going.withColumn("node", node).withColumn("shard", F.element_at(owner, F.col("node") + 1))
         left = F.element_at(F.array(*[F.lit(room[s]).cast("long") for s in range(shards)]), F.col("shard") + 1)
-        order = Window.partitionBy("shard").orderBy(F.hash("cell", "lo"), "cell", "lo").rowsBetween(Window.unboundedPreceding, 0)
+        order = Window.partitionBy("shard").orderBy(F.md5(F.concat_ws("/", "cell", "lo")), "cell", "lo").rowsBetween(Window.unboundedPreceding, 0)
         asked = asked.withColumn("upto", F.sum("n").over(order)).withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), left - F.col("upto") + F.col("n"))))
         asked = materialise(asked, "ring_round")
         placed.append(asked.filter("take > 0").select("cell", "lo", F.col("take").alias("n"), "shard"))

@@ -574,6 +574,49 @@ def test_sharding_against_a_plain_walk(spark):
         assert sum(got[d] == s for d in ids if home[d] == s) == min(loads[s], room[s])
 
 
+def plain_shards(rows, shards, cells, nodes):
+    """shard and slot of each (doc_id, text), by lists and loops: the rounds of the walk over cells, then rows numbered in their cells."""
+    points = sharding.ring(shards, cells, nodes)
+    by_cell = {}
+    for d, t in rows:
+        data = (t or "").encode()
+        size, crc = len(data) + 1, zlib.crc32(data)
+        name = str(d) if d is not None else f"-{size}-{crc}"
+        cell = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % cells
+        by_cell.setdefault(cell, []).append((d is not None, d or 0, crc, size))
+    room = {s: len(rows) // shards + (s < len(rows) % shards) for s in range(shards)}
+    going = [(c, 0, len(x), next((i for i, (p, _) in enumerate(points) if p >= c), 0)) for c, x in by_cell.items()]
+    full, placed = set(), []
+    while going:
+        asked = {}
+        for c, lo, n, node in going:
+            while points[node][1] in full:
+                node = (node + 1) % len(points)
+            asked.setdefault(points[node][1], []).append((hashlib.md5(f"{c}/{lo}".encode()).hexdigest(), c, lo, n, node))
+        going = []
+        for s, pieces in asked.items():
+            for _, c, lo, n, node in sorted(pieces):
+                take = min(n, room[s])
+                room[s] -= take
+                if take:
+                    placed.append((s, c, lo, take))
+                if take < n:
+                    full.add(s)
+                    going.append((c, lo + take, n - take, node))
+    out, slot = [], Counter()
+    for s, c, lo, n in sorted(placed):
+        for row in sorted(by_cell[c])[lo : lo + n]:
+            out.append((row[1] if row[0] else None, row[3], row[2], s, slot[s]))
+            slot[s] += 1
+    return out
+
+
+def test_sharding_equals_plain_lists(spark, texts):
+    for rows in ([(i, t) for i, t in enumerate(texts)], [(i * 37, "x" * (i % 5)) for i in range(300)] + [(5, "a"), (5, "a"), (5, "b"), (None, "c"), (None, None)]):
+        got = sharding.shard(make(spark, [t for _, t in rows], ids=[d for d, _ in rows])).collect()
+        assert sorted((tuple(r) for r in got), key=str) == sorted(plain_shards(rows, 16, sharding.CELLS, sharding.NODES), key=str)
+
+
 def test_sharding_moves_little(spark):
     ids = list(range(900))
     place = lambda ids, n: {r.doc_id: r.shard for r in sharding.shard(make(spark, ["t"] * len(ids), ids=ids), n).collect()}

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import dom, extract, gfm
 
@@ -36,8 +38,8 @@ def per_page(pages: DataFrame, rows_of: Callable[[str | None], list[dict]], sche
     """key, the rows that rows_of makes of each page, and error, which is null unless the page failed."""
     kind = pages.schema[key].dataType.simpleString()
     schema += ", error string"
-    empty = pages.sparkSession.createDataFrame([], schema)
-    names = empty.columns
+    shape = StructType.fromDDL(schema)
+    names = shape.names
     failed = dict.fromkeys(names)
 
     def rows_or_error(html: str | None) -> list[dict]:
@@ -45,9 +47,7 @@ def per_page(pages: DataFrame, rows_of: Callable[[str | None], list[dict]], sche
             return rows_of(html)
         except Exception as e:  # a page is input: whatever it makes a parser do, it is one row of the result
             return [failed | {"error": f"{type(e).__name__}: {e}"[:500]}]
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(empty.schema)
+    arrow = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

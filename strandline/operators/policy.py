@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import local_rows
 from .verdict import CONTENTFUL, PUBLIC_LANES
 
 # What each class of failure does next, and the caps of the network policy.
@@ -26,7 +27,7 @@ def escalation_trigger(page: Column, tokens: Column) -> Column:
 
 def retry_decision(failures: DataFrame) -> DataFrame:
     """failures(failure_reason, ...) with action, from a dimension of fixed size."""
-    policy = failures.sparkSession.createDataFrame(RETRY_POLICY, "failure_reason string, action string")
+    policy = local_rows(failures.sparkSession, RETRY_POLICY, "failure_reason string, action string")
     return failures.join(F.broadcast(policy), "failure_reason", "left").withColumn("action", F.coalesce("action", F.lit("never")))
 
 

@@ -54,7 +54,7 @@ OUTCOMES_SQL = f"""WITH d AS (SELECT *, doc_id AS i, coalesce(length(text), 0) A
 e AS (SELECT i AS doc_id, CASE WHEN i % 2 = 0 THEN 'canary-' ELSE 'canary2-' END || CAST(i // 4 AS VARCHAR) AS case_id, 'arm' || CAST(i % 4 AS VARCHAR) AS subject_id, ran >= 60000 AS late, least(ran, 60000) AS wall_ms, i % 3 + 1 AS attempts,
   CASE WHEN ran >= 60000 THEN 'budget_exceeded' WHEN n < 200 THEN 'failed' WHEN i % 13 = 0 THEN 'blocked' WHEN i % 3 = 0 THEN 'partial' ELSE 'success' END AS status,
   CASE WHEN ran >= 60000 THEN 'http' WHEN i % 6 = 0 THEN 'browser_local' ELSE 'http' END AS lane, CASE WHEN ran >= 60000 THEN '' ELSE coalesce(text, '') END AS md, i % 7 = 0 AND ran < 60000 AS moved,
-  CASE i % 4 WHEN 0 THEN {_list(MUST[0])} WHEN 1 THEN {_list(MUST[1])} WHEN 2 THEN {_list(MUST[2])} ELSE {_list(MUST[3])} END AS must, i % 5 = 0 AND i % 10 <> 0 AS lost, i % 3 = 0 AS sized FROM d),
+  CASE i % 4 WHEN 0 THEN {_list(MUST[0])} WHEN 1 THEN {_list(MUST[1])} WHEN 2 THEN {_list(MUST[2])} ELSE {_list(MUST[3])} END AS must, i % 5 = 0 AND i % 10 <> 0 AND ran < 60000 AS lost, i % 3 = 0 AS sized FROM d),
 f AS (SELECT *, CASE WHEN status IN ('success', 'partial') THEN {sql_tokens('md')} END AS content_tokens, len(list_filter(must, lambda x: NOT contains(md, x))) > 0 AS lacks FROM e),
 g AS (SELECT *, CASE WHEN len(must) = 0 THEN 'unknown' WHEN md = '' OR lacks THEN 'fail' ELSE 'pass' END AS k1, CASE WHEN {CHALLENGED} THEN 'fail' ELSE 'pass' END AS k2,
   CASE WHEN md = '' OR NOT sized THEN 'unknown' WHEN {sql_tokens('md')} < 120 OR contains(md, 'casino') OR contains(md, 'click here') THEN 'fail' ELSE 'pass' END AS k3,

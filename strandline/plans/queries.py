@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, is_cjk, looks_prose, squeeze, strip, upper_median, utf16_length
 from ..operators import golden, intervals, pages, policy, robots, score, transport, verdict, windows
-from ..session import scratch_dir, shipped
+from ..session import local_rows, scratch_dir, shipped
 from ..sources import fixtures
 from ..sources.environment import run_environment
 from ..streaming import events as streaming
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, and a few that reach the rules which they don't."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(spark.createDataFrame(EXTRA_PAGES, "page_id long, url string, html string"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(local_rows(spark, EXTRA_PAGES, "page_id long, url string, html string"))
 
 
 NO_ERROR = "CAST(NULL AS VARCHAR) AS error"
@@ -49,7 +49,7 @@ TEXTS_SQL = f"texts(doc_id, text, lang) AS (SELECT doc_id, text, lang FROM docum
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, and a few rows with the characters that they lack."""
-    extra = spark.createDataFrame([(-i - 1, t, "xx") for i, t in enumerate(EXTRA)], "doc_id long, text string, lang string")
+    extra = local_rows(spark, [(-i - 1, t, "xx") for i, t in enumerate(EXTRA)], "doc_id long, text string, lang string")
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").unionByName(extra)
 
 
@@ -138,7 +138,7 @@ LIKE_SQL = r"regexp_replace(regexp_replace(regexp_replace(pattern, '\$$', ''), '
 u AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/]*([^#]*)', 1) AS path FROM pages)
 SELECT page_id, path, coalesce(arg_max(allow, length(pattern) * 2 + allow::INT), true) AS allowed FROM u LEFT JOIN c ON path LIKE p ESCAPE '\' GROUP BY page_id, path""")
 def robots_allowed(spark, sf_dir):
-    rules = spark.createDataFrame([("*", p, a) for p, a in RULES], "host string, pattern string, allow boolean")
+    rules = local_rows(spark, [("*", p, a) for p, a in RULES], "host string, pattern string, allow boolean")
     paths = table(spark, sf_dir, "pages").select("page_id", F.lit("*").alias("host"), F.regexp_extract("url", r"^[a-zA-Z]+://[^/]*([^#]*)", 1).alias("path"))
     return robots.is_allowed(paths, rules).drop("host")
 
@@ -168,7 +168,7 @@ VALUES = ["", " ", "0", "2", "1.5", "-1", "abc", "9999", " 7 ", "1e2", None, "0x
 @query("WITH v(id, value) AS (VALUES " + ", ".join(f"({i}, {'NULL' if v is None else repr(v)})" for i, v in enumerate(VALUES)) + r""")
 SELECT id, CASE WHEN value = '' THEN NULL WHEN trim(value) = '' THEN 0.0::DOUBLE WHEN id = 11 THEN 16000 WHEN id = 12 THEN 5000 WHEN id = 13 THEN 15000 WHEN id >= 14 THEN NULL WHEN TRY_CAST(trim(value) AS DOUBLE) >= 0 THEN TRY_CAST(trim(value) AS DOUBLE) * 1000 END AS delay_ms FROM v""")
 def retry_after_ms(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(VALUES)), "id int, value string")
+    rows = local_rows(spark, list(enumerate(VALUES)), "id int, value string")
     return rows.select("id", transport.retry_after_ms(F.col("value")).alias("delay_ms"))
 
 
@@ -182,7 +182,7 @@ def sql_column(values: list[str]) -> str:
 @query(f"""WITH p(path) AS {sql_column(PATHS)}, e(path) AS {sql_column(EXACT)}, x(prefix) AS {sql_column(PREFIXES)}
 SELECT p.path, coalesce(max('exact ' || e.path), 'prefix ' || arg_max(x.prefix, length(x.prefix)), 'soft404') AS answer FROM p LEFT JOIN e ON p.path = e.path LEFT JOIN x ON starts_with(p.path, x.prefix) GROUP BY p.path""")
 def route_fixture(spark, sf_dir):
-    one = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    one = lambda values, name: local_rows(spark, [(v,) for v in values], f"{name} string")
     exact = one(EXACT, "path").withColumn("answer", F.concat(F.lit("exact "), F.col("path")))
     prefixes = one(PREFIXES, "prefix").withColumn("answer", F.concat(F.lit("prefix "), F.col("prefix")))
     return transport.route_paths(one(PATHS, "path"), exact, prefixes, F.lit("soft404"))
@@ -190,7 +190,7 @@ def route_fixture(spark, sf_dir):
 
 @query(f"WITH t(doc_id, md) AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'x Just a moment y' UNION ALL SELECT -2, 'please wait' UNION ALL SELECT -3, 'Please wait' UNION ALL SELECT -4, NULL) SELECT doc_id, CASE WHEN {SQL_CHALLENGED} THEN 'fail' ELSE 'pass' END AS outcome FROM t")
 def challenge_check(spark, sf_dir):
-    extra = spark.createDataFrame([(-1, "x Just a moment y"), (-2, "please wait"), (-3, "Please wait"), (-4, None)], "doc_id long, text string")
+    extra = local_rows(spark, [(-1, "x Just a moment y"), (-2, "please wait"), (-3, "Please wait"), (-4, None)], "doc_id long, text string")
     rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra)
     return rows.select("doc_id", verdict.outcome(verdict.challenged(F.col("text"))).alias("outcome"))
 
@@ -277,7 +277,7 @@ def case_arm_pivot(spark, sf_dir):
 @query(OUTCOMES_SQL + """ SELECT subject_id || ': ' || count(*) || ' cases, ' || count(*) FILTER (status = 'success') || ' status matches, ' || count(*) FILTER (contentful) || ' contentful, ' || count(*) FILTER (is_false_success) || ' false successes (' ||
 coalesce(printf('%.1f%%', 100 * count(*) FILTER (is_false_success) / nullif(count(*) FILTER (contentful), 0)), 'N/A') || '), median ' || """ + sql_median("wall_ms") + """ || ' ms, ' || count(*) FILTER (NOT budget_respected) || ' over budget' AS line FROM o GROUP BY subject_id""")
 def console_report(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in benchmark.console_lines(outcomes_of(spark, sf_dir))], "line string")
+    return local_rows(spark, [(x,) for x in benchmark.console_lines(outcomes_of(spark, sf_dir))], "line string")
 
 
 @query(f"SELECT event_type, count(*) AS n, {sql_median('value')} AS median_value, {sql_median('value', 0.95)} AS p95_value FROM events GROUP BY event_type")
@@ -365,7 +365,7 @@ u AS (SELECT doc_id, i, sum(CASE WHEN regexp_matches(ch, '[{C}]') THEN 1 ELSE 0
 f AS (SELECT doc_id, max(i) AS fits FROM u WHERE ceil(other / 4) + cjk <= 256 GROUP BY doc_id)
 SELECT doc_id, CASE WHEN fits < length(text) THEN left(text, fits) ELSE text END AS kept, coalesce(fits < length(text), false) AS truncated, CASE WHEN fits < length(text) THEN fits END AS truncated_at FROM texts LEFT JOIN f USING (doc_id)""")
 def token_truncation(spark, sf_dir):
-    more = spark.createDataFrame([(-100, "漢字かな" * 250, "xx"), (-101, "ab 漢😀" * 300, "xx")], "doc_id long, text string, lang string")
+    more = local_rows(spark, [(-100, "漢字かな" * 250, "xx"), (-101, "ab 漢😀" * 300, "xx")], "doc_id long, text string, lang string")
     rows = texts(spark, sf_dir).unionByName(more)
     cut = rows.select("doc_id", windows.truncate_to_tokens(F.col("text"), 256).alias("t"))
     return cut.select("doc_id", F.col("t.text").alias("kept"), "t.truncated", F.col("t.truncated_at").cast("long").alias("truncated_at"))
@@ -388,7 +388,7 @@ SELECT x.doc_id, CAST(row_number() OVER (PARTITION BY x.doc_id ORDER BY x.sectio
  CAST((SELECT sum(y.tokens) FROM b y WHERE y.doc_id = x.doc_id AND y.line BETWEEN x.first_line AND x.t) AS BIGINT) AS tokens, coalesce(path, '') AS path FROM x LEFT JOIN open USING (doc_id, section, part_no)""")
 def heading_chunks(spark, sf_dir):
     """Chunks at headings, of about 64 tokens, each with up to 16 tokens of the lines before it."""
-    more = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(SECTIONS)], "doc_id long, text string")
+    more = local_rows(spark, [(-i - 1, x) for i, x in enumerate(SECTIONS)], "doc_id long, text string")
     return windows.heading_chunks(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(more), "doc_id", "text", 64, 16)
 
 
@@ -509,7 +509,7 @@ ADDRESSES_6 = {
 
 @query("WITH a(ip) AS " + sql_column(ADDRESSES) + ", n AS (SELECT ip, list_transform(string_split(ip, '.'), lambda p: CAST(p AS BIGINT)) AS p FROM a) SELECT ip, CASE WHEN p[1] = 127 THEN 'loopback_address' WHEN p[1] = 10 OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 192 AND p[2] = 168) THEN 'private_address' WHEN ip = '169.254.169.254' THEN 'metadata_address' WHEN p[1] = 169 AND p[2] = 254 THEN 'link_local_address' WHEN p[1] = 0 THEN 'unspecified_address' END AS violation FROM n UNION ALL VALUES " + ", ".join(f"('{a}', {'NULL' if v is None else repr(v + '_address')})" for a, v in ADDRESSES_6.items()))
 def network_policy(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a in [*ADDRESSES, *ADDRESSES_6]], "ip string")
+    rows = local_rows(spark, [(a,) for a in [*ADDRESSES, *ADDRESSES_6]], "ip string")
     return rows.select("ip", policy.policy_violation(F.lit("http://x.test/"), F.col("ip")).alias("violation"))
 
 
@@ -638,7 +638,7 @@ def table_verdicts(spark, sf_dir):
 def transport_outcomes(spark, sf_dir):
     """Redirects, loops, limits, retries and errors over a small transcript."""
     rows = [(cases.U + p, n, status, {} if x is None else {"retry-after" if status == 503 else "location": x}, "", error, None, 1, 0, 0) for p, n, status, x, error in cases.ANSWERS]
-    requests = spark.createDataFrame([(p, cases.U + p) for p, *_ in cases.ENDS], "request_id string, url string")
+    requests = local_rows(spark, [(p, cases.U + p) for p, *_ in cases.ENDS], "request_id string, url string")
     out = transport.resolve(requests, spark.createDataFrame(rows, transport.RESPONSES))
     events = F.array_join(F.transform("trace", lambda e: e["event"]), " ")
     return out.select("request_id", "failure_reason", "status", "request_count", "attempt_count", F.size("redirect_chain").alias("urls"), F.regexp_replace("final_url", "^" + cases.U, "").alias("final_path"), "delay_ms", events.alias("events"))
@@ -646,7 +646,7 @@ def transport_outcomes(spark, sf_dir):
 
 @query(cases.values([(i, want) for i, (_, _, want) in enumerate(cases.URLS)], "id, url"))
 def resolved_urls(spark, sf_dir):
-    rows = spark.createDataFrame([(i, base, location) for i, (base, location, _) in enumerate(cases.URLS)], "id int, base string, location string")
+    rows = local_rows(spark, [(i, base, location) for i, (base, location, _) in enumerate(cases.URLS)], "id int, base string, location string")
     return rows.select("id", transport.resolve_url("base", "location").alias("url"))
 
 
@@ -754,7 +754,7 @@ SHELLS = [(1, '<div id="root"> </div><script>x</script>', 100), (2, "<NOSCRIPT>t
 SELECT id, reason, CASE WHEN reason IS NOT NULL THEN id % 2 = 0 END AS improved FROM t""".replace("\\\\", "\\"))
 def escalations(spark, sf_dir):
     """Why a page is to be fetched again by a browser, and whether that found content."""
-    rows = spark.createDataFrame(SHELLS, "case_id int, html string, tokens int").withColumn("trigger", policy.escalation_trigger(F.col("html"), F.col("tokens")))
+    rows = local_rows(spark, SHELLS, "case_id int, html string, tokens int").withColumn("trigger", policy.escalation_trigger(F.col("html"), F.col("tokens")))
     again = rows.filter("trigger is not null").select("case_id", F.lit("browser_local").alias("lane"), F.when(F.col("case_id") % 2 == 0, "success").otherwise("failed").alias("status"))
     steps = rows.select("case_id", "trigger", F.lit("browser_local").alias("to_lane"))
     return policy.improvements(steps, again).select(F.col("case_id").alias("id"), F.col("trigger").alias("reason"), "improved")
@@ -764,7 +764,7 @@ def escalations(spark, sf_dir):
 SELECT doc_id, CASE WHEN length(md) > 0 THEN ({" + ".join(f"(length(md) - length(replace(md, '{m}', '')))" for m in verdict.CHALLENGES)}) / length(md) ELSE 0.0 END AS share FROM t""")
 def challenge_share(spark, sf_dir):
     """What part of each text interstitial phrases make up."""
-    extra = spark.createDataFrame([(-1, "Just a moment, Access denied"), (-2, ""), (-3, "Please wait Please wait")], "doc_id long, text string")
+    extra = local_rows(spark, [(-1, "Just a moment, Access denied"), (-2, ""), (-3, "Please wait Please wait")], "doc_id long, text string")
     return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra).select("doc_id", verdict.challenge_share(F.col("text")).alias("share"))
 
 

@@ -13,14 +13,17 @@ from contextlib import suppress
 from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _sent: set[str] = set()
 _scratch: set[str] = set()
 
 
 #: Bytes of an Arrow batch, where the application doesn't set them: what a worker holds of its input is bounded however long rows are.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 
 def ship(spark: SparkSession) -> None:
@@ -77,6 +80,13 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a DataFrame, by way of Arrow: rows of Python objects would start workers of their own on every executor, which stay."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared scratch folder and reads it back."""
     spark = df.sparkSession

@@ -8,11 +8,13 @@ from collections.abc import Callable
 from contextlib import suppress
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import local_rows, materialise
 
 #: Separators between words: space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +54,17 @@ def small(batches, rows: int = 1024):
             yield batch.slice(at, rows)
 
 
+def by_size(batches, most: int = 1 << 19, column: str = "text"):
+    """The record batches in slices whose texts have about `most` bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def lean(run: Callable) -> Callable:
     """A function for mapInArrow that hands memory back to the system when its task ends, as workers are kept for the next."""
 

@@ -65,7 +65,7 @@ def merged_slices(parts: DataFrame, size: int, kind: type, add: Callable, last:
                 if i != at:  # slices come one after the other
                     if at is not None:
                         yield done()
-                    at, total = i, part.astype(np.uint8 if kind == np.uint8 else np.uint64)
+                    at, total = i, part.astype(np.uint64)
                 else:
                     total = add(total, part)
         if at is not None:

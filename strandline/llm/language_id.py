@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lean, small
+from .common import documents, lean, local_rows, small
 
 N, HASHES = 4, 3
 LEARN_DOCS, LEARN_GRAMS, LEAST_DOCS, ENOUGH_DOCS = 1000, 1 << 15, 3, 100
@@ -146,7 +146,7 @@ def learn(docs: DataFrame) -> Model:
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return Model([], {})
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, LEARN_DOCS / r["count"])) for r in counts], "lang string, share double")
+    share = local_rows(docs.sparkSession, [(r["lang"], min(1.0, LEARN_DOCS / r["count"])) for r in counts], "lang string, share double")
     part = (F.xxhash64("doc_id") % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000
     sample = known.join(F.broadcast(share), "lang").filter(part < F.col("share")).select("lang", "text")
 

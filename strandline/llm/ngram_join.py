@@ -43,14 +43,14 @@ def summaries(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, n, d0, d1: size and digest of its set), and the slices of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.uint16)
+        counts = np.zeros(SKETCH, dtype=np.uint8)  # a task's, up to 255; all tasks' are added in wide numbers
         shift = np.uint64(64 - SKETCH.bit_length() + 1)
         for batch in small(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
             first = np.unique(digests, axis=0, return_index=True)[1]  # copies in one batch count once
             slot, found = np.unique((np.concatenate([sets[i] for i in first]) >> shift).astype(np.int32), return_counts=True)
-            counts[slot] = np.minimum(counts[slot] + found, 65535)
+            counts[slot] = np.minimum(counts[slot] + found, 255)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=NAMES)
         for i, blob in sliced(counts):
@@ -68,7 +68,7 @@ def commonness(parts: DataFrame) -> np.ndarray:
     def levels(x: np.ndarray) -> np.ndarray:
         return np.minimum(2 * np.log2(1 + x / max(1.0, np.median(x))), 255).astype(np.uint8)
 
-    return merged_slices(parts, SKETCH, np.uint16, np.add, levels)
+    return merged_slices(parts, SKETCH, np.uint8, np.add, levels)
 
 
 def prefix_entries(docs: DataFrame, levels: np.ndarray, percent: int, buckets: int) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lean, materialise, small
+from .common import by_size, documents, lean, local_rows, materialise
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -37,7 +37,7 @@ SPACE = "▁"
 _own: dict[str, bytes] = {}
 _own_of: list = []
 #: Words in the broadcast dictionary, characters of a word there, and entries of a worker's own cache.
-WORDS, MAX_WORD, CACHE = 1 << 16, 32, 1 << 17
+WORDS, MAX_WORD, CACHE = 1 << 16, 32, 1 << 15
 UNIGRAM, BPE = 1, 2
 #: More than the ids of any model; the rank of two pieces that don't merge.
 SPAN, NEVER = 1 << 20, 1 << 30
@@ -259,7 +259,7 @@ def frequent_words(docs: DataFrame, pieces: Pieces, words: int = WORDS) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, kept = pieces.words(), Counter()
-        for batch in small(batches, 256):
+        for batch in by_size(batches):
             for text in batch.column("text").to_pylist():
                 kept.update(split(pieces.normalise(text)))
                 if len(kept) > 4 * words:
@@ -276,7 +276,7 @@ def lattice(words: DataFrame, pieces: Pieces, longest: int | None = None) -> Dat
     """(word, edges): a map from 1000 * start + end to struct(score, id) of the pieces that stand in the word."""
     spark = words.sparkSession
     longest = longest or max(map(len, pieces.score))
-    table = spark.createDataFrame([(p, float(s), i) for p, (s, i) in pieces.score.items()], "piece string, score double, id int")
+    table = local_rows(spark, [(p, float(s), i) for p, (s, i) in pieces.score.items()], "piece string, score double, id int")
     starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     ends = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("size"))
     parts = ends.withColumn("piece", F.col("word").substr(F.col("start"), F.col("size")))
@@ -352,7 +352,7 @@ def encode(docs: DataFrame, pieces: Pieces, words: int = WORDS, text: bool = Tru
             own.clear()
             _own_of[:] = [pieces]
         get, again = known.get, own.get
-        for batch in small(batches, 256):
+        for batch in by_size(batches):
             some = batch.column("text").to_pylist()
             words = [split(pieces.normalise(t)) for t in some]
             flat = [w for x in words for w in x]

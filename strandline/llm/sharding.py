@@ -19,7 +19,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, local_rows, materialise
 
 CELLS, NODES = 1 << 16, 64
 #: Rows that are alike leave their count in runs of so many.
@@ -36,7 +36,7 @@ def arcs(spark: SparkSession, points: list[tuple[int, int]], cells: int) -> Data
     places = [p for p, _ in points]
     edges = sorted({0, *(p + 1 for p in places if p + 1 < cells)})
     rows = [(lo, hi - 1, bisect_left(places, lo) % len(points)) for lo, hi in zip(edges, [*edges[1:], cells], strict=True)]
-    return spark.createDataFrame(rows, "lo int, hi int, node int").select(F.explode(F.sequence("lo", "hi")).alias("cell"), "node")
+    return local_rows(spark, rows, "lo int, hi int, node int").select(F.explode(F.sequence("lo", "hi")).alias("cell"), "node")
 
 
 def place_cells(histogram: DataFrame, points: list[tuple[int, int]], shards: int) -> DataFrame:
@@ -74,7 +74,7 @@ def place_cells(histogram: DataFrame, points: list[tuple[int, int]], shards: int
         going = asked.filter("n > take").select("cell", (F.col("lo") + F.col("take")).alias("lo"), (F.col("n") - F.col("take")).alias("n"), "node")
         if going.isEmpty():
             break
-    out = placed[0] if placed else spark.createDataFrame([], "cell int, lo long, n long, shard int")
+    out = placed[0] if placed else local_rows(spark, [], "cell int, lo long, n long, shard int")
     for more in placed[1:]:
         out = out.unionByName(more)
     return materialise(out, "ring_pieces")

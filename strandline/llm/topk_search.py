@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from .common import materialise
+from .common import local_rows, materialise
 
 K, PIVOTS, SAMPLE, BLOCK = 5, 32, 1024, 1024
 #: Queries whose bounds against one batch are held at once, and candidates scored at once.
@@ -147,7 +147,7 @@ def topk_search(rows: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, blo
             found = search_block(table, dim, largest, chosen, ids, q, floors, k)
             found.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
             written = True
-    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if written else local_rows(spark, [], schema)
 
 
 def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,3 +177,21 @@ def op6_license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(base_labels, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.array_join("expressions", "; ").alias("expressions"))
+
+
+def _sql() -> str:
+    """The query in SQL for texts without an identifier tag: what a tag's expression adds has no short form there, and is
+    tested against random expression trees."""
+    phrases = ", ".join(f"({label!r}, {str(phrase in BASE).lower()}, {phrase.split()!r}, {float(PERMITS[label])!r}::DOUBLE)" for phrase, label in {**NOTICES, **BASE}.items())
+    return rf"""
+WITH p(label, base, words, permits) AS (VALUES {phrases}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT doc_id, w, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+m AS (SELECT u.doc_id, u.i, p.* FROM u JOIN p ON u.x = p.words[1] AND u.w[u.i + 1:u.i + len(p.words)] = p.words),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, min(permits) AS score FROM m GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score, '' AS expressions FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+OP6_SQL = _sql()

@@ -21,6 +21,7 @@ ORACLES = {
     "op3_pivot_topk": topk_search.OP3_SQL,
     "op4_water_filling": mixing.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_license_expressions": licenses.OP6_SQL,
     "op7_relational_chat": chat_format.OP7_SQL,
     "op9_column_bwt": substring_dedup.OP9_SQL,
 }

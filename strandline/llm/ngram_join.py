@@ -257,14 +257,18 @@ def chunked(members: DataFrame, percent: int) -> DataFrame:
     farther than to the next one; a large class is cut by hash. So a set meets its own class and two more, not the whole part."""
     many = (F.count("*") > ROWS) | (F.sum("n") > SHINGLES)
     kind = F.floor(F.log("n") / (np.log(100 / percent) + 1e-9)).cast("int")
-    members = members.join(members.groupBy("part").agg(many.alias("many")), "part").withColumn("kind", F.when(F.col("many"), kind).otherwise(0))
-    pieces = members.groupBy("part", "kind").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("k"))
+    members = materialise(members.select("part", "rep", "d0", "n", "size"), "part_members")
+    large = materialise(members.groupBy("part").agg(many.alias("many")).filter("many"), "large_parts")  # one for each ROWS members at most
+    members = members.join(broadcast_if_small(large), "part", "left").withColumn("kind", F.when(F.col("many"), kind).otherwise(0))
+    pieces = members.filter("many").groupBy("part", "kind").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("k"))
     pieces = pieces.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("kind", "k"))).alias("pieces"))  # a few dozen kinds
+    alone = F.create_map(F.lit(0), F.lit(1))  # a part in one chunk
+    members = members.join(broadcast_if_small(pieces), "part", "left").withColumn("pieces", F.coalesce("pieces", alone))
     of = lambda c: F.try_element_at("pieces", c)
     near = F.filter(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1), lambda c: of(c).isNotNull())
     others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), of(c) - 1), lambda j: c * STEP + j)))
     own = F.col("kind") * STEP + F.pmod(F.xxhash64("rep"), of(F.col("kind"))).cast("int")
-    return members.join(pieces, "part").select("part", "rep", "d0", "size", own.alias("chunk"), others.alias("others"))
+    return members.select("part", "rep", "d0", "size", own.alias("chunk"), others.alias("others"))
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

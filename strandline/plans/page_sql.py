@@ -1,6 +1,7 @@
 """The page family in SQL: a page parsed token by token by a recursive query, pruned, routed, cut into blocks and extracted.
 
-This is the yardstick of the page operators, written from their rules and sharing no code with them. It reads
+This is the yardstick of the page operators. It shares no code with them, but was written from them: it finds slips of coding,
+not misreadings of the rules. It reads
 explicit html, head and body tags, quoted attributes and the references in REFERENCES, which is what the stored pages hold."""
 
 from __future__ import annotations

@@ -50,7 +50,7 @@ def micros(ts: pd.Timestamp) -> int:
 
 def attempts(events: DataFrame, most: int = 3, wait: str = "1 minute", late: str = LATE, idle: str = "30 days") -> DataFrame:
     """A running count of errors for each user, whether its next attempt is allowed, and from when: the wait doubles with
-    each error. State is two numbers a key, and goes once the watermark is `idle` beyond the key's last event."""
+    each error. Events later than the watermark (`late`) are dropped by the engine and not counted. State is two numbers a key, and goes once the watermark is `idle` beyond the key's last event."""
     first, rest = pd.Timedelta(wait), pd.Timedelta(idle)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ strings of one range of such distances share the bytes around the anchor that al
 collection whose Burrows-Wheeler transform and common prefixes are built column by column; suffixes whose common prefix is 100
 bytes or more are equal strings, of which all but the first are removed. A group with more texts than GROUP is split into
 two narrower ranges until it is small; a range of one distance is one string, whose first place is found by a
-partial aggregate. So no task holds more than a group, whatever a passage's number of surroundings is,
+partial aggregate; a group's rows are written anew at each of at most seven such splits. So no task holds more than a group, whatever a passage's number of surroundings is,
 and rounds are bounded by the length of two strings whatever a document's length is.
 
 Earlier means a smaller doc_id, or the same document and an earlier start; matches never cross documents. Null

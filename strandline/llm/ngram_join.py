@@ -1,11 +1,13 @@
 """N-gram Jaccard join: a blocked product of the sparse document by shingle matrix.
 
 Equal shingle sets are one class from the start. The first product looks at each set's rarest shingles only: with similarity
-s and n shingles, a partner must share one of the first n - ceil(s*n) + 1 (or, for a partner at least as large, of the
-first n - ceil(2s/(1+s)*n) + 1), in any order of all shingles. The order is by the counts of a sketch of fixed size
+s and n shingles, a partner must share k of the first n - ceil(s*n) + k (or, for a partner at least as large, of the
+first n - ceil(2s/(1+s)*n) + k), in any order of all shingles, where k is asked_of(n) of the smaller set. A k of one would
+do for right results, but as the corpus grows documents share single shingles by chance, and their parts grow
+together to one that holds most of it. The order is by the counts of a sketch of fixed size
 over the whole corpus, so passages that many documents share come last. It runs in blocks of
-columns (ranges of shingle hashes). Columns with few rows give their pairs if the sizes allow a link; longer
-ones, sorted by size and cut where neighbours' sizes allow none, a star for each piece that holds a prefix of the second kind. Their connected parts are the row blocks of the second product, which counts the exact overlaps over
+columns (ranges of shingle hashes). Columns with few rows count their pairs if the sizes allow a link, and pairs whose counts reach k over all blocks are kept; longer
+ones, sorted by size and cut where neighbours' sizes allow none, give a star for each piece that holds a prefix of the second kind. Their connected parts are the row blocks of the second product, which counts the exact overlaps over
 all shingles, a few thousand columns at a time, and discards rows whose counts can no longer reach the bound set by
 the two sizes. A part with many rows is cut into chunks by size, a task for each pair of chunks whose sizes allow links. A block returns each
 row's number of links and a spanning forest, never its pairs; components are found by contraction.
@@ -29,9 +31,9 @@ from .graph import FILTER_KEYS, components, in_filter, key_filter, merged_slices
 from .shingles import shingle_sets
 
 PERCENT = 75
-#: The sketch's counters; the rows of a column up to which all its pairs count as candidates; rows and shingles of a chunk; columns multiplied at once.
-SKETCH, SHORT, ROWS, SHINGLES, COLUMNS = 1 << 24, 16, 1024, 1 << 20, 2048
-#: Prefix entries that a task holds before it sends them; chunks of a size class are numbered below STEP.
+#: The sketch's counters; the rows of a column up to which all its pairs are counted; rows and shingles of a chunk; columns multiplied at once.
+SKETCH, SHORT, ROWS, SHINGLES, COLUMNS = 1 << 24, 64, 1024, 1 << 20, 2048
+#: Prefix entries and counted pairs that a task holds before it sends them; chunks of a size class are numbered below STEP.
 HELD, STEP = 1 << 18, 1 << 22
 
 
@@ -39,6 +41,11 @@ def ceil_div(a, b):
     return -(-a // b)
 
 
+def asked_of(n, percent: int):
+    """How many shingles of its prefix a set of n shares with each partner at least as large; grows with n, and is no more than the overlap."""
+    return np.minimum(ceil_div(percent * n, 100), 4 + n // 64)
+
+
 def summaries(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, n, d0, d1: size and digest of its set), and the slices of each task's sketch."""
 
@@ -101,7 +108,8 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, percent: int, buckets: i
                 if not n or key in seen:
                     continue
                 seen.add(key)
-                probe, index = n - ceil_div(percent * n, 100) + 1, n - ceil_div(2 * percent * n, 100 + percent) + 1
+                more = int(asked_of(n, percent))
+                probe, index = n - ceil_div(percent * n, 100) + more, n - ceil_div(2 * percent * n, 100 + percent) + more
                 level = levels[(s >> shift).astype(np.int64)]
                 held.append((s[np.argsort(level, kind="stable")[:probe]], key, n, index))
                 total += probe
@@ -115,10 +123,34 @@ def prefix_entries(docs: DataFrame, levels: np.ndarray, percent: int, buckets: i
 
 
 def candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between the keys of classes that may link, a spanning forest of each task's."""
+    """Edges (a, b) between the keys of classes that may link: of those that a task is sure of, a spanning forest; of others, those whose counts in all tasks suffice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [np.empty((0, 2), dtype=np.int64)]
+        open_ = [np.empty((0, 4), dtype=np.int64)]  # a, b, shared so far, asked
+
+        def settle() -> None:
+            """Sums up the open pairs; those that share enough are found, those whose ends found edges connect need no count."""
+            pairs = np.concatenate(open_)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            if len(pairs):
+                at = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)]))
+                shared = np.add.reduceat(pairs[:, 2], at)
+                pairs = pairs[at]
+                pairs[:, 2] = shared
+            enough = pairs[:, 2] >= pairs[:, 3]
+            tree = forest(np.concatenate([*found, pairs[enough, :2]]))
+            pairs = pairs[~enough]
+            if len(tree) and len(pairs):
+                order = np.argsort(tree[:, 1])
+                node, top = tree[order, 1], tree[order, 0]
+                at = np.minimum(np.searchsorted(node, pairs[:, :2]), len(node) - 1)
+                root = np.where(node[at] == pairs[:, :2], top[at], pairs[:, :2])
+                pairs = pairs[root[:, 0] != root[:, 1]]
+            found[:], open_[:] = [tree], [pairs]
+
+        def rows(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T], names=["a", "b", "shared", "asked"])
 
         def buckets() -> Iterator[list[bytes]]:  # rows come sorted by bucket; a worker holds one
             at, held = None, []
@@ -143,14 +175,16 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
             h, key, size, index = h[new], key[new], size[new], index[new]
             bounds = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
             length = np.repeat(np.diff(bounds), np.diff(bounds))
+            end = np.repeat(bounds[1:], np.diff(bounds))
+            at = np.flatnonzero((length > 1) & (length <= SHORT))
             for lag in range(1, SHORT):
-                if len(h) <= lag:
+                at = at[at + lag < end[at]]
+                if not len(at):
                     break
-                same = (h[lag:] == h[:-lag]) & (length[lag:] <= SHORT) & (100 * size[:-lag] >= percent * size[lag:])
-                same &= index[:-lag] | ((size[:-lag] == size[lag:]) & index[lag:])
-                at = np.flatnonzero(same)
-                if len(at):
-                    found.append(np.unique(np.sort(np.column_stack([key[at], key[at + lag]]), axis=1), axis=0))
+                to = at + lag
+                may = (100 * size[at] >= percent * size[to]) & (index[at] | ((size[at] == size[to]) & index[to]))
+                i, j = at[may], to[may]
+                open_.append(np.column_stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.ones(len(i), np.int64), asked_of(size[i], percent)]))
             star = np.flatnonzero(length > SHORT)
             if len(star):
                 h, key, size, index = h[star], key[star], size[star], index[star]
@@ -159,12 +193,17 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
                 keep = np.repeat((width > 1) & np.logical_or.reduceat(index, cut), width)
                 hubs = np.repeat(np.minimum.reduceat(key, cut), width)[keep]
                 found.append(np.unique(np.column_stack([hubs, key[keep]]), axis=0))
-            if sum(map(len, found)) > HELD:
-                found = [forest(np.concatenate(found))]
-        rows = forest(np.concatenate(found))
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
-
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long")
+            if sum(map(len, found)) + sum(map(len, open_)) > HELD:
+                settle()
+                if len(open_[0]) > HELD // 2:
+                    yield rows(open_[0])
+                    open_[:] = [open_[0][:0]]
+        settle()
+        yield rows(open_[0])
+        yield rows(np.column_stack([found[0], np.zeros_like(found[0])]))
+
+    counted = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long, shared long, asked long")
+    return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("asked").alias("asked")).filter("shared >= asked").select("a", "b")
 
 
 def forest(edges: np.ndarray) -> np.ndarray:

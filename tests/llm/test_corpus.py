@@ -154,6 +154,25 @@ def test_ngram_join_of_a_passage_in_many_documents(spark):
     assert got == brute_join(list(enumerate(some)))
 
 
+def test_texts_that_share_a_few_shingles_are_no_candidates(spark):
+    """Whatever the order of the shingles: a sketch that is full tells none of them from others."""
+    rng = random.Random(4)
+    shared = [prose(rng, 7, 10**6) for _ in range(61)]
+    chain = [f"{shared[i]} {prose(rng, 30, 10**6)} {shared[i + 1]}" for i in range(60)]
+    copies = [" ".join(w if k > 1 else f"x{k}" for k, w in enumerate(chain[i].split(" "))) for i in (5, 17)]
+    order = np.zeros(ngram_join.SKETCH, dtype=np.uint8)
+    edges = ngram_join.candidates(ngram_join.prefix_entries(make(spark, chain + copies).select("doc_id", "text"), order, 75, 256), 75).collect()
+    assert len(edges) == sum(brute_join(list(enumerate(chain + copies)))[d][2] for d in (60, 61)) == 2
+
+
+@pytest.mark.parametrize(("short", "held"), [(64, 1 << 18), (2, 1 << 18), (64, 8)])
+def test_ngram_join_counts_pairs_over_tasks(spark, texts, short, held, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(make(spark, texts)).collect()}
+    assert got == brute_join(list(enumerate(texts)))
+
+
 # language ID
 
 

@@ -73,28 +73,34 @@ def attempts(events: DataFrame, most: int = 3, wait: str = "1 minute", late: str
 def deadlines(events: DataFrame, limit: str = "12 hours", late: str = LATE) -> DataFrame:
     """A row for each time that a user gave no event for `limit`: when that was up, and how many events came before it.
 
-    Between two events that lie that far apart the row comes with the second; after the last, when the watermark passes
-    the deadline, by a timer. State is two numbers a key and ends with the deadline."""
+    A row comes when the watermark has passed its deadline, by a timer or with a later batch; until then an event that is
+    late, but within `late`, may still come between, so rows don't depend on how events are dealt into batches. State is the
+    key's runs of events (first, last, number) whose deadlines are ahead of the watermark, and ends with the last of them."""
     gap = pd.Timedelta(limit)
+    width = gap.value // 1000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (None, 0)
-        out = []
-        if state.hasTimedOut:
-            out.append((last, n))
+        runs = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            runs += [(t, t, 1) for t in (micros(t) for batch in batches for t in batch["ts"])]
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(runs):
+            if merged and first - merged[-1][1] < width:
+                merged[-1] = (merged[-1][0], max(last, merged[-1][1]), merged[-1][2] + n)
+            else:
+                merged.append((first, last, n))
+        passed = state.getCurrentWatermarkMs()
+        out = [r for r in merged if (r[1] + width) // 1000 < passed]
+        rest = merged[len(out) :]
+        if rest:
+            state.update(tuple([r[k] for r in rest] for k in range(3)))
+            state.setTimeoutTimestamp(max((rest[0][1] + width) // 1000, passed + 1))
+        elif state.exists:
             state.remove()
-        else:
-            for at in sorted(micros(t) for batch in batches for t in batch["ts"]):
-                if last is not None and at - last >= gap.value // 1000:
-                    out.append((last, n))
-                    n = 0
-                last, n = max(at, last or at), n + 1
-            state.update((last, n))
-            state.setTimeoutTimestamp(max(last // 1000 + gap // pd.Timedelta("1ms"), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]] * len(out), "deadline": [pd.Timestamp(t, unit="us") + gap for t, _ in out], "events": [c for _, c in out]})
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "deadline": [pd.Timestamp(t, unit="us") + gap for _, t, _ in out], "events": [c for *_, c in out]})
 
     kept = events.withWatermark("ts", late).select("user_id", "ts")
-    return kept.groupBy("user_id").applyInPandasWithState(step, "user_id long, deadline timestamp, events int", "last long, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.groupBy("user_id").applyInPandasWithState(step, "user_id long, deadline timestamp, events int", "firsts array<long>, lasts array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def identical_stop(steps: DataFrame, by: str, order: str, fingerprint: str, stop: int = 3) -> DataFrame:

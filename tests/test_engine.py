@@ -349,3 +349,21 @@ def test_scratch_on_a_cluster_needs_a_shared_folder():
 def test_extractors_register(spark, monkeypatch):
     monkeypatch.setitem(pages.EXTRACTORS, "first", lambda h, *_: {"title": h[:1], "escalate": False})
     assert pages.extract_pages(spark.createDataFrame([(1, "abc")], "page_id long, html string"), extractor="first").first().title == "a"
+
+
+def test_deadlines_wait_for_the_watermark(spark, tmp_path):
+    at = lambda h: f"2024-01-01 {int(h):02}:{round(h % 1 * 60):02}:00"
+    batches = [
+        [(1, at(0)), (2, at(1)), (1, at(12.5))],  # user 1's first deadline is not yet passed, an hour being allowed for
+        [(1, at(11.75)), (3, at(12.75))],  # a late event between the two: user 1 never paused for twelve hours
+        [(2, at(20))],  # user 2 did, until 13:00
+    ]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "user_id long, ts string").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    found = {}
+    for files, paths in ((1, "{0,1,2}"), (9, "{0,1,2}"), (9, "0")):
+        stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/{paths}")
+        rows = streaming.run_to_memory(streaming.deadlines(stream), f"deadlines_{files}_{len(paths)}").collect()
+        found[files, paths] = sorted((r.user_id, str(r.deadline)[11:16], r.events) for r in rows)
+    assert found == {(1, "{0,1,2}"): [(2, "13:00", 1)], (9, "{0,1,2}"): [(2, "13:00", 1)], (9, "0"): []}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, broadcast_if_small, documents, materialise
+from .graph import without
 
 #: A digest with more than 1/SHARE of all rows is a heavy hitter.
 SHARE = 256
@@ -65,12 +66,12 @@ def dedup_groups(docs: DataFrame, share: int = SHARE) -> DataFrame:
 def exact_dedup(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """The documents that stay, with all their columns; of repeated rows with one doc_id and text, one."""
     groups = materialise(dedup_groups(docs, share), "dedup_groups")
-    dropped = broadcast_if_small(groups.filter(~F.col("kept")).select("doc_id").filter(F.col("doc_id").isNotNull()))
+    dropped = groups.filter(~F.col("kept")).select("doc_id").filter(F.col("doc_id").isNotNull())
     again = materialise(groups.filter("kept and group_size > 1").groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id"), "again")
     nameless = F.col("doc_id").isNull()
-    both = groups.filter("kept").join(dropped, "doc_id", "left_semi")  # kept with one text, dropped with another
+    both = groups.filter("kept").join(broadcast_if_small(dropped), "doc_id", "left_semi")  # kept with one text, dropped with another
     if groups.filter(nameless).isEmpty() and again.isEmpty() and both.isEmpty():  # the usual case: an anti-join on ids
-        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+        return without(docs, dropped.distinct())
     # Ids that are null or repeated: decided by the text itself.
     text = F.sha2(F.encode(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), "UTF-8"), 256)
     kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()

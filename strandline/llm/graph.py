@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import lean
+from .common import BROADCAST_ROWS, lean
 
 SLICES = 64
 
@@ -115,6 +116,28 @@ def key_filter(keys: DataFrame, n: int) -> np.ndarray:
     return _table(sent.mapInArrow(lean(build), "slice int, blob binary"), (1 << bits) // 8)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among those of gone (one column, each id once).
+
+    Beyond what may be broadcast, a filter of the ids tells most of the rows that stay where they lie, so that texts
+    aren't shuffled; only rows that the filter lets through meet the ids in a join."""
+    n = gone.count()
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    if n > FILTER_KEYS:
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(gone, n))
+
+    @F.pandas_udf("boolean")
+    def may_go(ids: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(sent.value, ids.to_numpy()))
+
+    named = F.col("doc_id").isNotNull()
+    asked = may_go(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    stay = docs.filter(~named | ~asked)
+    return stay.unionByName(docs.filter(named & asked).join(gone, "doc_id", "left_anti").select(docs.columns))
+
+
 def _table(slices: DataFrame, size: int) -> np.ndarray:
     """The bytes of a table from its SLICES rows."""
     out = np.zeros(size, dtype=np.uint8)

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import free_shuffles
 from .common import broadcast_if_small, documents, lean, materialise, small
-from .graph import FILTER_KEYS, components, in_filter, key_filter, merged_slices, sliced
+from .graph import FILTER_KEYS, components, in_filter, key_filter, merged_slices, sliced, without
 from .shingles import shingle_sets
 
 PERCENT = 75
@@ -320,6 +321,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = max(256, 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     edges = candidates(prefix_entries(docs, levels, percent, buckets), percent)
     part = components(edges, "candidate_parts").withColumnsRenamed({"node": "d0", "root": "part"})
+    free_shuffles(spark)  # of the sketch, the prefix entries and the pairs
     classes = materialise(rows.groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
     members = classes.filter("n > 0 and rep is not null").join(part, "d0")
     members = materialise(chunked(members, percent), "members")
@@ -363,6 +365,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield done()
 
     found = materialise(dealt.mapInArrow(lean(multiply), "a long, d0 long, b long, links long"), "links")
+    free_shuffles(spark)  # of the sets
     roots = components(found.select("a", "b"), "components")
     links = found.groupBy(F.col("a").alias("rep"), "d0").agg(F.sum("links").alias("links"))
     known = classes.join(links, ["rep", "d0"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -377,8 +380,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without those that have a smaller doc_id in their component; of rows that repeat a doc_id with one text, one stays."""
     groups = materialise(ngram_join(docs, percent), "near_groups")
-    gone = groups.filter("component_id <> doc_id").select("doc_id")
-    left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    left = without(docs, groups.filter("component_id <> doc_id").select("doc_id").distinct())
     again = groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
     return left if again else left.dropDuplicates(["doc_id", "text"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -101,3 +102,9 @@ def discard(df: DataFrame) -> None:
     """Deletes the table of a materialised frame that nothing reads any more; other frames are left alone."""
     if path := getattr(df, "_scratch", None):
         delete(df.sparkSession, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing reads any more: it does so when the driver collects garbage, which has little of its own."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -173,6 +173,46 @@ def test_ngram_join_counts_pairs_over_tasks(spark, texts, short, held, monkeypat
     assert got == brute_join(list(enumerate(texts)))
 
 
+def shuffled_texts(node):
+    """Rows with a text that the shuffles of an executed plan wrote."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_texts(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_texts(node.plan())
+    kids = node.children()
+    n = sum(shuffled_texts(kids.apply(i)) for i in range(kids.size()))
+    return n + (node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" and "text#" in node.output().mkString(",") else 0)
+
+
+@pytest.mark.parametrize("dedup", [ngram_join.near_dedup, exact_dedup.exact_dedup])
+def test_texts_that_stay_are_not_shuffled(spark, texts, dedup, monkeypatch):
+    """As with more dropped documents than may be broadcast."""
+    want = sorted(r.doc_id for r in dedup(make(spark, texts)).collect())
+    for module in (ngram_join, exact_dedup):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = dedup(make(spark, texts))
+        assert sorted(r.doc_id for r in left.collect()) == want and len(want) < len(texts)
+        assert shuffled_texts(left._jdf.queryExecution().executedPlan()) <= len(texts) - len(want) + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize(("rows", "keys"), [(0, 1 << 24), (0, 0), (10**5, 1 << 24)])
+def test_without_drops_rows_by_id_alone(spark, rows, keys, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(graph, "FILTER_KEYS", keys)
+    ids = [None, None, 0, 1, 1, 2, 3, 3, -5, 2**53 + 1, 2**53 + 2, 2**62 + 1, 2**62 + 3]
+    gone = [0, 1, 3, 77, -5, 2**53 + 1, 2**62 + 3]
+    docs = make(spark, list(map(str, range(len(ids)))), ids=ids)
+    got = graph.without(docs, spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == sorted(str(k) for k, i in enumerate(ids) if i not in gone)
+    assert graph.without(docs, docs.select("doc_id").limit(0)).count() == len(ids)
+
+
 # language ID
 
 
